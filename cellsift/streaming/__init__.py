@@ -1,0 +1 @@
+"""Deliberately empty: the workload is batch only, see the README."""
