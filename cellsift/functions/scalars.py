@@ -73,8 +73,7 @@ def latin_design(spark, groups: DataFrame, n: int, axes: int, group_cols: Sequen
     """
     from cellsift.functions.keys import uniform_key
 
-    rows = groups.select(*group_cols).distinct().withColumn("design_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    rows = rows.withColumn("design_id", F.col("design_id").cast("long"))
+    rows = groups.select(*group_cols).distinct().withColumn("design_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     key = [*group_cols, "design_id"]
     for axis in range(axes):
         order = Window.partitionBy(*group_cols).orderBy(uniform_key(key, f"perm{axis}-{seed}"), "design_id")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellsift.operators.rank import global_rank
+
 # Counters of a snapshot, and the two groups they form.
 CPU_COUNTERS = ("CPU", "Mem")
 GPU_COUNTERS = ("Accel0", "Accel1", "Accel2", "Accel3")
@@ -26,27 +28,30 @@ def intervals(snapshots: DataFrame) -> DataFrame:
     """Joules per counter between consecutive snapshots of a node, their total
     over the counters that were read, and the average power.
 
-    A node has a handful of snapshots per run, so one window per node is small.
+    Each snapshot meets its predecessor by rank, an equi join that spreads over
+    tasks however many snapshots one node has.
     """
-    order = Window.partitionBy("node").orderBy("timestamp", "phase")
-    deltas = {f"d_{c}": F.col(c) - F.lag(c).over(order) for c in COUNTERS}
-    steps = snapshots.withColumns(
-        {
-            "from_phase": F.lag("phase").over(order),
-            "elapsed": F.col("timestamp") - F.lag("timestamp").over(order),
-            **deltas,
-        }
-    ).where(F.col("elapsed").isNotNull())
+    columns = ["node_id", "timestamp", "phase", *COUNTERS]
+    ranked = global_rank(snapshots.select(*columns), ["timestamp", "phase"], ["node_id"], "_rank")
+    before = ranked.select(
+        "node_id",
+        (F.col("_rank") + 1).alias("_rank"),
+        F.col("timestamp").alias("_then"),
+        F.col("phase").alias("from_phase"),
+        *[F.col(c).alias(f"_{c}") for c in COUNTERS],
+    )
+    deltas = {f"d_{c}": F.col(c) - F.col(f"_{c}") for c in COUNTERS}
+    steps = ranked.join(before, ["node_id", "_rank"]).withColumns({"elapsed": F.col("timestamp") - F.col("_then"), **deltas})
     joules = _sum([F.coalesce(f"d_{c}", F.lit(0.0)) for c in COUNTERS])
     return steps.select(
-        "node", "from_phase", F.col("phase").alias("to_phase"), "elapsed", *deltas, joules.alias("joules"),
+        "node_id", "from_phase", F.col("phase").alias("to_phase"), "elapsed", *deltas, joules.alias("joules"),
         _watts(joules, F.col("elapsed")).alias("watts"),
     )
 
 
 def node_energy(snapshots: DataFrame) -> DataFrame:
     """Energy of each node from its first to its last snapshot."""
-    ends = snapshots.groupBy("node").agg(
+    ends = snapshots.groupBy("node_id").agg(
         F.min("timestamp").alias("started"),
         F.max("timestamp").alias("ended"),
         *[F.max_by(c, F.struct("timestamp", "phase")).alias(f"last_{c}") for c in COUNTERS],
@@ -55,7 +60,7 @@ def node_energy(snapshots: DataFrame) -> DataFrame:
     used = lambda names: _sum([F.col(f"last_{c}") - F.col(f"first_{c}") for c in names])
     elapsed = F.col("ended") - F.col("started")
     return ends.select(
-        "node",
+        "node_id",
         "started",
         "ended",
         used(CPU_COUNTERS).alias("cpu_joules"),

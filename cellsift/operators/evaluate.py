@@ -42,7 +42,7 @@ def density_estimate(df: DataFrame, col: str, points: int, group_cols: Sequence[
         *[
             F.struct(
                 F.lit(i).cast("long").alias("grid"),
-                (F.col("_lo") + F.col("_step") * F.lit(float(i))).alias("at"),
+                (F.col("_lo") + F.col("_step") * F.lit(float(i))).alias("x_at"),
                 (F.col(f"k{i}") / (F.col("_n") * F.col("_h") * F.lit(ROOT_TWO_PI))).alias("density"),
             )
             for i in range(points)

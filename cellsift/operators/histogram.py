@@ -43,6 +43,10 @@ def with_bin(df: DataFrame, cols: Sequence[str], bins: int, group_cols: Sequence
     return values.withColumn("bin", bin_index(F.col("value"), F.col("lo"), F.col("hi"), bins)).drop("lo", "hi", "value")
 
 
+def _numbers(n: int):
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
 def counts_with_zeros(counts: DataFrame, bins: int, group_cols: Sequence[str], labels: int | None = None) -> DataFrame:
     """Fill a (group, label, bin) count table with the empty bins.
 
@@ -51,9 +55,9 @@ def counts_with_zeros(counts: DataFrame, bins: int, group_cols: Sequence[str], l
     spine = counts.select(*group_cols).distinct()
     keys = list(group_cols)
     if labels is not None:
-        spine = spine.withColumn("label", F.explode(F.sequence(F.lit(0), F.lit(labels - 1))).cast("long"))
+        spine = spine.withColumn("label", F.explode(_numbers(labels)))
         keys = [*keys, "label"]
-    spine = spine.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("long"))
+    spine = spine.withColumn("bin", F.explode(_numbers(bins)))
     return spine.join(counts, [*keys, "bin"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
 
 

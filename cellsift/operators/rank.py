@@ -42,15 +42,15 @@ def global_rank(
     starts = pieces.withColumns(
         {
             "_before": F.sum("_n").over(earlier) - F.col("_n"),
-            "_size": F.sum("_n").over(Window.partitionBy(*(group or [F.lit(0)]))),
+            "_of": F.sum("_n").over(Window.partitionBy(*(group or [F.lit(0)]))),
         }
     ).drop("_n")
     ranked = kept.join(small_side(starts), ["_part", *group]).withColumn(
         out, F.col("_pos") - F.col("_first") + F.col("_before")
     )
     if size:
-        ranked = ranked.withColumn(size, F.col("_size"))
-    return ranked.drop("_at", "_part", "_pos", "_first", "_before", "_size")
+        ranked = ranked.withColumn(size, F.col("_of"))
+    return ranked.drop("_at", "_part", "_pos", "_first", "_before", "_of")
 
 
 def stratum(rank, size, n: int):

@@ -113,7 +113,7 @@ def phase_space(
     draws = (
         ranked.select(*group, "_bins")
         .distinct()
-        .withColumn("draw_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long"))
+        .withColumn("draw_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
         .withColumn("_bin_rank", F.floor(uniform_key([*group, "draw_id"], f"bin-{seed}") * F.col("_bins")))
         .withColumn("_place", uniform_key([*group, "draw_id"], f"place-{seed}"))
         .drop("_bins")
@@ -157,13 +157,13 @@ def stratified(
     return picked.select(*group, "stratum", "_row.*")
 
 
-def _nearest_in_chunk(features: Sequence[str], design: Sequence[str], id_col: str, keep: int):
+def _nearest_in_chunk(features: Sequence[str], design: Sequence[str], id_col: str, group: Sequence[str], keep: int):
     """Task-side step of the Latin hypercube draw: the ``keep`` nearest points
     of one chunk to each design point."""
 
-    def nearest(points: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
+    def nearest(key: tuple, points: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
         if points.empty or targets.empty:
-            return pd.DataFrame({"design_id": [], id_col: [], "dist": []})
+            return pd.DataFrame({c: [] for c in (*group, "design_id", id_col, "dist")})
         points = points.sort_values(id_col, kind="stable")
         ids = points[id_col].to_numpy()
         x = points[list(features)].to_numpy(dtype=float)
@@ -176,7 +176,10 @@ def _nearest_in_chunk(features: Sequence[str], design: Sequence[str], id_col: st
             near = np.flatnonzero(dist <= edge)
             near = near[np.argsort(dist[near], kind="stable")][:m]
             parts.append(pd.DataFrame({"design_id": at, id_col: ids[near], "dist": dist[near]}))
-        return pd.concat(parts, ignore_index=True)
+        found = pd.concat(parts, ignore_index=True)
+        for at, name in enumerate(group):
+            found.insert(at, name, key[at])
+        return found
 
     return nearest
 
@@ -246,7 +249,7 @@ def latin_hypercube(
             *[(F.col(f"lo_{c}") + F.col(d) * (F.col(f"hi_{c}") - F.col(f"lo_{c}"))).alias(d) for c, d in zip(feature_cols, design_cols)],
         )
     )
-    targets = design.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).cast("long")).drop("_chunks")
+    targets = design.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1))).drop("_chunks")
     points = df.join(small_side(limits.select(*group, "_chunks")), group).select(
         *group,
         id_col,
@@ -255,7 +258,12 @@ def latin_hypercube(
     )
     types = {f.name: f.dataType for f in points.schema.fields}
     near_schema = T.StructType(
-        [T.StructField("design_id", T.LongType()), T.StructField(id_col, types[id_col]), T.StructField("dist", T.DoubleType())]
+        [
+            *[T.StructField(g, types[g]) for g in group],
+            T.StructField("design_id", T.LongType()),
+            T.StructField(id_col, types[id_col]),
+            T.StructField("dist", T.DoubleType()),
+        ]
     )
     pick_schema = T.StructType(
         [
@@ -267,20 +275,10 @@ def latin_hypercube(
     )
 
     keep = min(keep, n)
+    chunk = (*group, "_chunk")
     while True:
-        step = _nearest_in_chunk(feature_cols, design_cols, id_col, keep)
-        grouped = (*group, "_chunk")
-        tagged_schema = T.StructType([*[T.StructField(g, types[g]) for g in group], *near_schema.fields])
-
-        def with_group(key, left, right, step=step):
-            found = step(left, right)
-            for at, name in enumerate(group):
-                found.insert(at, name, key[at])
-            return found
-
-        candidates = (
-            points.groupBy(*grouped).cogroup(targets.groupBy(*grouped)).applyInPandas(with_group, schema=tagged_schema)
-        )
+        step = _nearest_in_chunk(feature_cols, design_cols, id_col, group, keep)
+        candidates = points.groupBy(*chunk).cogroup(targets.groupBy(*chunk)).applyInPandas(step, schema=near_schema)
         best = F.row_number().over(Window.partitionBy(*group, "design_id").orderBy("dist", id_col))
         candidates = candidates.withColumn("_rank", best).where(F.col("_rank") <= keep).drop("_rank")
         picks = settle(candidates.groupBy(*group).applyInPandas(_take_in_order(id_col, group), schema=pick_schema))

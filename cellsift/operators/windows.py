@@ -88,7 +88,7 @@ def pack(df: DataFrame, seq_cols: Sequence[str], order_cols: Sequence[str], valu
 
 def channels_first(packed: DataFrame, value_cols: Sequence[str], out: str = "values") -> DataFrame:
     """Axis order for training: one array per channel instead of one of rows."""
-    lists = [F.transform(out, lambda e, c=c: e[c]).alias(c) for c in value_cols]
+    lists = [F.col(out)[c].alias(c) for c in value_cols]
     keep = [c for c in packed.columns if c != out]
     return packed.select(*keep, *lists)
 

@@ -27,6 +27,7 @@ def build_session(cores: int | str = "*", app: str = "cellsift", shuffle_partiti
         .config("spark.sql.python.filterPushdown.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -49,7 +49,7 @@ def read_forces(spark: SparkSession, path: str, write_interval: int = 100) -> Da
 
 
 def read_energy_snapshots(spark: SparkSession, path: str, node_pattern: str = ENERGY_NODE, multi_line: bool = True) -> DataFrame:
-    """Counter snapshots ``<node>_snapshot_<phase>.json`` with ``node`` from the
+    """Counter snapshots ``<node>_snapshot_<phase>.json`` with ``node_id`` from the
     file name; counters that could not be read are null."""
     schema = T.StructType(
         [
@@ -63,4 +63,4 @@ def read_energy_snapshots(spark: SparkSession, path: str, node_pattern: str = EN
     reader = spark.read.schema(schema).option("recursiveFileLookup", "true")
     if multi_line:
         reader = reader.option("multiLine", "true")
-    return reader.json(path).withColumn("node", F.regexp_extract(F.input_file_name(), node_pattern, 1))
+    return reader.json(path).withColumn("node_id", F.regexp_extract(F.input_file_name(), node_pattern, 1))
