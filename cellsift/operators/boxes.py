@@ -9,28 +9,42 @@ from pyspark.sql import functions as F
 
 from cellsift.functions.bins import bin_index
 from cellsift.functions.grid import box_counts, box_number, box_from_number, complete_boxes, with_box
-from cellsift.operators.cluster import assign, lloyd
+from cellsift.operators.cluster import assign, lloyd, midpoints_of
 from cellsift.operators.draw import draw
-from cellsift.operators.histogram import counts_with_zeros, distributions, pooled, pooled_limits
+from cellsift.operators.histogram import axis_limits, counts_with_zeros, distributions, pooled, pooled_limits, pooled_of
 from cellsift.operators.divergence import out_strengths
-from cellsift.session import small_side, written
+from cellsift.session import settle, small_side, written
 
 BOX_COLS = ("ix", "iy", "iz")
 
 
+def _below(n: int):
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+
 def all_boxes(groups: DataFrame, counts: tuple[int, int, int], group_cols: Sequence[str]) -> DataFrame:
-    """Every complete box of the grid for every group, without a look at cells."""
-    total = counts[0] * counts[1] * counts[2]
-    numbered = groups.select(*group_cols).distinct().withColumn(
-        "box_no", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(total - 1).cast("long")))
+    """Every complete box of the grid for every group, without a look at cells.
+
+    Layers of boxes are spread over tasks first; each task lists its layers.
+    """
+    num_x, num_y, num_z = counts
+    if min(counts) == 0:
+        return groups.select(*group_cols).limit(0).withColumns({c: F.lit(0).cast("long") for c in ("box_no", *BOX_COLS)})
+    layers = groups.select(*group_cols).distinct().withColumn("iz", _below(num_z)).repartition(*group_cols, "iz")
+    numbered = layers.withColumn("_in_layer", _below(num_x * num_y))
+    return numbered.withColumn("box_no", F.col("_in_layer") + F.lit(num_x * num_y) * F.col("iz")).select(
+        *group_cols, "box_no", *[c.alias(n) for n, c in box_from_number("box_no", counts).items()]
     )
-    return numbered.withColumns(box_from_number("box_no", counts))
 
 
-def first_boxes(boxes: DataFrame, n: int | None) -> DataFrame:
+def first_boxes(groups: DataFrame, counts: tuple[int, int, int], group_cols: Sequence[str], n: int | None) -> DataFrame:
     """The first ``n`` boxes in x-fastest order; all of them when ``n`` is null
-    or larger than their number."""
-    return boxes if n is None else boxes.where(F.col("box_no") < n)
+    or larger than their number.  Only the wanted boxes are listed."""
+    total = counts[0] * counts[1] * counts[2]
+    if n is None or n >= total:
+        return all_boxes(groups, counts, group_cols)
+    numbered = groups.select(*group_cols).distinct().withColumn("box_no", _below(n))
+    return numbered.select(*group_cols, "box_no", *[c.alias(m) for m, c in box_from_number("box_no", counts).items()])
 
 
 def random_boxes(boxes: DataFrame, n: int | None, group_cols: Sequence[str], seed: int = 0) -> DataFrame:
@@ -92,9 +106,15 @@ def score_boxes(
     rounds: int = 10,
     centres: DataFrame | None = None,
 ) -> DataFrame:
-    """Total out-strength of every box that holds cells."""
+    """Total out-strength of every box that holds cells.
+
+    Scans: one for the ranges, one per k-means round, one for the counts.
+    """
+    ranges = settle(axis_limits(cells, cols, group_cols))
+    if centres is None:
+        centres = midpoints_of(ranges, cols, k, group_cols)
     centres = lloyd(cells, cols, k, group_cols, rounds, centres)
-    counts = box_label_bins(cells, cols, centres, k, bins, box, group_cols)
+    counts = box_label_bins(cells, cols, centres, k, bins, box, group_cols, pooled_of(ranges, cols, group_cols))
     dists = distributions(histogram_of_boxes(counts, k, bins, group_cols), group_cols, normalised=True)
     return box_totals(counts, out_strengths(dists, group_cols), len(cols), group_cols)
 
@@ -132,10 +152,9 @@ def select_boxes(cells: DataFrame, params, centres: DataFrame | None = None) ->
         )
         chosen = draw_scored(totals, n, group, params.seed)
         return chosen.select(*group, *BOX_COLS, box_number(counts).alias("box_no"))
-    boxes = all_boxes(cells, counts, group)
     if params.hypercubes == "uniform":
-        return first_boxes(boxes, n)
-    return random_boxes(boxes, n, group, params.seed)
+        return first_boxes(cells, counts, group, n)
+    return random_boxes(all_boxes(cells, counts, group), n, group, params.seed)
 
 
 def cells_of_boxes(cells: DataFrame, chosen: DataFrame, box: tuple[int, int, int], group_cols: Sequence[str]) -> DataFrame:

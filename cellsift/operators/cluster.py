@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellsift.operators.draw import draw
+from cellsift.operators.histogram import axis_limits
 from cellsift.session import settle, small_side
 
 
@@ -16,11 +17,13 @@ def midpoint_centres(df: DataFrame, cols: Sequence[str], k: int, group_cols: Seq
 
     One row per group with ``centres``, an array of k arrays.
     """
-    ranges = df.groupBy(*group_cols).agg(
-        *[f(c).cast("double").alias(f"{p}_{c}") for c in cols for f, p in ((F.min, "lo"), (F.max, "hi"))]
-    )
+    return midpoints_of(axis_limits(df, cols, group_cols), cols, k, group_cols)
+
+
+def midpoints_of(ranges: DataFrame, cols: Sequence[str], k: int, group_cols: Sequence[str]) -> DataFrame:
+    """The same from column limits that are known already."""
     centre = [
-        F.array(*[F.col(f"lo_{c}") + (F.col(f"hi_{c}") - F.col(f"lo_{c}")) * F.lit((i + 0.5) / k) for c in cols])
+        F.array(*[F.col(f"lo_{c}").cast("double") + (F.col(f"hi_{c}") - F.col(f"lo_{c}")) * F.lit((i + 0.5) / k) for c in cols])
         for i in range(k)
     ]
     return ranges.select(*group_cols, F.array(*centre).alias("centres"))
@@ -115,6 +118,7 @@ __all__ = [
     "drawn_centres",
     "lloyd",
     "midpoint_centres",
+    "midpoints_of",
     "nearest_centre",
     "sort_centres",
     "spark_kmeans",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,22 +21,15 @@ def kl_matrix(dists: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     return p.join(q, keys).groupBy(*group_cols, "i", "j").agg(F.sum(kl_term(F.col("_p"), F.col("_q"))).alias("kl"))
 
 
-def _per_bin(dists: DataFrame, group_cols: Sequence[str]) -> DataFrame:
-    keys = [*group_cols, "bin"]
-    sums = dists.groupBy(*keys).agg(
-        F.sum(F.log("p")).alias("_ln_all"), F.count(F.lit(1)).alias("_k")
-    )
-    return dists.join(sums, keys)
-
-
 def out_strengths(dists: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     """Row sums of the KL matrix: how far a cluster lies from the others.
 
     sum_j KL(i||j) = sum_b p_i (K ln p_i - sum_j ln p_j), so the matrix itself
     is never built.
     """
-    own = F.col("p") * (F.col("_k") * F.log("p") - F.col("_ln_all"))
-    return _per_bin(dists, group_cols).groupBy(*group_cols, "label").agg(F.sum(own).alias("strength"))
+    in_bin = Window.partitionBy(*group_cols, "bin")
+    own = F.col("p") * (F.count(F.lit(1)).over(in_bin) * F.log("p") - F.sum(F.log("p")).over(in_bin))
+    return dists.withColumn("_term", own).groupBy(*group_cols, "label").agg(F.sum("_term").alias("strength"))
 
 
 def in_strengths(dists: DataFrame, group_cols: Sequence[str]) -> DataFrame:
@@ -44,9 +37,6 @@ def in_strengths(dists: DataFrame, group_cols: Sequence[str]) -> DataFrame:
 
     sum_i KL(i||j) = sum_b (sum_i p_i ln p_i) - (sum_i p_i) ln p_j.
     """
-    keys = [*group_cols, "bin"]
-    sums = dists.groupBy(*keys).agg(
-        F.sum(F.col("p") * F.log("p")).alias("_plnp"), F.sum("p").alias("_p_all")
-    )
-    term = F.col("_plnp") - F.col("_p_all") * F.log("p")
-    return dists.join(sums, keys).groupBy(*group_cols, "label").agg(F.sum(term).alias("strength"))
+    in_bin = Window.partitionBy(*group_cols, "bin")
+    term = F.sum(F.col("p") * F.log("p")).over(in_bin) - F.sum("p").over(in_bin) * F.log("p")
+    return dists.withColumn("_term", term).groupBy(*group_cols, "label").agg(F.sum("_term").alias("strength"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellsift.functions.bins import bin_index, flat_bin
@@ -21,6 +21,15 @@ def pooled_limits(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str])
     return df.groupBy(*group_cols).agg(F.min(low).alias("lo"), F.max(high).alias("hi"))
 
 
+def pooled_of(ranges: DataFrame, cols: Sequence[str], group_cols: Sequence[str]) -> DataFrame:
+    """Pooled limits from the limits of each column, without another scan."""
+    low, high = [F.col(f"lo_{c}") for c in cols], [F.col(f"hi_{c}") for c in cols]
+    one = len(cols) == 1
+    return ranges.select(
+        *group_cols, (low[0] if one else F.least(*low)).alias("lo"), (high[0] if one else F.greatest(*high)).alias("hi")
+    )
+
+
 def axis_limits(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str]) -> DataFrame:
     """``lo_<col>``, ``hi_<col>`` of each column, per group."""
     aggs = [f(c).alias(f"{p}_{c}") for c in cols for f, p in ((F.min, "lo"), (F.max, "hi"))]
@@ -43,45 +52,52 @@ def with_bin(df: DataFrame, cols: Sequence[str], bins: int, group_cols: Sequence
     return values.withColumn("bin", bin_index(F.col("value"), F.col("lo"), F.col("hi"), bins)).drop("lo", "hi", "value")
 
 
-def _numbers(n: int):
-    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-
-
 def counts_with_zeros(counts: DataFrame, bins: int, group_cols: Sequence[str], labels: int | None = None) -> DataFrame:
     """Fill a (group, label, bin) count table with the empty bins.
 
-    ``counts`` is small: groups x labels x bins rows.
+    The counts of a group, labels x bins numbers at most, are brought together
+    once.  Everything computed from them per label or per bin afterwards is
+    partitioned by the group already and needs no further shuffle.
     """
-    spine = counts.select(*group_cols).distinct()
-    keys = list(group_cols)
+    cells = bins * (labels or 1)
+    place = F.col("bin") if labels is None else F.col("label") * F.lit(bins) + F.col("bin")
+    packed = counts.groupBy(*group_cols).agg(
+        F.map_from_entries(F.collect_list(F.struct(place.cast("long"), F.col("cnt")))).alias("_cnt")
+    )
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long")))
+    full = packed.withColumn("_at", every).withColumn("cnt", F.coalesce(F.try_element_at("_cnt", F.col("_at")), F.lit(0)))
+    columns = {"bin": F.pmod("_at", F.lit(bins))}
     if labels is not None:
-        spine = spine.withColumn("label", F.explode(_numbers(labels)))
-        keys = [*keys, "label"]
-    spine = spine.withColumn("bin", F.explode(_numbers(bins)))
-    return spine.join(counts, [*keys, "bin"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+        columns["label"] = F.floor(F.col("_at") / F.lit(bins)).cast("long")
+    return full.withColumns(columns).select(*group_cols, *(["label"] if labels is not None else []), "bin", "cnt")
 
 
-def cluster_histogram(labelled: DataFrame, cols: Sequence[str], labels: int, bins: int, group_cols: Sequence[str]) -> DataFrame:
+def cluster_histogram(
+    labelled: DataFrame, cols: Sequence[str], labels: int, bins: int, group_cols: Sequence[str], limits: DataFrame | None = None
+) -> DataFrame:
     """Counts per group, label and bin over one shared range, zeros included.
 
     Map-side partial counts are merged by the shuffle: the local and the global
     histogram of a distributed run in one ``groupBy``.
     """
-    binned = with_bin(labelled, cols, bins, group_cols)
+    binned = with_bin(labelled, cols, bins, group_cols, limits)
     counts = binned.groupBy(*group_cols, "label", "bin").agg(F.count(F.lit(1)).alias("cnt"))
     return counts_with_zeros(counts, bins, group_cols, labels)
 
 
 def distributions(hist: DataFrame, group_cols: Sequence[str], normalised: bool = False) -> DataFrame:
     """Counts to probabilities plus a small constant; an empty cluster keeps
-    zeros.  ``normalised`` divides by the new total, as relative entropy does."""
-    keys = [*group_cols, "label"]
-    totals = hist.groupBy(*keys).agg(F.sum("cnt").alias("_total"), F.count(F.lit(1)).alias("_bins"))
-    share = F.when(F.col("_total") > 0, F.col("cnt") / F.col("_total")).otherwise(F.lit(0.0)) + F.lit(EPSILON)
+    zeros.  ``normalised`` divides by the new total, as relative entropy does.
+
+    ``hist`` is small: groups x labels x bins rows.
+    """
+    label = Window.partitionBy(*group_cols, "label")
+    total = F.sum("cnt").over(label)
+    share = F.when(total > 0, F.col("cnt") / total).otherwise(F.lit(0.0)) + F.lit(EPSILON)
     if normalised:
-        mass = F.when(F.col("_total") > 0, F.lit(1.0)).otherwise(F.lit(0.0)) + F.col("_bins") * F.lit(EPSILON)
+        mass = F.when(total > 0, F.lit(1.0)).otherwise(F.lit(0.0)) + F.count(F.lit(1)).over(label) * F.lit(EPSILON)
         share = share / mass
-    return hist.join(totals, keys).withColumn("p", share).drop("_total", "_bins")
+    return hist.withColumn("p", share)
 
 
 def phase_bins(df: DataFrame, cols: Sequence[str], bins: int, group_cols: Sequence[str], out: str = "bin_id") -> DataFrame:

@@ -15,10 +15,10 @@ from pyspark.sql import types as T
 
 from cellsift.functions.keys import uniform_key
 from cellsift.functions.scalars import latin_design
-from cellsift.operators.cluster import with_labels
+from cellsift.operators.cluster import midpoints_of, with_labels
 from cellsift.operators.divergence import in_strengths
 from cellsift.operators.draw import draw
-from cellsift.operators.histogram import cluster_histogram, distributions, phase_bins
+from cellsift.operators.histogram import axis_limits, cluster_histogram, distributions, phase_bins, pooled_of
 from cellsift.operators.rank import global_rank, stratum
 from cellsift.session import settle, small_side
 
@@ -42,8 +42,11 @@ def maxent_weights(
     """Points with the in-strength of their cluster as ``strength``."""
     if k < 2:
         raise ValueError("maximum-entropy weights need at least two clusters")
+    ranges = settle(axis_limits(df, cluster_cols, group_cols))
+    if centres is None:
+        centres = midpoints_of(ranges, cluster_cols, k, group_cols)
     labelled = with_labels(df, cluster_cols, k, group_cols, rounds, centres)
-    hist = cluster_histogram(labelled, cluster_cols, k, bins, group_cols)
+    hist = cluster_histogram(labelled, cluster_cols, k, bins, group_cols, pooled_of(ranges, cluster_cols, group_cols))
     strengths = in_strengths(distributions(hist, group_cols, normalised=True), group_cols)
     return labelled.join(small_side(strengths), [*group_cols, "label"])
 
@@ -104,12 +107,15 @@ def phase_space(
     counts = settle(counts.withColumn("_upto", F.sum("_n").over(running)))
 
     # Draws: bin by rank, then a position among the rows of the bin.
-    ranked = bin_counts.withColumns(
-        {
-            "_bin_rank": F.row_number().over(Window.partitionBy(*group).orderBy("bin_id")) - 1,
-            "_bins": F.count(F.lit(1)).over(Window.partitionBy(*group)),
-        }
-    )
+    if bin_counts._rows <= CHUNK_ROWS:
+        ranked = bin_counts.withColumns(
+            {
+                "_bin_rank": F.row_number().over(Window.partitionBy(*group).orderBy("bin_id")) - 1,
+                "_bins": F.count(F.lit(1)).over(Window.partitionBy(*group)),
+            }
+        )
+    else:
+        ranked = global_rank(bin_counts, ["bin_id"], group, "_bin_rank", size="_bins")
     draws = (
         ranked.select(*group, "_bins")
         .distinct()

@@ -63,6 +63,7 @@ class CurationParams:
     overlap: int = 1
     timesteps: tuple[float, ...] | None = None
     write_interval: int = 100
+    num_timesteps: int = 100
     test_frac: float = 0.1
     shuffle: bool = False
     xscaler: str = "MinMaxScaler"

@@ -17,7 +17,6 @@ from cellsift.plans.catalog import query, rounded
 from cellsift.plans.compare import sample_each
 from cellsift.plans.sqltext import bin_of, cluster_hist, key, kl, labelled, midpoints, probabilities, race, with_
 from cellsift.plans.views import CLOUD, FIELD, LINE_ITEMS, PREDICTIONS, SNAPSHOTS
-from cellsift.session import written
 
 TS = ["timestep"]
 LI = ["quantity", "price", "discount", "tax"]
@@ -100,7 +99,7 @@ BOX_TOTALS = (
 def box_totals(spark, sf):
     """The flagship: total out-strength of every box, all timesteps in one job."""
     f = views.field(spark, sf)
-    totals = boxes.score_boxes(f, ["u"], K, views.BOX, TS, BINS, rounds=0, centres=midpoint_centres(f, ["u"], K, TS))
+    totals = boxes.score_boxes(f, ["u"], K, views.BOX, TS, BINS, rounds=0)
     return totals.withColumn("total", F.round("total", 4))
 
 
@@ -205,13 +204,10 @@ UNION ALL SELECT timestep, 'uips', x0 FROM uips_picks UNION ALL SELECT timestep,
 )
 def methods_compared(spark, sf):
     c = views.cloud(spark, sf)
-    centres = midpoint_centres(c, ["x0"], K, TS)
-    samples = sample_each(c, N_CMP, "x0", feature_cols=["x0", "x1"], k=K, rounds=0, centres=centres, methods=("full", "random", "uips"))
-    top = maxent(c, N_CMP, cluster_cols=["x0"], k=K, rounds=0, centres=centres).select("timestep", "point_id", "x0", F.lit("maxent").alias("method"))
-    both = written(samples.unionByName(top), "compared")
+    samples = sample_each(c, N_CMP, "x0", feature_cols=["x0", "x1"], k=K, rounds=0)
     keys = ["timestep", "method"]
-    hist = histogram.density_histogram(both, "x0", 11, keys)
-    kde = evaluate.density_estimate(both, "x0", 10, keys).select(*keys, F.col("grid").alias("bin"), F.round("density", 9).alias("kde"))
+    hist = histogram.density_histogram(samples, "x0", 11, keys)
+    kde = evaluate.density_estimate(samples, "x0", 10, keys).select(*keys, F.col("grid").alias("bin"), F.round("density", 9).alias("kde"))
     return hist.join(kde, [*keys, "bin"]).select(*keys, "bin", "cnt", rounded("density", 9), "kde")
 
 
@@ -228,8 +224,7 @@ CROSS JOIN (SELECT CAST(range AS BIGINT) AS bin FROM range(50)) b LEFT JOIN pc U
 )
 def shared_bin_probabilities(spark, sf):
     c = views.cloud(spark, sf)
-    centres = midpoint_centres(c, ["x0"], K, TS)
-    top = maxent(c, N_CMP, cluster_cols=["x0"], k=K, rounds=0, centres=centres)
+    top = maxent(c, N_CMP, cluster_cols=["x0"], k=K, rounds=0)
     parts = {"global": c, "random": draw(c, N_CMP, ["point_id"], TS, seed=0), "maxent": top}
     both = evaluate.tagged(parts, ["timestep", "x0"], "source")
     p = histogram.shared_bin_probabilities(both, "x0", 50, "source", TS, histogram.pooled_limits(c, ["x0"], TS))

@@ -171,7 +171,7 @@ def variables_aligned(spark, sf):
 )
 def cells_of_boxes(spark, sf):
     f = views.field(spark, sf)
-    chosen = boxes.first_boxes(boxes.all_boxes(f, (2, 1, views.depth(f) // 5), TS), 2)
+    chosen = boxes.first_boxes(f, (2, 1, views.depth(f) // 5), TS, 2)
     return boxes.cells_of_boxes(f, chosen, BOX, TS).select("timestep", "point_id", "ix", "iy", "iz", "u")
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellsift.operators import boxes, samplers
-from cellsift.operators.cluster import midpoint_centres
 from cellsift.params import CurationParams
 from cellsift.plans import views
 from cellsift.plans.catalog import query
@@ -51,7 +50,7 @@ def uniform_boxes(spark, sf):
 def maxent_boxes(spark, sf):
     f = views.field(spark, sf)
     p = _params(spark, sf, hypercubes="maxent", num_hypercubes=2)
-    chosen = boxes.select_boxes(f, p, midpoint_centres(f, ["u"], K, TS))
+    chosen = boxes.select_boxes(f, p)
     return chosen.select("timestep", "ix", "iy", "iz")
 
 
@@ -61,7 +60,7 @@ def maxent_boxes(spark, sf):
 )
 def top_boxes(spark, sf):
     f = views.field(spark, sf)
-    totals = boxes.score_boxes(f, ["u"], K, BOX, TS, 10, 0, midpoint_centres(f, ["u"], K, TS))
+    totals = boxes.score_boxes(f, ["u"], K, BOX, TS, 10, 0)
     return boxes.top_boxes(totals, 2, TS).select("timestep", "ix", "iy", "iz", F.col("rank").cast("long"))
 
 
@@ -82,7 +81,7 @@ def random_documents(spark, sf):
 @query("j05_maxent_points", with_(FIELD, *maxent_ctes("field", "u", 100, 5, 50, 2)) + "SELECT timestep, point_id, label FROM maxent_picks")
 def maxent_points(spark, sf):
     f = views.field(spark, sf)
-    picked = samplers.maxent(f, 100, cluster_cols=["u"], k=5, rounds=0, centres=midpoint_centres(f, ["u"], 5, TS), seed=2)
+    picked = samplers.maxent(f, 100, cluster_cols=["u"], k=5, rounds=0, seed=2)
     return picked.select("timestep", "point_id", "label")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellsift.functions.grid import int_div
-from cellsift.operators.boxes import all_boxes, first_boxes
+from cellsift.operators.boxes import first_boxes
 from cellsift.operators.draw import draw
 from cellsift.operators.windows import first_steps, with_windows
 from cellsift.plans import fixture_files as files
@@ -51,7 +51,7 @@ WHERE (gx // 5) + 2 * ((gy // 5) + gz // 5) < 2""",
 def box_reader(spark, sf):
     path = _raw_frames(spark, sf)
     times = listing.available_times(listing.list_files(spark, path, "u_*"))
-    chosen = first_boxes(all_boxes(times, (2, 1, 2), ["timestep"]), 2)
+    chosen = first_boxes(times, (2, 1, 2), ["timestep"], 2)
     cells = read_boxes(spark, path, ["u"], GRID, views.BOX, chosen)
     return _doubles(cells.select("timestep", "gx", "gy", "gz", "u"), "u")
 
@@ -276,7 +276,7 @@ def box_table(spark, sf):
     path = scratch_path(spark, "boxes")
     cells = views.field(spark, sf)
     counts = (2, 1, views.depth(cells) // 5)
-    sinks.write_boxes(first_boxes(all_boxes(cells, counts, ["timestep"]), 3), path)
+    sinks.write_boxes(first_boxes(cells, counts, ["timestep"], 3), path)
     return spark.read.parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A table is broadcast only after it has been counted and found to be within
@@ -55,9 +55,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute a small table once and cut its lineage (reliable checkpoint)."""
+    """Compute a small table once and cut its lineage (reliable checkpoint).
+
+    The rows are counted on the way; a table that is settled already stays.
+    """
+    if getattr(df, "_rows", None) is not None:
+        return df
     scratch_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    seen = Observation()
+    kept = df.observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
+    kept._rows = seen.get["rows"]
+    return kept
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -68,6 +76,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Settle ``df``, count it, and hint a broadcast only within ``max_rows``."""
+    """Settle ``df`` and hint a broadcast only if it is within ``max_rows``."""
     df = settle(df)
-    return F.broadcast(df) if df.count() <= max_rows else df
+    return F.broadcast(df) if df._rows <= max_rows else df

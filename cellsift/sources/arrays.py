@@ -20,46 +20,53 @@ NPZ_TARGET = "p"
 NPZ_CLUSTER = "pv"
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            with np.load(io.BytesIO(row["content"]), allow_pickle=False) as data:
-                cube = data["datacube"]
-            flat = cube.reshape(-1)
-            ny, nz = cube.shape[1], cube.shape[2]
-            for at in range(0, flat.size, ROWS_PER_BATCH):
-                index = np.arange(at, min(at + ROWS_PER_BATCH, flat.size))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "timestep": pa.array(np.full(index.size, row["timestep"])),
-                        "variable": pa.array([row["variable"]] * index.size),
-                        "point_id": pa.array(index),
-                        "gx": pa.array(index // (ny * nz)),
-                        "gy": pa.array(index // nz % ny),
-                        "gz": pa.array(index % nz),
-                        "value": pa.array(flat[index].astype("float64")),
-                    }
-                )
-
+def _wide(variables: Sequence[str]):
+    """Task-side decoder: the files of one snapshot to rows with a column each."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                cubes = {}
+                for file in row["files"]:
+                    with np.load(io.BytesIO(file["content"]), allow_pickle=False) as data:
+                        cubes[file["variable"]] = data["datacube"]
+                ny, nz = cubes[variables[0]].shape[1:3]
+                flat = {v: cubes[v].reshape(-1) for v in variables}
+                size = flat[variables[0]].size
+                for at in range(0, size, ROWS_PER_BATCH):
+                    index = np.arange(at, min(at + ROWS_PER_BATCH, size))
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "timestep": pa.array(np.full(index.size, row["timestep"])),
+                            "point_id": pa.array(index),
+                            "gx": pa.array(index // (ny * nz)),
+                            "gy": pa.array(index // nz % ny),
+                            "gz": pa.array(index % nz),
+                            **{v: pa.array(flat[v][index].astype("float64")) for v in variables},
+                        }
+                    )
 
-def read_npz(spark: SparkSession, path: str, variables: Sequence[str]) -> DataFrame:
-    """Long table of ``datacube`` cells of every (variable, time) file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path)
-    named = files.withColumns(
-        {"timestep": time_from_name(F.col("path"), TIME_IN_NPZ_NAME), "variable": F.regexp_extract("path", NPZ_VARIABLE, 1)}
-    ).where(F.col("timestep").isNotNull() & F.col("variable").isin(list(variables)))
-    return named.select("timestep", "variable", "content").mapInArrow(
-        _cells, "timestep double, variable string, point_id long, gx long, gy long, gz long, value double"
-    )
+    return decode
 
 
 def npz_snapshots(spark: SparkSession, path: str, variables: Sequence[str]) -> DataFrame:
-    """One row per cell with a column per variable; cells that miss one go."""
-    long = read_npz(spark, path, variables)
-    wide = long.groupBy("timestep", "point_id", "gx", "gy", "gz").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.max(F.when(F.col("variable") == v, F.col("value"))).alias(v) for v in variables]
+    """One row per cell with a column per variable, from ``datacube`` files.
+
+    The compressed files of a snapshot are brought to one task, so its cells are
+    aligned by position and never shuffled.  A snapshot that misses a variable
+    is dropped whole.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path)
+    named = files.select(
+        time_from_name(F.col("path"), TIME_IN_NPZ_NAME).alias("timestep"),
+        F.regexp_extract("path", NPZ_VARIABLE, 1).alias("variable"),
+        "content",
+    ).where(F.col("timestep").isNotNull() & F.col("variable").isin(list(variables)))
+    whole = named.groupBy("timestep").agg(F.collect_list(F.struct("variable", "content")).alias("files"))
+    columns = ", ".join(f"{v} double" for v in variables)
+    return whole.where(F.size("files") == len(variables)).mapInArrow(
+        _wide(list(variables)), f"timestep double, point_id long, gx long, gy long, gz long, {columns}"
     )
-    return wide.where(F.col("_n") == len(variables)).drop("_n")
 
 
 def _axes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,7 +43,7 @@ LOADERS = {
     "gests+": _block_dir,
     "csv": lambda spark, path, p: read_csv_snapshots(spark, path),
     "npz": lambda spark, path, p: npz_snapshots(spark, path, _variables(p)),
-    "openfoam": lambda spark, path, p: read_snapshots(spark, path, p.write_interval, 100),
+    "openfoam": lambda spark, path, p: read_snapshots(spark, path, p.write_interval, p.num_timesteps),
 }
 
 

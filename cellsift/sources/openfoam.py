@@ -37,27 +37,30 @@ def _values(content: bytes) -> np.ndarray:
     return flat.reshape(count, width)
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            data = _values(row["content"])
-            for at in range(0, len(data), ROWS_PER_BATCH):
-                part = data[at : at + ROWS_PER_BATCH]
-                spread = [pa.array(part[:, i]) if i < part.shape[1] else pa.nulls(len(part), pa.float64()) for i in range(3)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(part), row["timestep"])),
-                        pa.array([row["field"]] * len(part)),
-                        pa.array(np.arange(at, at + len(part))),
-                        *spread,
-                    ],
-                    names=["timestep", "field", "point_id", "c0", "c1", "c2"],
-                )
+def _wide(fields: Sequence[str]):
+    """Task-side decoder: the field files of one time to rows with all columns."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                data = {f["field"]: _values(f["content"]) for f in row["files"]}
+                size = len(data[fields[0]])
+                for at in range(0, size, ROWS_PER_BATCH):
+                    end = min(at + ROWS_PER_BATCH, size)
+                    cols = {"timestep": pa.array(np.full(end - at, row["timestep"])), "point_id": pa.array(np.arange(at, end))}
+                    for f in fields:
+                        cols.update({name: pa.array(data[f][at:end, i]) for i, name in enumerate(FIELDS[f])})
+                    yield pa.RecordBatch.from_pydict(cols)
+
+    return decode
 
 
 def read_fields(spark: SparkSession, case: str, fields: Sequence[str], times: Sequence[int]) -> DataFrame:
-    """Long table of field values at whole times.  Only the files of the wanted
-    times and fields are listed."""
+    """Fields at whole times, one row per cell with a column per component.
+
+    Only the files of the wanted times and fields are listed.  The files of one
+    time meet in one task and are aligned by position.
+    """
     paths = [f"{case.rstrip('/')}/{t}/{f}.gz" for t in times for f in fields]
     files = spark.read.format("binaryFile").load(paths)
     named = files.select(
@@ -65,22 +68,20 @@ def read_fields(spark: SparkSession, case: str, fields: Sequence[str], times: Se
         F.regexp_extract("path", r"/([^/]+)\.gz$", 1).alias("field"),
         "content",
     )
-    return named.mapInArrow(_rows, "timestep long, field string, point_id long, c0 double, c1 double, c2 double")
+    whole = named.groupBy("timestep").agg(F.collect_list(F.struct("field", "content")).alias("files"))
+    columns = ", ".join(f"{name} double" for f in fields for name in FIELDS[f])
+    return whole.mapInArrow(_wide(list(fields)), f"timestep long, point_id long, {columns}")
 
 
 def read_cells(spark: SparkSession, case: str) -> DataFrame:
     """Cell centres: ``point_id, x, y, z``."""
-    centres = read_fields(spark, case, ["C"], [0])
-    return centres.select("point_id", F.col("c0").alias("x"), F.col("c1").alias("y"), F.col("c2").alias("z"))
+    return read_fields(spark, case, ["C"], [0]).drop("timestep")
 
 
 def read_snapshots(spark: SparkSession, case: str, write_interval: int, num_timesteps: int) -> DataFrame:
     """Pressure, velocity and vorticity at times wi, 2 wi, ... as columns."""
     times = range(write_interval, write_interval * num_timesteps + 1, write_interval)
-    long = read_fields(spark, case, ["p", "U", "vorticity"], times)
-    pick = lambda field, i: F.max(F.when(F.col("field") == field, F.col(f"c{i}")))
-    aggs = [pick(f, i).alias(name) for f in ("p", "U", "vorticity") for i, name in enumerate(FIELDS[f])]
-    return long.groupBy("timestep", "point_id").agg(*aggs)
+    return read_fields(spark, case, ["p", "U", "vorticity"], times)
 
 
 def project(df: DataFrame, target: str, dims: int) -> DataFrame:

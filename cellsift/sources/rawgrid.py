@@ -47,7 +47,7 @@ from pyspark.sql.datasource import (
 PREFIXES = {"enstrophy": "enst", "velocity": "uvw", "pressure": "p", "dissipation": "diss"}
 VALUE_BYTES = 4
 ROWS_PER_BATCH = 262_144
-SLAB_BYTES = 128 * 1024 * 1024
+SLAB_BYTES = 256 * 1024 * 1024
 
 
 @dataclass
@@ -91,10 +91,7 @@ class GridLayout:
             self.grid["x"] //= self.blocks
 
     def columns(self) -> list[str]:
-        out = []
-        for v in self.vars:
-            out += [f"{v}_x", f"{v}_y", f"{v}_z"] if v in self.vectors else [v]
-        return out
+        return [name for v in self.vars for name in self.names(v)]
 
     def schema(self) -> T.StructType:
         fields = [T.StructField("timestep", self.time_type)]
@@ -104,6 +101,22 @@ class GridLayout:
         fields += [T.StructField(c, T.FloatType()) for c in self.columns()]
         return T.StructType(fields)
 
+    def names(self, variable: str) -> list[str]:
+        return [f"{variable}_{a}" for a in "xyz"] if variable in self.vectors else [variable]
+
+    def file_of(self, variable: str, timestep) -> str:
+        if self.layout == "flat":
+            return os.path.join(self.path, f"{variable}_{timestep:.6f}")
+        return os.path.join(self.path, variable, f"cube_{PREFIXES.get(variable, variable)}.{int(timestep)}")
+
+    def open(self, variable: str, file: str) -> np.memmap:
+        """The file as (slow, middle, fast, component), its size checked."""
+        shape = (*[self.grid[a] for a in self.order], len(self.names(variable)))
+        expected = int(np.prod(shape)) * VALUE_BYTES
+        if os.path.getsize(file) != expected:
+            raise ValueError(f"{file}: {os.path.getsize(file)} bytes where the grid needs {expected}")
+        return np.memmap(file, dtype="<f4", mode="r", shape=shape)
+
     def wanted(self, axis: str) -> np.ndarray:
         """Cells kept along an axis: crop, stride and padding together."""
         end = self.grid[axis] - (self.pad if axis == "x" else 0)
@@ -214,14 +227,7 @@ class RawGridReader(DataSourceReader):
         keep = {a: lay.wanted(a) + shift(a) for a in "xyz"}
         keep = {a: k[k < lay.grid[a]] for a, k in keep.items()}
         planes = keep[slow][(keep[slow] >= partition.start) & (keep[slow] < partition.stop)]
-        maps = {}
-        for v, file in partition.files.items():
-            parts = 3 if v in lay.vectors else 1
-            shape = (lay.grid[slow], lay.grid[mid], lay.grid[fast], parts)
-            expected = int(np.prod(shape)) * VALUE_BYTES
-            if os.path.getsize(file) != expected:
-                raise ValueError(f"{file}: {os.path.getsize(file)} bytes where the grid needs {expected}")
-            maps[v] = np.memmap(file, dtype="<f4", mode="r", shape=shape)
+        maps = {v: lay.open(v, file) for v, file in partition.files.items()}
         arrow_schema = _arrow_schema(self.schema)
         per_batch = max(1, ROWS_PER_BATCH // max(1, len(keep[mid]) * len(keep[fast])))
         for at in range(0, len(planes), per_batch):
@@ -236,8 +242,7 @@ class RawGridReader(DataSourceReader):
             for v, data in maps.items():
                 # Whole planes are read in order; the stride is taken in memory.
                 block = np.stack([np.asarray(data[p])[keep[mid]][:, keep[fast]] for p in some]).reshape(n, -1)
-                names = [f"{v}_x", f"{v}_y", f"{v}_z"] if v in lay.vectors else [v]
-                for i, name in enumerate(names):
+                for i, name in enumerate(lay.names(v)):
                     cols[name] = block[:, i]
             arrays = [pa.array(np.ascontiguousarray(cols[f.name])).cast(f.type) for f in arrow_schema]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow_schema)
@@ -273,23 +278,34 @@ def read_raw_grid(spark: SparkSession, path: str, variables, grid: tuple[int, in
 
 
 def read_boxes(spark: SparkSession, path: str, variables, grid, box, chosen: DataFrame, **options) -> DataFrame:
-    """Cells of chosen boxes only.
+    """Cells of chosen boxes only, layouts ``flat`` and ``var_dir``.
 
-    The times and the planes the boxes cover are read from the small box table
-    and pushed to the source, so other files and slabs are never opened; the
-    semi join then keeps the chosen boxes.
+    The box table is spread over tasks, and each task seeks to the rows of its
+    boxes: nothing else of a file is read.  Rows as of ``read_raw_grid`` with
+    ``ix, iy, iz``.
     """
-    from pyspark.sql import functions as F
-
-    from cellsift.operators.boxes import cells_of_boxes
-
-    order = options.get("axis_order", "zyx")
-    slow = order[0]
-    size = dict(zip("xyz", box))[slow]
-    span = chosen.agg(F.min(f"i{slow}"), F.max(f"i{slow}"), F.min("timestep"), F.max("timestep")).first()
-    cells = read_raw_grid(spark, path, variables, grid, **options)
-    if span[0] is not None:
-        cells = cells.where(
-            F.col(f"g{slow}").between(span[0] * size, (span[1] + 1) * size - 1) & F.col("timestep").between(span[2], span[3])
-        )
-    return cells_of_boxes(cells, chosen, box, ["timestep"])
+    text = {k: ",".join(str(x) for x in v) if isinstance(v, (list, tuple)) else str(v) for k, v in options.items()}
+    layout = GridLayout({"path": path, "vars": ",".join(variables), "nx": grid[0], "ny": grid[1], "nz": grid[2], **text})
+    schema = T.StructType([*[T.StructField(f"i{a}", T.LongType()) for a in "xyz"], *layout.schema().fields])
+    arrow_schema = _arrow_schema(schema)
+    size = dict(zip("xyz", box))
+
+    def read(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                corner = {a: row[f"i{a}"] * size[a] for a in "xyz"}
+                span = [np.arange(corner[a], corner[a] + size[a]) for a in layout.order]
+                grids = np.meshgrid(*span, indexing="ij")
+                cells = {f"g{a}": g.ravel() for a, g in zip(layout.order, grids)}
+                n = grids[0].size
+                cols = {"timestep": np.full(n, row["timestep"]), **cells}
+                cols.update({f"i{a}": np.full(n, row[f"i{a}"]) for a in "xyz"})
+                window = tuple(slice(s[0], s[-1] + 1) for s in span)
+                for v in layout.vars:
+                    data = layout.open(v, layout.file_of(v, row["timestep"]))
+                    cols.update(zip(layout.names(v), np.asarray(data[window]).reshape(n, -1).T))
+                arrays = [pa.array(np.ascontiguousarray(cols[f.name])).cast(f.type) for f in arrow_schema]
+                yield pa.RecordBatch.from_arrays(arrays, schema=arrow_schema)
+
+    boxes = chosen.select("timestep", "ix", "iy", "iz")
+    return boxes.repartition("timestep", "ix", "iy", "iz").mapInArrow(read, schema)
