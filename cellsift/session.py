@@ -75,7 +75,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def small_side(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Settle ``df`` and hint a broadcast only if it is within ``max_rows``."""
     df = settle(df)
-    return F.broadcast(df) if df._rows <= max_rows else df
+    return F.broadcast(df) if df._rows <= (BROADCAST_ROWS if max_rows is None else max_rows) else df
