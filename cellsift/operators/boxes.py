@@ -140,8 +140,12 @@ def draw_scored(totals: DataFrame, n: int | None, group_cols: Sequence[str], see
     return draw(joined, n, BOX_COLS, group, weight="_w", seed=f"box-{seed}", short="all").drop("_mass", "_boxes", "_live", "_w")
 
 
-def select_boxes(cells: DataFrame, params, centres: DataFrame | None = None) -> DataFrame:
-    """Chosen boxes per timestep: group columns, ``ix, iy, iz`` and ``box_no``."""
+def select_boxes(cells: DataFrame, params, centres: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """Chosen boxes per timestep: group columns, ``ix, iy, iz`` and ``box_no``.
+
+    ``groups`` lists the timesteps if they are known; the cells are then read
+    for the maximum-entropy method only.
+    """
     group = list(params.group_cols)
     counts = box_counts(params.grid, params.box, params.pad)
     n = params.num_hypercubes
@@ -152,9 +156,10 @@ def select_boxes(cells: DataFrame, params, centres: DataFrame | None = None) ->
         )
         chosen = draw_scored(totals, n, group, params.seed)
         return chosen.select(*group, *BOX_COLS, box_number(counts).alias("box_no"))
+    groups = cells if groups is None else groups
     if params.hypercubes == "uniform":
-        return first_boxes(cells, counts, group, n)
-    return random_boxes(all_boxes(cells, counts, group), n, group, params.seed)
+        return first_boxes(groups, counts, group, n)
+    return random_boxes(all_boxes(groups, counts, group), n, group, params.seed)
 
 
 def cells_of_boxes(cells: DataFrame, chosen: DataFrame, box: tuple[int, int, int], group_cols: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellsift.functions.bins import bin_index, flat_bin
-from cellsift.session import small_side
+from cellsift.session import settle, small_side
 
 # Fixed value: added to every probability before a logarithm is taken.
 EPSILON = 1e-10
@@ -117,17 +117,17 @@ def density_histogram(df: DataFrame, col: str, edges: int, group_cols: Sequence[
     """Density per bin from ``edges`` evenly spaced edges, that is edges - 1
     bins; counts times width add up to one."""
     bins = edges - 1
-    limits = small_side(pooled_limits(df, [col], group_cols).withColumn("n_all", F.lit(0)))
-    counts = with_bin(df, [col], bins, group_cols, limits.drop("n_all")).groupBy(*group_cols, "bin").agg(
+    limits = settle(pooled_limits(df, [col], group_cols))
+    counts = with_bin(df, [col], bins, group_cols, limits).groupBy(*group_cols, "bin").agg(
         F.count(F.lit(1)).alias("cnt")
     )
     full = counts_with_zeros(counts, bins, group_cols)
-    totals = counts.groupBy(*group_cols).agg(F.sum("cnt").alias("_n"))
+    total = F.sum("cnt").over(Window.partitionBy(*group_cols))
     span = F.when(F.col("hi") == F.col("lo"), F.lit(1.0)).otherwise(F.col("hi") - F.col("lo"))
     width = span / F.lit(bins)
     return (
-        full.join(totals, list(group_cols))
-        .join(limits.drop("n_all"), list(group_cols))
+        full.withColumn("_n", total)
+        .join(limits, list(group_cols))
         .withColumn("density", F.col("cnt") / (F.col("_n") * width))
         .withColumn("area", F.col("cnt") / F.col("_n"))
         .drop("_n", "lo", "hi")
@@ -143,8 +143,7 @@ def shared_bin_probabilities(tagged: DataFrame, col: str, bins: int, tag: str, g
     keys = [*group_cols, tag]
     counts = with_bin(tagged, [col], bins, group_cols, limits).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("cnt"))
     full = counts_with_zeros(counts, bins, keys)
-    totals = counts.groupBy(*keys).agg(F.sum("cnt").alias("_n"))
-    return full.join(totals, keys).withColumn("p", F.col("cnt") / F.col("_n")).drop("_n", "cnt")
+    return full.withColumn("p", F.col("cnt") / F.sum("cnt").over(Window.partitionBy(*keys))).drop("cnt")
 
 
 def column_histograms(df: DataFrame, cols: Sequence[str], bins: int, split_col: str) -> DataFrame:

@@ -52,7 +52,7 @@ def dataset_profile(df: DataFrame, id_cols: Sequence[str], cols: Sequence[str],
     The first values come from one bounded top-k per column over the scan.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    count = df.agg(F.count(F.lit(1)).alias("n"))
+    count = F.lit(df.count()).cast("long")
     order = df.select(*id_cols, *cols).orderBy(*id_cols).limit(heads)
     first = order.agg(
         *[
@@ -65,13 +65,11 @@ def dataset_profile(df: DataFrame, id_cols: Sequence[str], cols: Sequence[str],
             F.struct(
                 F.lit(c).alias("column"),
                 F.lit(types[c].simpleString()).alias("type"),
-                F.lit(WIDTHS[type(types[c])]).cast("long").alias("width"),
+                count.alias("n"),
+                (count * F.lit(WIDTHS[type(types[c])])).alias("bytes"),
                 F.col(c).alias("head"),
             )
             for c in cols
         ]
     )
-    heads_table = first.select(F.explode(rows).alias("r")).select("r.*", F.lit(1).alias("_one"))
-    total = count.withColumn("_one", F.lit(1))
-    out = heads_table.join(F.broadcast(total), "_one")  # one row
-    return out.select("column", "type", "n", (F.col("n") * F.col("width")).alias("bytes"), "head")
+    return first.select(F.explode(rows).alias("r")).select("r.*")

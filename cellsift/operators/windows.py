@@ -15,7 +15,8 @@ from cellsift.session import small_side
 def time_index(df: DataFrame, time_col: str = "timestep") -> DataFrame:
     """Distinct times with their dense index ``t_idx`` and their number ``n_t``.
 
-    The window runs over the table of times only, one row per timestep.
+    ``df`` may be the rows themselves or just a list of times, which saves a
+    scan.  The window runs over the distinct times only, one row per timestep.
     """
     times = df.select(time_col).distinct()
     everything = Window.partitionBy(F.lit(0))
@@ -27,12 +28,17 @@ def time_index(df: DataFrame, time_col: str = "timestep") -> DataFrame:
     )
 
 
-def with_windows(df: DataFrame, window: int, time_col: str = "timestep") -> DataFrame:
+def window_steps(times: DataFrame, window: int, time_col: str = "timestep") -> DataFrame:
+    """Times with ``t_idx`` and ``window_id``; those after the last complete
+    window are left out."""
+    indexed = time_index(times, time_col)
+    whole = indexed.where(F.col("t_idx") < int_div("n_t", window) * window)
+    return whole.select(time_col, "t_idx", int_div("t_idx", window).alias("window_id"))
+
+
+def with_windows(df: DataFrame, window: int, time_col: str = "timestep", times: DataFrame | None = None) -> DataFrame:
     """Add ``t_idx`` and ``window_id``; steps after the last complete window go."""
-    times = time_index(df, time_col)
-    whole = times.where(F.col("t_idx") < int_div("n_t", window) * window)
-    whole = whole.select(time_col, "t_idx", int_div("t_idx", window).alias("window_id"))
-    return df.join(small_side(whole), time_col)
+    return df.join(small_side(window_steps(df if times is None else times, window, time_col)), time_col)
 
 
 def first_steps(windowed: DataFrame, window: int) -> DataFrame:
@@ -56,7 +62,12 @@ def project_target(windowed: DataFrame, sampled: DataFrame, target_cols: Sequenc
 
 
 def sequences(
-    df: DataFrame, window: int, overlap: int, time_col: str = "timestep", entity_cols: Sequence[str] = ("cube_id",)
+    df: DataFrame,
+    window: int,
+    overlap: int,
+    time_col: str = "timestep",
+    entity_cols: Sequence[str] = ("cube_id",),
+    times: DataFrame | None = None,
 ) -> DataFrame:
     """Sliding sequences over timesteps, per entity.
 
@@ -67,7 +78,7 @@ def sequences(
     stride = window - overlap
     if stride <= 0:
         raise ValueError(f"window ({window}) must be larger than overlap ({overlap})")
-    times = time_index(df, time_col)
+    times = time_index(df if times is None else times, time_col)
     count = F.floor((F.col("n_t") - window) / F.lit(stride)) + 1
     first = F.greatest(F.lit(0), F.ceil((F.col("t_idx") - window + 1) / F.lit(stride)))
     last = F.least(count - 1, F.floor(F.col("t_idx") / F.lit(stride)))

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellsift.functions.grid import box_counts, box_number, local_number
 from cellsift.operators.boxes import cells_of_boxes, select_boxes
 from cellsift.operators.samplers import SAMPLERS
-from cellsift.operators.windows import apply_selection, first_steps, with_windows
+from cellsift.operators.windows import apply_selection, first_steps, match_times, rows_at_times, window_steps
 from cellsift.params import CurationParams, TargetKind
-from cellsift.session import settle, written
+from cellsift.session import settle, small_side, written
 from cellsift.sinks.tables import write_boxes, write_curated, write_selection
+from cellsift.sources.rawgrid import grid_times, read_boxes, read_raw_grid
 
 
 @dataclass
@@ -26,27 +27,72 @@ class Curated:
     targets: DataFrame
 
 
-def curate(cells: DataFrame, params: CurationParams, centres: DataFrame | None = None, point_centres: DataFrame | None = None) -> Curated:
+def curate(
+    cells: DataFrame,
+    params: CurationParams,
+    centres: DataFrame | None = None,
+    point_centres: DataFrame | None = None,
+    times: DataFrame | None = None,
+) -> Curated:
     """Choose boxes per timestep and draw points per window.
 
-    ``cells`` has ``timestep, point_id, gx, gy, gz`` and the variables.  Points
-    are drawn at the first step of a window and kept for its other steps.  Boxes
-    are those of the window's first step, so that a kept point exists in every
-    step.
+    ``cells`` has ``timestep, point_id, gx, gy, gz`` and the variables; ``times``
+    lists the timesteps if they are known.  Points are drawn at the first step
+    of a window and kept for its other steps.  Boxes are those of the window's
+    first step, so that a kept point exists in every step.
     """
-    windowed = with_windows(cells, params.window)
-    boxes = settle(select_boxes(first_steps(windowed, params.window).drop("window_id", "t_idx"), params, centres))
-
-    # Box tables are small: turn their timestep into the window it starts.
-    steps = settle(windowed.select("timestep", "t_idx", "window_id").distinct())
-    starts = boxes.join(first_steps(steps, params.window), "timestep").select("window_id", "ix", "iy", "iz")
-    counts = box_counts(params.grid, params.box, params.pad)
-    kept = (
-        cells_of_boxes(windowed, starts, params.box, ["window_id"])
-        .withColumn("cube_id", box_number(counts))
-        .withColumn("local_id", local_number(params.box))
-    )
-    kept = written(kept, "kept-boxes")
+    steps = settle(window_steps(cells if times is None else times, params.window))
+    firsts = settle(first_steps(steps, params.window))
+    scored = cells.join(small_side(firsts.select("timestep")), "timestep", "left_semi")
+    boxes = settle(select_boxes(scored, params, centres, firsts))
+    chosen = _at_every_step(boxes, steps, firsts)
+    rows = cells_of_boxes(cells, chosen, params.box, ["timestep"]).join(small_side(steps), "timestep")
+    return _sample(boxes, rows, params, point_centres)
+
+
+def curate_archive(
+    spark: SparkSession, path: str, params: CurationParams, layout: str = "flat", centres: DataFrame | None = None, **options
+) -> Curated:
+    """The same job straight from raw grid files.
+
+    Only the cluster variables are scanned, at the first step of each window
+    and at the strides of ``params``; that scan is written down once, because
+    clustering reads it several times.  Of all other variables and steps only
+    the chosen boxes are read, by seeking to them.
+    """
+    variables = list(dict.fromkeys([*params.cluster_var, *params.input_vars, *params.output_vars]))
+    times = settle(grid_times(spark, path, variables, params.grid, layout=layout, **options))
+    if params.timesteps is not None:
+        requested = spark.createDataFrame([(float(t),) for t in params.timesteps], "requested double")
+        times = settle(rows_at_times(times, match_times(requested, times)))
+    steps = settle(window_steps(times, params.window))
+    firsts = settle(first_steps(steps, params.window))
+
+    scored = None
+    if params.hypercubes == "maxent":
+        wanted = [r["timestep"] for r in firsts.select("timestep").collect()]  # one value per window
+        strides = (params.nxskip, params.nyskip, params.nzskip)
+        scan = read_raw_grid(spark, path, params.cluster_var, params.grid, layout=layout, skips=strides, pad=params.pad, **options)
+        scored = written(scan.where(F.col("timestep").isin(wanted)), "scored-cells")
+    boxes = settle(select_boxes(scored, params, centres, firsts))
+    chosen = _at_every_step(boxes, steps, firsts)
+    cells = read_boxes(spark, path, variables, params.grid, params.box, chosen, layout=layout, **options)
+    nx, ny, _ = params.grid
+    rows = cells.withColumn("point_id", F.col("gx") + F.lit(nx) * (F.col("gy") + F.lit(ny) * F.col("gz")))
+    values = {v: F.col(v).cast("double") for v in variables if v in rows.columns}
+    return _sample(boxes, rows.withColumns(values).join(small_side(steps), "timestep"), params, None)
+
+
+def _at_every_step(boxes: DataFrame, steps: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The boxes of a window's first step, for each step of the window."""
+    starts = boxes.join(firsts, "timestep").select("window_id", "ix", "iy", "iz")
+    return starts.join(steps, "window_id").select("timestep", "ix", "iy", "iz")
+
+
+def _sample(boxes: DataFrame, rows: DataFrame, params: CurationParams, centres: DataFrame | None) -> Curated:
+    """Draw points among the cells of the chosen boxes."""
+    numbers = box_number(box_counts(params.grid, params.box, params.pad))
+    kept = written(rows.withColumns({"cube_id": numbers, "local_id": local_number(params.box)}), "kept-boxes")
 
     if params.method == "full":
         selection = first_steps(kept, params.window).select("window_id", "cube_id", "point_id")
@@ -62,7 +108,7 @@ def curate(cells: DataFrame, params: CurationParams, centres: DataFrame | None =
         rounds=params.kmeans_rounds,
         seed=params.seed,
         group_cols=groups,
-        centres=point_centres,
+        centres=centres,
         draw_cols=["cube_id"] if params.per_cube else [],
     )
     if params.method == "maxent":
@@ -71,6 +117,7 @@ def curate(cells: DataFrame, params: CurationParams, centres: DataFrame | None =
         options["bins"] = params.phase_bins
     picked = SAMPLERS[params.method](first, n, **options)
     selection = settle(picked.select("window_id", "cube_id", "point_id"))
+    # A draw with replacement may pick a point twice; both copies are kept.
     sampled = apply_selection(kept, selection.select("window_id", "point_id"))
     return Curated(boxes, selection, _inputs(sampled, params), _targets(kept, sampled, params))
 

@@ -9,7 +9,7 @@ from cellsift.operators import scaling
 from cellsift.operators.cluster import assign, drawn_centres, lloyd, spark_kmeans
 from cellsift.plans import views
 from cellsift.plans.catalog import query, rounded
-from cellsift.plans.sqltext import labelled, midpoints, moved, with_
+from cellsift.plans.sqltext import labelled, midpoints, moved, race, with_
 from cellsift.plans.training import training_table
 from cellsift.plans.views import CLOUD, FIELD, LINE_ITEMS
 
@@ -54,7 +54,17 @@ def kmeans_parallel_starts(spark, sf):
     return assign(v, cols, centres, 5, TS).groupBy("label").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-@query("j12_kmeans_drawn_starts")
+STARTS = f"""cent0 AS (SELECT timestep, {', '.join(f'list(u ORDER BY u)[{i + 1}] AS c{i}_0' for i in range(K))} FROM (SELECT timestep, u, row_number() OVER
+(PARTITION BY timestep ORDER BY {race(['timestep', 'point_id'], 'centres-1')}, point_id) AS n FROM field) WHERE n <= {K} GROUP BY timestep)"""
+
+
+@query(
+    "j12_kmeans_drawn_starts",
+    with_(FIELD, STARTS, *lloyd_ctes("field", ["u"], K, 4)[1:])
+    + "SELECT timestep, row_number() OVER (PARTITION BY timestep ORDER BY c) - 1 AS label, round(c, 4) AS centre FROM ("
+    + " UNION ALL ".join(f"SELECT timestep, c{i}_0 AS c FROM cent4" for i in range(K))
+    + ")",
+)
 def kmeans_drawn_starts(spark, sf):
     """Distributed k-means of every timestep from seeded starts, true means."""
     f = views.field(spark, sf)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from cellsift.operators import boxes, samplers
 from cellsift.params import CurationParams
 from cellsift.plans import views
 from cellsift.plans.catalog import query
-from cellsift.plans.curate import curate
+from cellsift.plans.curate import curate, curate_archive, write
 from cellsift.plans.queries_aggregates import BOX_TOTALS, K, maxent_ctes, picks, uips_ctes
+from cellsift.plans.queries_learning import lloyd_ctes
 from cellsift.plans.queries_relational import _all_picks, design_sql, greedy_sql
-from cellsift.plans.sqltext import key, race, with_
-from cellsift.plans.views import CLOUD, DOCS, FIELD, VECTORS
+from cellsift.plans.queries_sources import raw_frames
+from cellsift.plans.sqltext import cluster_hist, key, labelled, probabilities, race, with_
+from cellsift.plans.views import CLOUD, DOCS, FIELD, FRAMES, VECTORS
 from cellsift.session import scratch_path
 
 TS = ["timestep"]
@@ -153,13 +157,83 @@ def curation_job(spark, sf):
     return result.inputs.select(*keys, "u", "v").join(result.targets.select(*keys, "w"), keys)
 
 
-@query("j16_maxent_curation_job")
+def staged(ctes, tag: str) -> list[str]:
+    """The same CTEs under other names, for a second stage in one statement."""
+    names = "lv|rng|cnts|hist|raw_dist|dist|kl|st|labelled|weighted|maxent_picks|totals|cent\\d|lab\\d"
+    return [re.sub(rf"\b({names})\b(?! *\()", rf"\1_{tag}", text) for text in ctes]
+
+
+def _scored(view: str, col: str, rounds: int, bins: int) -> list[str]:
+    return [
+        *lloyd_ctes(view, [col], K, rounds),
+        labelled(view, [col], K, "labelled", f"cent{rounds}"),
+        cluster_hist("labelled", [col], K, bins),
+        probabilities(),
+        "kl AS (SELECT a.timestep, a.label AS i, b.label AS j, sum(a.p * ln(a.p / b.p)) AS divergence FROM dist a JOIN dist b ON a.timestep = b.timestep AND a.bin = b.bin GROUP BY ALL)",
+    ]
+
+
+STAGE_ONE = staged(
+    [
+        *_scored("field0", "u", 3, 10),
+        "st AS (SELECT timestep, i AS label, sum(divergence) AS strength FROM kl WHERE i <> j GROUP BY timestep, i)",
+        "totals AS (SELECT timestep, gx // 5 AS ix, gy // 5 AS iy, gz // 5 AS iz, sum(strength) AS total FROM labelled JOIN st USING (timestep, label) GROUP BY ALL)",
+    ],
+    "a",
+)
+STAGE_TWO = staged(
+    [
+        *_scored("kept0", "u", 3, 50),
+        "st AS (SELECT timestep, j AS label, sum(divergence) AS strength FROM kl GROUP BY timestep, j)",
+        "weighted AS (SELECT * FROM labelled JOIN st USING (timestep, label))",
+        picks("maxent_picks", "weighted", 20, 0, "strength"),
+    ],
+    "b",
+)
+
+
+@query(
+    "j16_maxent_curation_job",
+    with_(
+        FIELD,
+        "field0 AS (SELECT * FROM field WHERE timestep % 2 = 0)",
+        *STAGE_ONE,
+        f"cb AS (SELECT timestep // 2 AS window_id, ix, iy, iz FROM ({box_draw('totals_a', 2, 'total')}))",
+        """kept AS (SELECT f.*, f.timestep // 2 AS window_id, gx // 5 + 2 * (gy // 5 + gz // 5) AS cube_id FROM field f
+JOIN cb ON cb.window_id = f.timestep // 2 AND ix = gx // 5 AND iy = gy // 5 AND iz = gz // 5)""",
+        "kept0 AS (SELECT * FROM kept WHERE timestep % 2 = 0)",
+        *STAGE_TWO,
+    )
+    + """SELECT k.timestep, k.timestep AS t_idx, k.window_id, k.cube_id, ((k.gx % 5) * 5 + k.gy % 5) * 5 + k.gz % 5 AS local_id, k.point_id, k.gx, k.gy, k.gz, k.u, k.v
+FROM kept k JOIN maxent_picks_b p ON p.window_id = k.window_id AND p.point_id = k.point_id""",
+)
 def maxent_curation_job(spark, sf):
     """Both stages by maximum entropy, written and read back."""
-    from cellsift.plans.curate import write
-
     p = _params(spark, sf, hypercubes="maxent", num_hypercubes=2, method="maxent", num_samples=10, kmeans_rounds=3, target="p")
     path = scratch_path(spark, "job")
     write(curate(views.field(spark, sf), p), path)
     return spark.read.parquet(f"{path}/inputs").withColumn("timestep", F.col("timestep").cast("long"))
 
+
+@query(
+    "j16_archive_job",
+    with_(
+        FRAMES,
+        "every_box AS (SELECT DISTINCT frame + 0.5::DOUBLE AS timestep, gx // 5 AS ix, gy // 5 AS iy, gz // 5 AS iz, gx // 5 + 2 * (gy // 5 + gz // 5) AS box_no FROM frames)",
+        f"cb AS (SELECT CAST(floor(timestep) AS BIGINT) // 2 AS window_id, ix, iy, iz FROM ({box_draw('every_box', 2, keys='box_no')}) WHERE floor(timestep) % 2 = 0)",
+        """kept AS (SELECT frame + 0.5::DOUBLE AS timestep, frame // 2 AS window_id, gx + 10 * (gy + 5 * gz) AS point_id, gx // 5 + 2 * (gy // 5 + gz // 5) AS cube_id,
+CAST(CAST(u AS FLOAT) AS DOUBLE) AS u, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM frames JOIN cb ON cb.window_id = frame // 2 AND ix = gx // 5 AND iy = gy // 5 AND iz = gz // 5
+WHERE frame < (SELECT max(frame) + 1 FROM frames) // 2 * 2)""",
+        f"""sel AS (SELECT window_id, point_id FROM (SELECT *, row_number() OVER (PARTITION BY timestep ORDER BY {race(['timestep', 'point_id'], 0)}, point_id) AS n
+FROM kept WHERE CAST(floor(timestep) AS BIGINT) % 2 = 0) WHERE n <= 20)""",
+    )
+    + "SELECT timestep, window_id, cube_id, point_id, u, v FROM kept JOIN sel USING (window_id, point_id)",
+)
+def archive_job(spark, sf):
+    """The job straight from raw grid files; only chosen boxes are read."""
+    nx, ny, nz = views.FRAME_GRID
+    p = _params(
+        spark, sf, nx=nx, ny=ny, nz=nz, hypercubes="random", num_hypercubes=2, method="random", num_samples=10, target="p", output_vars=("v",)
+    )
+    result = curate_archive(spark, raw_frames(spark, sf), p)
+    return result.inputs.select("timestep", "window_id", "cube_id", "point_id", "u", "v")

@@ -22,7 +22,7 @@ GRID = views.FRAME_GRID
 FLOAT = "CAST(CAST({0} AS FLOAT) AS DOUBLE) AS {0}"
 
 
-def _raw_frames(spark, sf) -> str:
+def raw_frames(spark, sf) -> str:
     """Flat grid files, one per frame and variable, x fastest."""
     path = scratch_path(spark, "raw")
     frames = views.frames(spark, sf).withColumn("name", F.format_string("{}_%.6f", F.col("frame") + F.lit(0.5)))
@@ -39,7 +39,7 @@ def _doubles(df, *cols):
     with_(FRAMES) + f"SELECT frame + 0.5::DOUBLE AS timestep, gx, gy, gz, {FLOAT.format('u')}, {FLOAT.format('v')} FROM frames",
 )
 def raw_grid_scan(spark, sf):
-    return _doubles(read_raw_grid(spark, _raw_frames(spark, sf), ["u", "v"], GRID), "u", "v")
+    return _doubles(read_raw_grid(spark, raw_frames(spark, sf), ["u", "v"], GRID), "u", "v")
 
 
 @query(
@@ -49,7 +49,7 @@ def raw_grid_scan(spark, sf):
 WHERE (gx // 5) + 2 * ((gy // 5) + gz // 5) < 2""",
 )
 def box_reader(spark, sf):
-    path = _raw_frames(spark, sf)
+    path = raw_frames(spark, sf)
     times = listing.available_times(listing.list_files(spark, path, "u_*"))
     chosen = first_boxes(times, (2, 1, 2), ["timestep"], 2)
     cells = read_boxes(spark, path, ["u"], GRID, views.BOX, chosen)
@@ -179,7 +179,7 @@ def npy_cloud(spark, sf):
 WHERE gx < 8 AND gx % 3 = 0 AND gy % 2 = 0 AND gz % 4 = 0""",
 )
 def strided_slab_scan(spark, sf):
-    cells = read_raw_grid(spark, _raw_frames(spark, sf), ["u"], GRID, skips=(3, 2, 4), pad=2, slab=5)
+    cells = read_raw_grid(spark, raw_frames(spark, sf), ["u"], GRID, skips=(3, 2, 4), pad=2, slab=5)
     return _doubles(cells, "u")
 
 
@@ -191,7 +191,7 @@ WHERE gx BETWEEN 1 AND 6 AND (gx - 1) % 2 = 0 AND gy BETWEEN 1 AND 3 AND gz BETW
 )
 def strided_sub_box(spark, sf):
     cells = read_raw_grid(
-        spark, _raw_frames(spark, sf), ["v"], GRID, offsets=(1, 1, 2), sizes=(3, 3, 2), skips=(2, 1, 3), slab=4
+        spark, raw_frames(spark, sf), ["v"], GRID, offsets=(1, 1, 2), sizes=(3, 3, 2), skips=(2, 1, 3), slab=4
     )
     return _doubles(cells, "v")
 

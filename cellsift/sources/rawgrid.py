@@ -277,6 +277,18 @@ def read_raw_grid(spark: SparkSession, path: str, variables, grid: tuple[int, in
     )
 
 
+def _layout(path: str, variables, grid, options: dict) -> GridLayout:
+    text = {k: ",".join(str(x) for x in v) if isinstance(v, (list, tuple)) else str(v) for k, v in options.items()}
+    return GridLayout({"path": path, "vars": ",".join(variables), "nx": grid[0], "ny": grid[1], "nz": grid[2], **text})
+
+
+def grid_times(spark: SparkSession, path: str, variables, grid, **options) -> DataFrame:
+    """Timesteps that have every variable, from the file names alone."""
+    layout = _layout(path, variables, grid, options)
+    kind = "double" if layout.layout == "flat" else "long"
+    return spark.createDataFrame([(t,) for t in sorted({s[0] for s in layout.sources()})], f"timestep {kind}")
+
+
 def read_boxes(spark: SparkSession, path: str, variables, grid, box, chosen: DataFrame, **options) -> DataFrame:
     """Cells of chosen boxes only, layouts ``flat`` and ``var_dir``.
 
@@ -284,8 +296,7 @@ def read_boxes(spark: SparkSession, path: str, variables, grid, box, chosen: Dat
     boxes: nothing else of a file is read.  Rows as of ``read_raw_grid`` with
     ``ix, iy, iz``.
     """
-    text = {k: ",".join(str(x) for x in v) if isinstance(v, (list, tuple)) else str(v) for k, v in options.items()}
-    layout = GridLayout({"path": path, "vars": ",".join(variables), "nx": grid[0], "ny": grid[1], "nz": grid[2], **text})
+    layout = _layout(path, variables, grid, options)
     schema = T.StructType([*[T.StructField(f"i{a}", T.LongType()) for a in "xyz"], *layout.schema().fields])
     arrow_schema = _arrow_schema(schema)
     size = dict(zip("xyz", box))
