@@ -45,14 +45,10 @@ def nearest_centre(cols: Sequence[str], k: int, centres: str = "centres") -> Col
     """
     options = []
     for i in range(k):
-        centre = F.col(centres)[i]
-        gap = None
-        for axis, c in enumerate(cols):
-            d = F.col(c) - centre[axis]
-            gap = d * d if gap is None else gap + d * d
-        options.append(F.struct(gap.alias("d"), F.lit(i).cast("long").alias("label")))
-    nearest = F.least(*options) if k > 1 else options[0]
-    return nearest["label"]
+        gap = " + ".join(f"(`{c}` - {centres}[{i}][{axis}]) * (`{c}` - {centres}[{i}][{axis}])" for axis, c in enumerate(cols))
+        options.append(f"named_struct('d', {gap}, 'label', {i}L)")
+    nearest = f"least({', '.join(options)})" if k > 1 else options[0]
+    return F.expr(f"{nearest}.label")
 
 
 def assign(df: DataFrame, cols: Sequence[str], centres: DataFrame, k: int, group_cols: Sequence[str]) -> DataFrame:
@@ -90,7 +86,7 @@ def lloyd(
         moved = F.transform(
             "centres", lambda old, i: F.coalesce(F.try_element_at("_means", i.cast("long")), old)
         )
-        centres = settle(centres.join(means, group).select(*group, moved.alias("centres")))
+        centres = settle(means.join(small_side(centres), group).select(*group, moved.alias("centres")))
     return sort_centres(centres)
 
 

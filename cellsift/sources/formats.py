@@ -38,9 +38,9 @@ def _block_dir(spark, path, p):
 
 
 LOADERS = {
-    "sst-binary": _flat,
-    "gests": _var_dir,
-    "gests+": _block_dir,
+    "raw-grid": _flat,
+    "cube-dirs": _var_dir,
+    "cube-blocks": _block_dir,
     "csv": lambda spark, path, p: read_csv_snapshots(spark, path),
     "npz": lambda spark, path, p: npz_snapshots(spark, path, _variables(p)),
     "openfoam": lambda spark, path, p: read_snapshots(spark, path, p.write_interval, p.num_timesteps),
@@ -53,7 +53,7 @@ def load(spark: SparkSession, format_name: str, path: str, params: CurationParam
     df = LOADERS[format_name](spark, path, params)
     if params.timesteps is None:
         return df
-    if format_name in ("gests", "gests+"):
+    if format_name in ("cube-dirs", "cube-blocks"):
         return df.where(F.col("timestep").isin([int(t) for t in params.timesteps]))
     requested = spark.createDataFrame([(float(t),) for t in params.timesteps], "requested double")
     return rows_at_times(df, match_times(requested, df.select("timestep").distinct()))

@@ -10,7 +10,8 @@ from cellsift.operators import windows
 from cellsift.operators.boxes import all_boxes, first_boxes
 from cellsift.params import CurationParams, TargetKind
 from cellsift.plans.compare import compare_methods
-from cellsift.plans.curate import curate, write
+from cellsift.plans.curate import curate, curate_archive, write
+from cellsift.plans.fixture_files import write_grids
 from cellsift.plans.training import training_table
 
 BASE = dict(
@@ -118,3 +119,19 @@ def test_methods_side_by_side(grid_cells):
     hist, kde = compare_methods(grid_cells, 40, "pv", 11, timestep=1, feature_cols=["u", "v"], k=3, rounds=1)
     assert {r[0] for r in hist.select("method").distinct().collect()} == {"full", "random", "uips", "maxent"}
     assert hist.count() == 4 * 10 and kde.count() == 4 * 11
+
+
+@pytest.mark.parametrize("box,point", [("maxent", "maxent"), ("random", "random")])
+def test_archive_job_equals_the_table_job(spark, grid_cells, tmp_path, box, point):
+    values = {c: F.col(c).cast("float") for c in ("u", "v", "w", "pv")}
+    cells = grid_cells.withColumns({**values, "timestep": F.col("timestep") + F.lit(0.5)})
+    named = cells.withColumn("name", F.format_string("{}_%.6f", F.col("timestep")))
+    write_grids(named, str(tmp_path), "name", ["u", "v", "w", "pv"], ["gz", "gy", "gx"])
+    p = CurationParams(**BASE, hypercubes=box, method=point)
+    doubles = cells.withColumns({c: F.col(c).cast("double") for c in values})
+    key = lambda df: sorted(map(tuple, df.select("timestep", "cube_id", "local_id", "point_id", "u", "v").collect()))
+    from_files = curate_archive(spark, str(tmp_path), p, slab=3)
+    assert key(from_files.inputs) == key(curate(doubles, p).inputs)
+    strided = CurationParams(**{**BASE, "nxskip": 2, "nyskip": 3, "nzskip": 2, "timesteps": (0.5, 1.5)}, hypercubes=box, method=point)
+    few = curate_archive(spark, str(tmp_path), strided)
+    assert few.inputs.count() == 30 and {r[0] for r in few.boxes.select("timestep").distinct().collect()} == {0.5}

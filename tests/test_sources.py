@@ -108,7 +108,7 @@ def test_times_from_names(spark):
 
 def test_formats_by_name(spark, raw):
     p = CurationParams(input_vars=("u",), output_vars=("p",), cluster_var=("pv",), nx=NX, ny=NY, nz=NZ, nxsl=4, nysl=3, nzsl=4, timesteps=(28.2400005, 9.0), pad=2)
-    rows = formats.load(spark, "sst-binary", raw, p)
+    rows = formats.load(spark, "raw-grid", raw, p)
     assert [r[0] for r in rows.select("timestep").distinct().collect()] == [28.24]
 
 
