@@ -30,7 +30,8 @@ def all_boxes(groups: DataFrame, counts: tuple[int, int, int], group_cols: Seque
     num_x, num_y, num_z = counts
     if min(counts) == 0:
         return groups.select(*group_cols).limit(0).withColumns({c: F.lit(0).cast("long") for c in ("box_no", *BOX_COLS)})
-    layers = groups.select(*group_cols).distinct().withColumn("iz", _below(num_z)).repartition(*group_cols, "iz")
+    tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    layers = groups.select(*group_cols).distinct().withColumn("iz", _below(num_z)).repartition(tasks, *group_cols, "iz")
     numbered = layers.withColumn("_in_layer", _below(num_x * num_y))
     return numbered.withColumn("box_no", F.col("_in_layer") + F.lit(num_x * num_y) * F.col("iz")).select(
         *group_cols, "box_no", *[c.alias(n) for n, c in box_from_number("box_no", counts).items()]

@@ -149,18 +149,22 @@ def stratified(
     **_,
 ) -> DataFrame:
     """Cut each group, ordered by the first feature, into ``n`` near-equal
-    strata and take one uniform pick from each."""
+    strata and take one uniform pick from each.
+
+    Only the group, the feature and the id are sorted; the picks then fetch
+    their rows.
+    """
     group = list(group_cols)
-    ranked = global_rank(df, [feature_cols[0], id_col], group, "_rank", size="_size")
+    narrow = df.select(*dict.fromkeys([*group, feature_cols[0], id_col]))
+    ranked = global_rank(narrow, [feature_cols[0], id_col], group, "_rank", size="_size")
     short = F.when(
         F.col("_size") < n,
         F.raise_error(F.format_string("%d strata were asked of a group of %d rows", F.lit(n), F.col("_size"))).cast("long"),
     )
     placed = ranked.withColumn("stratum", F.coalesce(short, stratum(F.col("_rank"), F.col("_size"), n)))
-    row = F.struct(*[c for c in df.columns if c not in group])
-    order = F.struct(uniform_key([*group, id_col], f"stratum-{seed}"), F.col(id_col))
-    picked = placed.groupBy(*group, "stratum").agg(F.min_by(row, order).alias("_row"))
-    return picked.select(*group, "stratum", "_row.*")
+    key = uniform_key([*group, id_col], f"stratum-{seed}")
+    picked = placed.groupBy(*group, "stratum").agg(F.min_by(id_col, key).alias(id_col))
+    return df.join(small_side(picked), [*group, id_col])
 
 
 def _nearest_in_chunk(features: Sequence[str], design: Sequence[str], id_col: str, group: Sequence[str], keep: int):

@@ -6,12 +6,15 @@ arithmetic, so the big table is neither joined nor shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellsift.params import SCALERS
+
 
 @dataclass(frozen=True)
 class FittedScaler:
@@ -48,16 +51,18 @@ def yeo_johnson(x: Column, power: float) -> Column:
     return F.when(x >= 0, up).otherwise(down)
 
 
-def fit_standard(df: DataFrame, cols: Sequence[str]) -> FittedScaler:
-    """Mean and population deviation; a zero deviation scales by one."""
-    row = df.agg(*[f(c).alias(f"{p}_{c}") for c in cols for f, p in ((F.avg, "m"), (F.stddev_pop, "s"))]).first()
-    return FittedScaler("StandardScaler", {c: (float(row[f"m_{c}"]), float(row[f"s_{c}"])) for c in cols})
+def moments(df: DataFrame, cols: Sequence[str]) -> dict[str, dict[str, float]]:
+    """Limits, mean and population deviation of every column, in one scan."""
+    kinds = {"lo": F.min, "hi": F.max, "mean": F.avg, "dev": F.stddev_pop}
+    row = df.agg(*[f(c).cast("double").alias(f"{n}_{c}") for c in cols for n, f in kinds.items()]).first()
+    return {c: {n: row[f"{n}_{c}"] for n in kinds} for c in cols}
 
 
-def fit_minmax(df: DataFrame, cols: Sequence[str]) -> FittedScaler:
-    """Smallest and largest value; a constant column becomes zero."""
-    row = df.agg(*[f(c).alias(f"{p}_{c}") for c in cols for f, p in ((F.min, "lo"), (F.max, "hi"))]).first()
-    return FittedScaler("MinMaxScaler", {c: (float(row[f"lo_{c}"]), float(row[f"hi_{c}"])) for c in cols})
+def from_moments(kind: str, cols: Sequence[str], known: dict[str, dict[str, float]]) -> FittedScaler:
+    """A scaler that needs no more than the moments: standard (a zero deviation
+    scales by one), min-max (a constant column becomes zero), or none."""
+    names = {"StandardScaler": ("mean", "dev"), "MinMaxScaler": ("lo", "hi"), "None": ()}[kind]
+    return FittedScaler(kind, {c: tuple(known[c][n] for n in names) for c in cols})
 
 
 def power_moments(df: DataFrame, col: str, powers: Sequence[float]) -> DataFrame:
@@ -78,38 +83,57 @@ def power_moments(df: DataFrame, col: str, powers: Sequence[float]) -> DataFrame
     return one.select(F.explode(entries).alias("e")).select("e.power", "e.likelihood")
 
 
+def _likelihoods(df: DataFrame, powers: dict[str, list[float]]) -> dict[str, list[float]]:
+    """Log-likelihood of the candidate powers of all columns, in one scan."""
+    wide = []
+    for c, candidates in powers.items():
+        x = F.col(c)
+        wide += [F.count(x).alias(f"n_{c}"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"j_{c}")]
+        wide += [F.var_pop(yeo_johnson(x, p)).alias(f"v{i}_{c}") for i, p in enumerate(candidates)]
+    row = df.agg(*wide).first()
+    out = {}
+    for c, candidates in powers.items():
+        spread = [row[f"v{i}_{c}"] for i in range(len(candidates))]
+        out[c] = [
+            -row[f"n_{c}"] / 2 * math.log(v) + (p - 1) * row[f"j_{c}"] if v > 0 else -math.inf
+            for v, p in zip(spread, candidates)
+        ]
+    return out
+
+
 def fit_power(df: DataFrame, cols: Sequence[str], low: float = -4.0, high: float = 6.0, passes: int = 5) -> FittedScaler:
     """Yeo-Johnson power of largest likelihood, then standardised.
 
-    Each pass scans once with eleven candidates and narrows the range to the
-    neighbours of the best.
+    Each pass scans once with eleven candidates for every column and narrows
+    the ranges to the neighbours of the best.
     """
-    constants = {}
-    for c in cols:
-        lo, hi = low, high
-        best = 1.0
-        spread = df.agg(F.var_pop(c)).first()[0]
-        for _ in range(passes if spread else 0):
-            step = (hi - lo) / 10
-            powers = [lo + step * i for i in range(11)]
-            best = power_moments(df, c, powers).agg(F.max_by("power", "likelihood")).first()[0]
-            lo, hi = best - step, best + step
-        shape = yeo_johnson(F.col(c), best)
-        row = df.agg(F.avg(shape), F.stddev_pop(shape)).first()
-        constants[c] = (float(best), float(row[0]), float(row[1]))
-    return FittedScaler("PowerTransformer", constants)
+    spans = {c: (low, high) for c in cols}
+    best = dict.fromkeys(cols, 1.0)
+    for _ in range(passes):
+        powers = {c: [lo + (hi - lo) / 10 * i for i in range(11)] for c, (lo, hi) in spans.items()}
+        for c, found in _likelihoods(df, powers).items():
+            top = max(found)
+            if top > -math.inf:
+                best[c] = powers[c][found.index(top)]
+                step = (spans[c][1] - spans[c][0]) / 10
+                spans[c] = (best[c] - step, best[c] + step)
+    shaped = df.select(*[yeo_johnson(F.col(c), best[c]).alias(c) for c in cols])
+    known = moments(shaped, cols)
+    return FittedScaler("PowerTransformer", {c: (best[c], known[c]["mean"], known[c]["dev"]) for c in cols})
 
 
 def fit(kind: str, df: DataFrame, cols: Sequence[str]) -> FittedScaler:
-    if kind == "StandardScaler":
-        return fit_standard(df, cols)
-    if kind == "MinMaxScaler":
-        return fit_minmax(df, cols)
-    if kind == "PowerTransformer":
-        return fit_power(df, cols)
-    if kind == "None":
-        return FittedScaler("None", {c: () for c in cols})
-    raise ValueError(f"unknown scaler {kind!r}")
+    return fit_together(df, [(kind, cols)])[0]
+
+
+def fit_together(df: DataFrame, wanted: Sequence[tuple[str, Sequence[str]]]) -> list[FittedScaler]:
+    """Several scalers from one scan; a power transform adds its passes."""
+    for kind, _ in wanted:
+        if kind not in SCALERS:
+            raise ValueError(f"unknown scaler {kind!r}")
+    simple = list(dict.fromkeys(c for kind, cols in wanted if kind in ("StandardScaler", "MinMaxScaler") for c in cols))
+    known = moments(df, simple) if simple else {}
+    return [fit_power(df, cols) if kind == "PowerTransformer" else from_moments(kind, cols, known) for kind, cols in wanted]
 
 
 def slot_columns(packed: DataFrame, channel: str, slots: int) -> DataFrame:

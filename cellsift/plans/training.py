@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellsift.operators.scaling import FittedScaler, fit
+from cellsift.operators.scaling import FittedScaler, fit_together
 from cellsift.operators.windows import channels_first, ordered_split, pack, sequences
 
 
@@ -33,6 +33,7 @@ def training_table(
     yscaler: str = "StandardScaler",
     entity_cols: Sequence[str] = ("cube_id",),
     slot_col: str = "point_id",
+    times: DataFrame | None = None,
     shuffle: bool = False,
     seed: int = 0,
 ) -> TrainingTable:
@@ -40,11 +41,10 @@ def training_table(
     constants of the train part, packed to one row per sequence with an array
     per channel."""
     seq_cols = [*entity_cols, "start"]
-    rows = sequences(df, window, overlap, entity_cols=entity_cols)
+    rows = sequences(df, window, overlap, entity_cols=entity_cols, times=times)
     rows = ordered_split(rows, seq_cols, test_frac, shuffle, seed)
     train = rows.where(F.col("split") == "train")
-    x_scaler = fit(xscaler, train, input_vars)
-    y_scaler = fit(yscaler, train, output_vars)
+    x_scaler, y_scaler = fit_together(train, [(xscaler, input_vars), (yscaler, output_vars)])
     scaled = y_scaler.transform(x_scaler.transform(rows))
     values = list(dict.fromkeys([*input_vars, *output_vars]))
     packed = channels_first(pack(scaled, ["split", "seq_id"], ["step", slot_col], values), values)

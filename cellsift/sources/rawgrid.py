@@ -43,10 +43,13 @@ from pyspark.sql.datasource import (
     LessThanOrEqual,
 )
 
+from cellsift.session import settle
+
 # File prefixes of named variables, and bytes per value.
 PREFIXES = {"enstrophy": "enst", "velocity": "uvw", "pressure": "p", "dissipation": "diss"}
 VALUE_BYTES = 4
 ROWS_PER_BATCH = 262_144
+CELLS_PER_TASK = 4_000_000
 SLAB_BYTES = 256 * 1024 * 1024
 
 
@@ -318,5 +321,9 @@ def read_boxes(spark: SparkSession, path: str, variables, grid, box, chosen: Dat
                 arrays = [pa.array(np.ascontiguousarray(cols[f.name])).cast(f.type) for f in arrow_schema]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow_schema)
 
-    boxes = chosen.select("timestep", "ix", "iy", "iz")
-    return boxes.repartition("timestep", "ix", "iy", "iz").mapInArrow(read, schema)
+    # The box table is tiny, the cells behind it are not: the number of tasks is
+    # set by the cells, so that adaptive execution does not merge them into one.
+    boxes = settle(chosen.select("timestep", "ix", "iy", "iz"))
+    by_size = -(-boxes._rows * int(np.prod(box)) // CELLS_PER_TASK)
+    tasks = max(by_size, min(boxes._rows, spark.sparkContext.defaultParallelism), 1)
+    return boxes.repartition(tasks, "timestep", "ix", "iy", "iz").mapInArrow(read, schema)
