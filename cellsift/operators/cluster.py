@@ -38,23 +38,29 @@ def drawn_centres(
     return picked.groupBy(*group_cols).agg(F.array_sort(F.collect_list(point)).alias("centres"))
 
 
-def nearest_centre(cols: Sequence[str], k: int, centres: str = "centres") -> Column:
-    """Label of the nearest centre, ties to the lowest label.
+def nearest_centre(cols: Sequence[str], k: int) -> Column:
+    """Label of the nearest of the centres in columns ``_c{i}_{axis}``, ties to
+    the lowest label.
 
-    Unrolled over the k centres, so it stays inside generated code.
+    Plain columns rather than an array keep the generated code small enough to
+    be compiled; the value is never null, so a join on it adds no filter that
+    would compute it again.
     """
-    options = []
+    gaps = []
     for i in range(k):
-        gap = " + ".join(f"(`{c}` - {centres}[{i}][{axis}]) * (`{c}` - {centres}[{i}][{axis}])" for axis, c in enumerate(cols))
-        options.append(f"named_struct('d', {gap}, 'label', {i}L)")
-    nearest = f"least({', '.join(options)})" if k > 1 else options[0]
-    return F.expr(f"{nearest}.label")
+        gaps.append(" + ".join(f"(`{c}` - _c{i}_{axis}) * (`{c}` - _c{i}_{axis})" for axis, c in enumerate(cols)))
+    each = f"array({', '.join(gaps)})"  # a common subexpression, computed once
+    return F.expr(f"coalesce(array_position({each}, array_min({each})) - 1, 0L)")
 
 
 def assign(df: DataFrame, cols: Sequence[str], centres: DataFrame, k: int, group_cols: Sequence[str]) -> DataFrame:
     """Add ``label`` to every row; one small row of centres per group."""
-    joined = df.join(small_side(centres), list(group_cols))
-    return joined.withColumn("label", nearest_centre(cols, k)).drop("centres")
+    settled = settle(centres)
+    names = [(i, axis) for i in range(k) for axis in range(len(cols))]
+    flat = settled.select(*group_cols, *[F.expr(f"centres[{i}][{axis}]").alias(f"_c{i}_{axis}") for i, axis in names])
+    flat._rows = settled._rows
+    joined = df.join(small_side(flat), list(group_cols))
+    return joined.withColumn("label", nearest_centre(cols, k)).drop(*[f"_c{i}_{axis}" for i, axis in names])
 
 
 def sort_centres(centres: DataFrame) -> DataFrame:

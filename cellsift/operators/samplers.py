@@ -24,6 +24,12 @@ from cellsift.session import settle, small_side
 
 #: Rows a task may rank or hold at once.
 CHUNK_ROWS = 500_000
+#: Rows of a Latin hypercube design that may be sent to every task.
+DESIGN_ROWS = 100_000
+#: Candidate rows a task sends back at first, for all design points together.
+CANDIDATE_ROWS = 20_000
+#: Distances held at once inside a task.
+BLOCK_VALUES = 2_000_000
 
 
 def full(df: DataFrame, n: int | None = None, **_) -> DataFrame:
@@ -95,12 +101,12 @@ def phase_space(
     """
     group = list(group_cols)
     key = uniform_key([*group, id_col], f"order-{seed}")
-    placed = phase_bins(df, feature_cols, bins, group).withColumn("_key", key)
+    placed = phase_bins(df, feature_cols, bins, group)
 
     bin_counts = settle(placed.groupBy(*group, "bin_id").agg(F.count(F.lit(1)).alias("_in_bin")))
     sized = bin_counts.withColumn("_slices", F.ceil(F.col("_in_bin") / F.lit(chunk_rows)))
     sliced = placed.join(small_side(sized.select(*group, "bin_id", "_slices")), [*group, "bin_id"]).withColumn(
-        "_slice", F.floor(F.col("_key") * F.col("_slices"))
+        "_slice", F.when(F.col("_slices") == 1, F.lit(0).cast("long")).otherwise(F.floor(key * F.col("_slices")))
     )
     counts = sliced.groupBy(*group, "bin_id", "_slice").agg(F.count(F.lit(1)).alias("_n"))
     running = Window.partitionBy(*group, "bin_id").orderBy("_slice")
@@ -134,7 +140,8 @@ def phase_space(
     located = settle(located)
     wanted = small_side(located.select(*group, "bin_id", "_slice").distinct())
     rank = F.row_number().over(Window.partitionBy(*group, "bin_id", "_slice").orderBy("_key", id_col))
-    candidates = sliced.join(wanted, [*group, "bin_id", "_slice"], "left_semi").withColumn("_rank", rank)
+    inside = sliced.join(wanted, [*group, "bin_id", "_slice"], "left_semi")
+    candidates = inside.withColumn("_key", key).withColumn("_rank", rank)
     return candidates.join(small_side(located), [*group, "bin_id", "_slice", "_rank"]).drop("_slice", "_rank", "_key", "_slices")
 
 
@@ -167,33 +174,63 @@ def stratified(
     return df.join(small_side(picked), [*group, id_col])
 
 
+def _nearest(ids: np.ndarray, x: np.ndarray, design_ids: np.ndarray, targets: np.ndarray, keep: int):
+    """The ``keep`` nearest of ``x`` to each target, ties to the lowest id.
+    ``ids`` must ascend.  Arrays of design ids, ids and distances."""
+    m = min(keep, len(ids))
+    found: list[tuple] = []
+    rows = max(1, BLOCK_VALUES // len(ids))
+    for at in range(0, len(targets), rows):
+        some = targets[at : at + rows]
+        square = np.zeros((len(some), len(ids)))
+        for axis in range(x.shape[1]):
+            square += (x[:, axis][None, :] - some[:, axis][:, None]) ** 2
+        dist = np.sqrt(square)
+        edge = np.partition(dist, m - 1, axis=1)[:, m - 1]
+        for i in range(len(some)):
+            near = np.flatnonzero(dist[i] <= edge[i])
+            near = near[np.argsort(dist[i][near], kind="stable")][:m]
+            found.append((np.full(m, design_ids[at + i]), ids[near], dist[i][near]))
+    return tuple(np.concatenate(part) for part in zip(*found))
+
+
+def _candidates(group: Sequence[str], id_col: str, key: tuple, found) -> pd.DataFrame:
+    columns = {g: key[at] for at, g in enumerate(group)}
+    return pd.DataFrame({"design_id": found[0], id_col: found[1], "dist": found[2], **columns})[[*group, "design_id", id_col, "dist"]]
+
+
 def _nearest_in_chunk(features: Sequence[str], design: Sequence[str], id_col: str, group: Sequence[str], keep: int):
-    """Task-side step of the Latin hypercube draw: the ``keep`` nearest points
-    of one chunk to each design point."""
+    """Task-side step over one chunk of points and the design of its group."""
 
     def nearest(key: tuple, points: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
         if points.empty or targets.empty:
             return pd.DataFrame({c: [] for c in (*group, "design_id", id_col, "dist")})
         points = points.sort_values(id_col, kind="stable")
-        ids = points[id_col].to_numpy()
-        x = points[list(features)].to_numpy(dtype=float)
-        m = min(keep, len(ids))
-        parts = []
-        for at, target in zip(targets["design_id"].to_numpy(), targets[list(design)].to_numpy(dtype=float)):
-            gap = x - target
-            dist = np.sqrt(np.einsum("ij,ij->i", gap, gap))
-            edge = np.partition(dist, m - 1)[m - 1]
-            near = np.flatnonzero(dist <= edge)
-            near = near[np.argsort(dist[near], kind="stable")][:m]
-            parts.append(pd.DataFrame({"design_id": at, id_col: ids[near], "dist": dist[near]}))
-        found = pd.concat(parts, ignore_index=True)
-        for at, name in enumerate(group):
-            found.insert(at, name, key[at])
-        return found
+        x, t = points[list(features)].to_numpy(dtype=float), targets[list(design)].to_numpy(dtype=float)
+        return _candidates(group, id_col, key, _nearest(points[id_col].to_numpy(), x, targets["design_id"].to_numpy(), t, keep))
 
     return nearest
 
 
+def _nearest_in_scan(features: Sequence[str], id_col: str, group: Sequence[str], designs: dict, keep: int):
+    """Task-side step over a partition: running nearest points per group."""
+
+    def scan(batches):
+        best: dict = {}
+        for batch in batches:
+            for key, points in batch.groupby(list(group)):
+                points = points.sort_values(id_col, kind="stable")
+                x = points[list(features)].to_numpy(dtype=float)
+                found = _candidates(group, id_col, key, _nearest(points[id_col].to_numpy(), x, *designs[key], keep))
+                if key in best:
+                    found = pd.concat([best[key], found]).sort_values(["design_id", "dist", id_col], kind="stable")
+                    found = found.groupby("design_id").head(keep)
+                best[key] = found
+        yield from best.values()
+
+    return scan
+
+
 def _take_in_order(id_col: str, group: Sequence[str]):
     """Greedy choice over a candidate list of n x m rows: in design order, each
     takes its nearest point that is still free."""
@@ -224,17 +261,21 @@ def latin_hypercube(
     group_cols: Sequence[str] = ("timestep",),
     seed: int = 0,
     chunk_rows: int = CHUNK_ROWS,
-    keep: int = 8,
+    keep: int | None = None,
+    design_rows: int = DESIGN_ROWS,
     **_,
 ) -> DataFrame:
     """For each point of a Latin hypercube design, in order, the nearest point
     that is still free.
 
-    Points are cut into chunks by a seeded key, each chunk meets the design in
-    one task and sends back the ``keep`` nearest points per design point.  The
+    Every task sends back the ``keep`` nearest points per design point.  The
     greedy choice then runs over those n x keep candidates.  Should a list run
     out, it is repeated with twice as many, up to n, which always suffices: a
     design point can lose at most n - 1 candidates to others.
+
+    A design of up to ``design_rows`` rows goes to the tasks and points are not
+    shuffled.  A larger one is joined: points are cut into chunks by a seeded
+    key, and each chunk meets the design of its group.
     """
     group = list(group_cols)
     design_cols = [f"d{i}" for i in range(len(feature_cols))]
@@ -284,11 +325,21 @@ def latin_hypercube(
         ]
     )
 
-    keep = min(keep, n)
+    keep = min(keep or max(8, CANDIDATE_ROWS // n), n)
     chunk = (*group, "_chunk")
+    designs = None
+    if design._rows <= design_rows:
+        designs = {
+            key: (part["design_id"].to_numpy(), part[design_cols].to_numpy(dtype=float))
+            for key, part in design.toPandas().groupby(group)
+        }
     while True:
-        step = _nearest_in_chunk(feature_cols, design_cols, id_col, group, keep)
-        candidates = points.groupBy(*chunk).cogroup(targets.groupBy(*chunk)).applyInPandas(step, schema=near_schema)
+        if designs is not None:
+            step = _nearest_in_scan(feature_cols, id_col, group, designs, keep)
+            candidates = df.select(*group, id_col, *feature_cols).mapInPandas(step, schema=near_schema)
+        else:
+            step = _nearest_in_chunk(feature_cols, design_cols, id_col, group, keep)
+            candidates = points.groupBy(*chunk).cogroup(targets.groupBy(*chunk)).applyInPandas(step, schema=near_schema)
         best = F.row_number().over(Window.partitionBy(*group, "design_id").orderBy("dist", id_col))
         candidates = candidates.withColumn("_rank", best).where(F.col("_rank") <= keep).drop("_rank")
         picks = settle(candidates.groupBy(*group).applyInPandas(_take_in_order(id_col, group), schema=pick_schema))

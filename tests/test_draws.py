@@ -121,9 +121,11 @@ def brute_latin(pdf, design, cols):
     return out
 
 
-@pytest.mark.parametrize("keep,chunk_rows", [(1, 50), (8, 10**6)])
-def test_latin_hypercube_is_the_greedy_choice(spark, cloud, keep, chunk_rows):
-    picked = samplers.latin_hypercube(cloud, 25, feature_cols=["x", "y"], seed=4, keep=keep, chunk_rows=chunk_rows).toPandas()
+@pytest.mark.parametrize("keep,chunk_rows,design_rows", [(1, 50, 0), (8, 10**6, 0), (1, 50, 10**6), (8, 50, 10**6)])
+def test_latin_hypercube_is_the_greedy_choice(spark, cloud, keep, chunk_rows, design_rows):
+    picked = samplers.latin_hypercube(
+        cloud, 25, feature_cols=["x", "y"], seed=4, keep=keep, chunk_rows=chunk_rows, design_rows=design_rows
+    ).toPandas()
     design = latin_design(spark, cloud, 25, 2, TS, 4).toPandas()
     for axis in ("d0", "d1"):
         for _, part in design.groupby("timestep"):
