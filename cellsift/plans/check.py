@@ -64,7 +64,7 @@ def compare(spark, sf: str, fn, sql: str | None) -> tuple[bool, str]:
     return not note and bool(left), f"{len(left)} rows {('TYPES ' + note) if note else ''}"
 
 
-SAME = {("bigint", "BIGINT"), ("double", "DOUBLE"), ("string", "VARCHAR"), ("int", "INTEGER"), ("array<double>", "DOUBLE[]")}
+SAME = {("bigint", "BIGINT"), ("double", "DOUBLE"), ("string", "VARCHAR"), ("boolean", "BOOLEAN"), ("int", "INTEGER"), ("array<double>", "DOUBLE[]")}
 
 
 def main(argv: list[str]) -> int:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +33,31 @@ def build_session(cores: int | str = "*", app: str = "cellsift", shuffle_partiti
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each context.
+
+    Workers then need no installed copy, whatever folder the job starts in.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_cellsift_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="cellsift-package-")  # the driver serves the file from here
+    archive = os.path.join(folder, "cellsift-package.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for at, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(at, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    context._cellsift_shipped = True
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, as named by ``spark.checkpoint.dir``.
 
