@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellsift.llm.words import Memo, texts
+from cellsift.llm.words import Memo, hidden, texts
 from cellsift.session import small_side, written
 
 WINDOW = 8
@@ -102,10 +102,12 @@ class Canonical:
         kind[unit & after & (kind == PLAIN)] = UNIT
         return kind, value
 
-    def windows(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def windows(self, text: bytes, names: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of the template's windows, their places, and the slots' values
-        (zero for literal words) of all tokens."""
+        (zero for literal words) of all tokens; with names as slots or as words."""
         kind, value = self.tokens(text)
+        if not names:
+            kind[kind == NAME] = PLAIN
         n = len(kind) - WINDOW + 1
         slots = np.where(kind == PLAIN, np.uint64(0), value)
         if n < 1:
@@ -132,8 +134,9 @@ def _window_rows(keys: list[str], bits: np.ndarray | None):
             made["c"] = Canonical()
         for batch in batches:
             row, tokens, hashes, places, held = [], [], [], [], []
-            for r, text in enumerate(texts(batch)):
-                h, place, slots = made["c"].windows(text or b"")
+            # Items also show their names as plain words, for texts in another case.
+            for r, text, names in ((r, t, v) for r, t in enumerate(texts(batch)) for v in ((True,) if bits is not None else (True, False))):
+                h, place, slots = made["c"].windows(text or b"", names)
                 if bits is not None:
                     at = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
                     some = (bits[at >> 3] >> (at & 7)) & 1 == 1
@@ -170,7 +173,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kind = benchmark.schema["item_id"].dataType.simpleString()
     rows = "n_tokens long, h long, place long, slots array<long>"
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).mapInArrow(_window_rows(["item_id"], None), f"item_id {kind}, {rows}")
-    items = written(items.select("item_id", "h", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), F.col("n_tokens").alias("item_tokens")), "benchmark-windows")
+    items = written(items.select("item_id", "h", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), F.col("n_tokens").alias("item_tokens")).distinct(), "benchmark-windows")
     held = docs.sparkSession.sparkContext.broadcast(_filter(items))
     keys = ["_id", "_text"]
     own = docs.schema["_id"].dataType.simpleString()
@@ -199,15 +202,15 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def best_stretch(windows: list[dict]) -> tuple[int, bool]:
-    """Tokens of the longest stretch of following windows whose slots fit, and
-    whether all its slots hold the same values. A stretch ends where a window is
-    missing or where a value would have to stand for two."""
+    """Tokens of the longest stretch that windows cover without a hole, whose slots fit, and
+    whether all its slots hold the same values. A stretch ends at a hole
+    or where a value would have to stand for two."""
     best, equal = 0, True
     start, last, there, back, same = 0, None, {}, {}, True
     for w in sorted(windows, key=lambda w: w["item_place"]):
         pairs = [(a, b) for a, b in zip(w["slots"], w["item_slots"]) if a or b]
         fits = all(there.get(a, b) == b and back.get(b, a) == a for a, b in pairs)
-        if last is None or w["item_place"] != last + 1 or not fits:
+        if last is None or w["item_place"] > last + WINDOW or not fits:
             start, there, back, same = w["item_place"], {}, {}, True
         fresh = {}
         if any(fresh.setdefault(a, b) != b for a, b in pairs) or len(set(fresh.values())) < len(fresh):
@@ -247,7 +250,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item of the benchmark, unchanged."""
-    rows = _keyed(docs)
+    plain, back = hidden(docs, ("doc_id", "text"))
+    rows = _keyed(plain)
     found = matches(rows, benchmark).select(F.col("_id").alias("_of"), F.col("_text").alias("_of_text")).distinct()
     clean = rows.join(small_side(found), F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_text") == F.col("_of_text")), "left_anti")
-    return clean.select(*docs.columns)
+    return clean.select(*back)

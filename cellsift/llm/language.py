@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellsift.llm.words import mapped, texts
+from cellsift.llm.words import hidden, mapped, texts
 from cellsift.session import small_side
 
 WINDOW = 256
@@ -182,12 +182,13 @@ def learn(docs: DataFrame, **sample) -> ByteNet | None:
 
 
 def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
-    """``docs`` (doc_id, text and others) with ``lang_pred`` and ``score``.
+    """``docs`` with ``lang_pred`` and ``score`` in place of the text.
 
     Only the text is looked at. Null texts, texts without a letter, and all
     texts where nothing could be learned are ``und`` with score 0.
     """
-    kept = docs.drop("lang_pred", "score")
+    kept, back = hidden(docs.drop("lang_pred", "score"), ("text",))
+    back = [c for c, name in zip(back, kept.columns) if name != "text"]
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rest = [f for f in kept.schema.fields if f.name != "text"]
     made = {}
@@ -206,7 +207,7 @@ def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, [*(f.name for f in rest), "lang_pred", "score"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "lang_pred string, score double"])
-    return kept.withColumn("_lettered", lettered).mapInArrow(mapped(step), schema)
+    return kept.withColumn("_lettered", lettered).mapInArrow(mapped(step), schema).select(*back, "lang_pred", "score")
 
 
 def predicted_languages(docs: DataFrame, **sample) -> DataFrame:

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellsift.llm.words import mapped, texts
+from cellsift.llm.words import hidden, mapped, texts
 from cellsift.session import written
 
 LINES = 3
@@ -58,7 +58,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     changed. Rows that are equal in doc_id and text count as one document and
     are treated alike; a null doc_id comes after all others.
     """
-    kept = docs.drop("removed_lines")
+    kept, back = hidden(docs.drop("removed_lines"), ("doc_id", "text"))
     keyed = kept.withColumns({"_id": F.col("doc_id"), "_text": F.xxhash64("text")})
     kind = docs.schema["doc_id"].dataType.simpleString()
     windows = written(keyed.select("text", "_id", "_text").mapInArrow(mapped(_windows), f"h1 long, h2 long, _id {kind}, _text long, place int"), "line-windows")
@@ -80,4 +80,4 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         columns = [pa.array(out, pa.binary()).cast(pa.string()) if f == "text" else batch.column(f) for f in names]
         return pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64())], [*names, "removed_lines"])
 
-    return joined.mapInArrow(mapped(step), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), "removed_lines long"]))
+    return joined.mapInArrow(mapped(step), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), "removed_lines long"])).select(*back, "removed_lines")

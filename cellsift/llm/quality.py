@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellsift.llm.words import BLANKS, mapped, texts
+from cellsift.llm.words import BLANKS, hidden, mapped, texts
 from cellsift.session import small_side, written
 
 SYMBOLS = "#*$%&|<>"
@@ -136,4 +136,5 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 def drop_low_quality(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, unchanged."""
-    return judged(docs).filter("kept").select(*docs.columns)
+    plain, back = hidden(docs, ("text", "lang", "source"))
+    return judged(plain).filter("kept").select(*back)

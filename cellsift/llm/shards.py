@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from cellsift.llm.words import hidden
 from cellsift.operators.rank import global_rank
 from cellsift.session import written
 
@@ -109,7 +110,8 @@ def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keys = {"_id": F.col("doc_id"), "_size": (F.octet_length(text) + 16).cast("long"), "_crc": F.crc32(text)}
-    once = docs.withColumns(keys).dropDuplicates(["_id", "_size", "_crc"])
+    plain, back = hidden(docs.drop("shard", "slot"), ("doc_id", "text"))
+    once = plain.withColumns(keys).dropDuplicates(["_id", "_size", "_crc"])
     to = placed.select(F.col("doc_id").alias("_i"), F.col("size").alias("_s"), F.col("text_crc32").alias("_c"), "shard", "slot")
     joined = once.join(to, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_size") == F.col("_s")) & (F.col("_crc") == F.col("_c")))
-    joined.drop(*keys, "_i", "_s", "_c").repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    joined.select(*back, "shard", "slot").repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellsift.llm.components import components
-from cellsift.llm.words import mapped, texts
+from cellsift.llm.words import hidden, mapped, texts
 from cellsift.session import written
 
 #: Links at this many differing bits; the grid of cells is made for it.
@@ -199,12 +199,12 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: that with the smallest
     doc_id (nulls last), of rows equal in it any one."""
-    named = docs.columns
-    rows = written(with_fingerprints(docs).withColumn("_row", F.monotonically_increasing_id()), "simhash")
+    plain, back = hidden(docs, ("doc_id", "text"))
+    rows = written(with_fingerprints(plain).withColumn("_row", F.monotonically_increasing_id()), "simhash")
     narrow = rows.select("doc_id", "fp", "_row")
     distinct = narrow.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
     distinct = written(distinct, "fingerprints")
     roots = components(links(distinct)).select(F.col("node").alias("fp"), "root")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
-    return rows.join(stay, "_row", "left_semi").select(*named)
+    return rows.join(stay, "_row", "left_semi").select(*back)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellsift.llm.words import mapped, texts
+from cellsift.llm.words import hidden, mapped, texts
 from cellsift.session import written
 
 SIZE = 400
@@ -322,7 +322,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     repeated texts; each of them loses its bytes.
     """
     made = ["spans", "n_bytes", "n_removed", "n_spans", "kept_text", "kept_sha256"]
-    plain = docs.drop(*made)
+    plain, back = hidden(docs.drop(*made), ("doc_id", "text"))
     keyed = plain.withColumns({"_id": F.col("doc_id"), "_text": F.xxhash64("text")})
     kind = docs.schema["doc_id"].dataType.simpleString()
     segs = written(keyed.select("text", "_id", "_text").mapInArrow(mapped(_segment_rows), f"_id {kind}, _text long, gram long, c1 long, c2 long, first int, count int, anchor int"), "segments")
@@ -350,4 +350,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], [*names, *made])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields), "spans array<struct<begin:bigint,end:bigint>>, n_bytes long, n_removed long, n_spans long, kept_text binary, kept_sha256 string"])
-    return joined.mapInArrow(mapped(cut), schema)
+    return joined.mapInArrow(mapped(cut), schema).select(*back, *made)

@@ -34,25 +34,26 @@ class PieceCounter:
         seen = self.model.encode("a  ﬁ á", out_type=str)
         self.as_is = "".join(seen) == f"{SPACE}a{SPACE}{SPACE}ﬁ{SPACE}á"
 
-    def stable(self, text: str, at: int) -> bool:
+    def stable(self, raw: bytes, at: int) -> bool:
         """Whether no piece can cover both characters around ``at``."""
-        return text[at - 1 : at + 1].replace(" ", SPACE) not in self.joined
+        left, right = raw[max(0, at - 4) : at].decode(errors="ignore"), raw[at : at + 4].decode(errors="ignore")
+        return (left[-1:] + right[:1]).replace(" ", SPACE) not in self.joined
 
-    def _encoded(self, text: str, start: int, end: int) -> list[int]:
-        """Where the tokens of text[start:end] begin, in characters of the text."""
-        return [start + p.begin for p in self.model.encode(text[start:end], return_type="proto").pieces]
+    def _encoded(self, raw: bytes, start: int, end: int) -> list[int]:
+        """Where the tokens of raw[start:end] begin, in bytes of the text."""
+        return [start + p.begin for p in self.model.encode(raw[start:end].decode(), return_type="proto").pieces]
 
-    def count_huge(self, text: str) -> int:
-        total, done, start, end = 0, 0, 0, min(self.chunk, len(text))
-        left = self._encoded(text, start, end)
-        while end < len(text):
+    def count_huge(self, raw: bytes) -> int:
+        total, done, start, end = 0, 0, 0, _whole(raw, self.chunk)
+        left = self._encoded(raw, start, end)
+        while end < len(raw):
             overlap = self.overlap
             while True:
-                start_next, end_next = max(start, end - overlap), min(end + self.chunk, len(text))
-                right = self._encoded(text, start_next, end_next)
+                start_next, end_next = max(start, _whole(raw, end - overlap)), _whole(raw, end + self.chunk)
+                right = self._encoded(raw, start_next, end_next)
                 # Boundaries at the very rim of either chunk prove nothing.
                 both = set(left[bisect_left(left, max(start_next, done) + 1) :]) & set(right[: bisect_left(right, end)])
-                at = max((p for p in both if p < end and self.stable(text, p)), default=None)
+                at = max((p for p in both if self.stable(raw, p)), default=None)
                 if at is not None or start_next <= start:
                     break
                 overlap *= 2
@@ -63,12 +64,22 @@ class PieceCounter:
             start, end, left = start_next, end_next, right
         return total + len(left) - bisect_left(left, done)
 
-    def counts(self, values: list[str]) -> list[int]:
+    def counts(self, values: list[bytes]) -> list[int]:
         huge = [self.as_is and len(v) > self.chunk + self.overlap for v in values]
-        short = iter(self.model.encode([v for v, far in zip(values, huge) if not far], num_threads=1))
+        short = iter(self.model.encode([v.decode() for v, far in zip(values, huge) if not far], num_threads=1))
         return [self.count_huge(v) if far else len(next(short)) for v, far in zip(values, huge)]
 
 
+def _whole(raw: bytes, at: int) -> int:
+    """The end of the text, or ``at`` or up to three places before, where a character begins."""
+    if at >= len(raw):
+        return len(raw)
+    at = max(at, 0)
+    while raw[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
 def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, chunk: int = 16_384, overlap: int = 128) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every text.
 
@@ -81,7 +92,7 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, chunk: int
         if "c" not in made:
             made["c"] = PieceCounter(model_file, chunk, overlap)
         raw = [v or b"" for v in texts(batch)]
-        n = made["c"].counts([v.decode() for v in raw])
+        n = made["c"].counts(raw)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(v) for v in raw], pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

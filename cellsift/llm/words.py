@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Words are runs of anything but these six ASCII characters.
 BLANKS = "\x20\t\n\x0b\x0c\r"
@@ -32,6 +34,13 @@ class Memo(dict):
             self.clear()
 
 
+def hidden(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with all columns but ``keep`` under the names x0, x1, ..., so that
+    none clashes with a name used on the way; and the columns that undo it."""
+    names = {c: c if c in keep else f"x{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), [F.col(v).alias(c) for c, v in names.items()]
+
+
 def mapped(step: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function of one batch as the function of batches that mapInArrow takes."""
 
