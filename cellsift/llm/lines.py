@@ -63,7 +63,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     windows = written(keyed.select("text", "_id", "_text").mapInArrow(mapped(_windows), f"h1 long, h2 long, _id {kind}, _text long, place int"), "line-windows")
     order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_text", "place")
-    firsts = windows.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first != last")
+    # Written down, so that both sides of the join are dealt out by it and a hot window can be split.
+    firsts = written(windows.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first != last").drop("last"), "line-firsts")
     later = windows.join(firsts, ["h1", "h2"]).filter(order != F.col("first"))
     removed = later.groupBy("_id", "_text").agg(F.collect_set("place").alias("_removed"))
     removed = removed.withColumnsRenamed({"_id": "_of", "_text": "_of_text"})
