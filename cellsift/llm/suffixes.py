@@ -286,7 +286,8 @@ def repeated_windows(docs: DataFrame, segs: DataFrame) -> DataFrame:
     """``c1, c2, x0, x1``: windows of segments that occur anywhere else."""
     place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_text", "first", "count", "anchor")
     distinct = written(segs.groupBy("c1", "c2").agg(F.min("gram").alias("gram"), F.count(F.lit(1)).alias("n"), F.min(place).alias("at")), "segments-distinct")
-    met = distinct.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("gram")
+    # Written down, as ``found`` is, so that both sides of the join are dealt out by it and a hot key can be split.
+    met = written(distinct.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("gram"), "segments-met")
     open_ = distinct.join(met, "gram").select("gram", "c1", "c2", "at.*")
     wanted = open_.groupBy(F.col("_id").alias("_of"), F.col("_text").alias("_of_text")).agg(F.collect_list(F.struct("gram", "c1", "c2", "first", "count", "anchor")).alias("wanted"))
     once = docs.select("text", "_id", "_text")
@@ -326,7 +327,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     keyed = plain.withColumns({"_id": F.col("doc_id"), "_text": F.xxhash64("text")})
     kind = docs.schema["doc_id"].dataType.simpleString()
     segs = written(keyed.select("text", "_id", "_text").mapInArrow(mapped(_segment_rows), f"_id {kind}, _text long, gram long, c1 long, c2 long, first int, count int, anchor int"), "segments")
-    found = repeated_windows(keyed, segs).groupBy("c1", "c2").agg(F.collect_set(F.struct("x0", "x1")).alias("xs"))
+    found = written(repeated_windows(keyed, segs).groupBy("c1", "c2").agg(F.collect_set(F.struct("x0", "x1")).alias("xs")), "repeated")
     spans = segs.join(found, ["c1", "c2"]).select("_id", "_text", F.transform("xs", lambda x: F.struct((F.col("first") + x["x0"]).alias("a"), (F.col("first") + x["x1"] + SIZE).alias("b"))).alias("s"))
     spans = spans.groupBy(F.col("_id").alias("_of"), F.col("_text").alias("_of_text")).agg(F.flatten(F.collect_set("s")).alias("_spans"))
     joined = keyed.join(spans, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_text") == F.col("_of_text")), "left").select(*plain.columns, "_spans")
