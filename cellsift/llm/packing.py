@@ -10,32 +10,83 @@ queues, and deficits carry across windows and partitions without messages.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellsift.llm.words import Memo, texts
+from cellsift.llm.words import Memo
 from cellsift.session import small_side, written
 
 
+#: Texts whose words are looked up together.
+TEXTS = 4000
+
+
 class WordEncoder:
-    """Ids of a tokenizer whose tokens never span white space, by word."""
+    """Ids of a tokenizer whose tokens never span white space. Each word of a
+    batch is looked up once, and few forms of words need encoding."""
 
     def __init__(self, file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.memo = Memo(lambda word: np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.kind).tobytes())
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.memo = Memo(self._word, 400_000)
+
+    @staticmethod
+    def _parts(word: bytes) -> tuple[bytes, bytes]:
+        """A form with the same ids and what comes after it: case doesn't matter,
+        and a full stop or comma after a letter is a token of its own."""
+        if b"<|" in word:  # special tokens are told apart by case
+            return word, b""
+        low = word.lower()
+        if low[-1:] in (b".", b",") and b"a" <= low[-2:-1] <= b"z":
+            return low[:-1], low[-1:]
+        return low, b""
 
-    def encode(self, text: bytes, end: int) -> bytes:
+    def _word(self, form: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(form.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _learn(self, forms: set[bytes]) -> None:
+        """Encode at once what the memo lacks."""
+        lacking = [w for w in forms if w not in self.memo and w not in self.memo.old]
+        for i in range(0, len(lacking), 50_000):
+            some = lacking[i : i + 50_000]
+            for form, found in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                self.memo[form] = np.array(found.ids, self.kind).tobytes()
+
+    def encode(self, column: pa.Array, end: int, block: int = 1000) -> Iterator[bytes]:
+        """The ids of each text (null: empty) of a string column, and ``end``."""
+        split = pc.ascii_split_whitespace(pc.fill_null(column, ""))
+        offsets = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        parts = list(map(self._parts, coded.dictionary.cast(pa.binary()).to_pylist()))
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        offsets = offsets - offsets[0]
         self.memo.trim()
-        return b"".join(map(self.memo.__getitem__, text.split())) + np.array([end], self.kind).tobytes()
+        self._learn({form for form, _ in parts})
+        values = [self.memo[form] + self.memo[mark] if mark else self.memo[form] for form, mark in parts]
+        table = np.frombuffer(b"".join(values), self.kind)
+        size = np.fromiter(map(len, values), np.int64, len(values)) // self.kind.itemsize
+        first = np.cumsum(size) - size
+        last = np.array([end], self.kind).tobytes()
+        for at in range(0, len(column), block):
+            bounds = offsets[at : at + block + 1]
+            some = index[bounds[0] : bounds[-1]]
+            n = size[some]
+            upto = np.r_[0, np.cumsum(n)]
+            ids = table[np.repeat(first[some] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
+            cut = upto[bounds - bounds[0]] * self.kind.itemsize
+            for a, b in zip(cut[:-1], cut[1:]):
+                yield ids[a:b] + last
 
 
 def encoded(docs: DataFrame, file: str, end: int, name: str) -> DataFrame:
@@ -47,14 +98,14 @@ def encoded(docs: DataFrame, file: str, end: int, name: str) -> DataFrame:
         if "e" not in made:
             made["e"] = WordEncoder(file)
         coder, part, used = made["e"], TaskContext.get().partitionId(), {}
-        for batch in batches:
-            ids, before, n = [], [], []
-            for text, source in zip(texts(batch), batch.column("source").to_pylist()):
-                ids.append(coder.encode(text or b"", end))
-                n.append(len(ids[-1]) // int(coder.kind[2]))
-                before.append(used.get(source, 0))
-                used[source] = before[-1] + n[-1]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array([part] * len(n), pa.int32()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "part", "before", "n", "ids"])
+        for whole in batches:
+            for batch in (whole.slice(at, TEXTS) for at in range(0, whole.num_rows, TEXTS)):
+                ids, before, n = list(coder.encode(batch.column("text"), end)), [], []
+                for found, source in zip(ids, batch.column("source").to_pylist()):
+                    n.append(len(found) // coder.kind.itemsize)
+                    before.append(used.get(source, 0))
+                    used[source] = before[-1] + n[-1]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array([part] * len(n), pa.int32()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "part", "before", "n", "ids"])
 
     source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("source")
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -18,19 +18,24 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
 
 
 class Memo(dict):
-    """Values of keys seen so far; emptied when it holds ``most`` of them, so a
-    task's memory stays bounded whatever the vocabulary."""
+    """Values of keys seen so far. After ``trim`` it holds at most ``most`` new
+    keys and as many old ones, so a task's memory stays bounded whatever the
+    vocabulary, and keys in use are not lost."""
 
     def __init__(self, make: Callable, most: int = 400_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
     def trim(self) -> None:
         if len(self) > self.most:
+            self.old = dict(self)
             self.clear()
 
 

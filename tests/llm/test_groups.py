@@ -1,5 +1,6 @@
 """Shards, SimHash, packing, archives, repeated strings, the pipeline."""
 
+import functools
 import hashlib
 import random
 import zlib
@@ -7,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -113,8 +115,6 @@ def test_simhash_links(spark, monkeypatch, small, large):
     table = spark.createDataFrame([(d, f - (1 << 64) if f >> 63 else f) for d, f in rows], "doc_id long, fp long").repartition(3)
     run = lambda s, big: simhash.cell_links
     if (small, large) != (32, 4096):  # workers have modules of their own: run the cells here
-        import pyarrow as pa
-
         distinct = np.unique(np.array([f for _, f in rows], np.uint64))
         met = simhash.cells(pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64))], ["fp"])).to_pandas().sort_values("cell")
         batches = [pa.RecordBatch.from_pandas(met.iloc[i : i + 7], preserve_index=False) for i in range(0, len(met), 7)]
@@ -151,10 +151,15 @@ def test_components(spark):
     assert got == {k: v for k, v in label.items() if k in touched}
 
 
-def ids_of(text):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(WORDS).encode(text or "", add_special_tokens=False).ids + [1]
+    return Tokenizer.from_file(WORDS)
+
+
+def ids_of(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids + [1]
 
 
 @pytest.mark.parametrize("length", [64, 2048])
@@ -198,9 +203,12 @@ def test_packing(edge_docs, documents, length):
 
 def test_packing_words_like_the_tokenizer(edge_docs, documents):
     coder = packing.WordEncoder(WORDS)
-    odd = ["it's I'LL <|endoftext|>x <|startoftext|>", "a b  c", "é ́ x́", "ΣΑΣ Σ", "日本 １２３ ½", "\x85 a\x1cb", "..,, !? --"]
-    for text in [r[1] or "" for r in edge_docs.rows + documents.rows] + odd:
-        assert np.frombuffer(coder.encode(text.encode(), 1), coder.kind).tolist() == ids_of(text)
+    odd = ["It's. I'LL, A., x.. .a. <|ENDOFTEXT|> b<|endoftext|>. é. É, <|endoftext|>x <|startoftext|>", "a b  c", "é ́ x́", "ΣΑΣ Σ", "日本 １２３ ½", "\x85 a\x1cb", "..,, !? --"]
+    texts = [r[1] for r in edge_docs.rows + documents.rows] + odd + [" ", "  x ", "x\x0b\x0cy \n"]
+    column = pa.array(["dropped", *texts]).slice(1)
+    for _ in range(2):
+        coder.memo.most = 50
+        assert [np.frombuffer(x, coder.kind).tolist() for x in coder.encode(column, 1, block=7)] == [ids_of(t) for t in texts]
 
 
 def test_packing_few_queues_and_weights(edge_docs, no_docs):
@@ -290,8 +298,6 @@ def test_repeats(spark, edge_docs, no_docs):
 
 def test_large_groups_split(monkeypatch):
     """The same windows come out if no more than two segments are compared at once."""
-    import pyarrow as pa
-
     rows = {}
     for _, text in repeat_rows():
         raw = text.encode()
