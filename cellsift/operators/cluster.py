@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellsift.operators.draw import draw
@@ -38,6 +38,49 @@ def drawn_centres(
     return picked.groupBy(*group_cols).agg(F.array_sort(F.collect_list(point)).alias("centres"))
 
 
+def seeded_centres(
+    df: DataFrame, cols: Sequence[str], k: int, id_cols: Sequence[str], group_cols: Sequence[str],
+    seed: int = 0, starts: int = 20, sample: int = 100,
+) -> DataFrame:
+    """Starting centres: the best of ``starts`` k-means++ runs on a sample.
+
+    Of each group ``sample`` x k rows are taken, by a hash of their ids, so the
+    rows of a group that meet in one task are bounded.  Runs are compared by
+    inertia; an empty cluster moves to the row farthest from its centre.
+    """
+    import numpy as np
+    import pandas as pd
+
+    group, most = list(group_cols), sample * k
+    rows = df.select(*group, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)], F.xxhash64(F.lit(seed), *id_cols).alias("_key"))
+    counts = settle(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_of")))
+    thin = F.shiftrightunsigned("_key", 11) / F.lit(float(1 << 53)) < F.lit(4.0 * most) / F.col("_of")
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("_key", *[f"_x{i}" for i in range(len(cols))]))
+    taken = rows.join(small_side(counts), group).where(thin).withColumn("_place", place).where(F.col("_place") <= most)
+
+    def best(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        x = frame.sort_values("_place")[[f"_x{i}" for i in range(len(cols))]].to_numpy()
+        rng, found, least = np.random.default_rng(seed), None, np.inf
+        apart = lambda c: ((x[:, None, :] - c[None]) ** 2).sum(axis=2)
+        for _ in range(starts):
+            c = x[rng.integers(len(x))][None]
+            while len(c) < k:
+                gap = apart(c).min(axis=1)
+                c = np.vstack([c, x[rng.choice(len(x), p=gap / gap.sum()) if gap.sum() > 0 else rng.integers(len(x))]])
+            for _ in range(10):
+                gap = apart(c)
+                label = gap.argmin(axis=1)
+                for j in range(k):
+                    c[j] = x[label == j].mean(axis=0) if (label == j).any() else x[gap.min(axis=1).argmax()]
+            inertia = apart(c).min(axis=1).sum()
+            if inertia < least:
+                found, least = c, inertia
+        return pd.DataFrame([(*key, sorted(found.tolist()))], columns=[*group, "centres"])
+
+    schema = ", ".join([*[f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group], "centres array<array<double>>"])
+    return taken.groupBy(*group).applyInPandas(best, schema)
+
+
 def nearest_centre(cols: Sequence[str], k: int) -> Column:
     """Label of the nearest of the centres in columns ``_c{i}_{axis}``, ties to
     the lowest label.
@@ -122,6 +165,7 @@ __all__ = [
     "midpoint_centres",
     "midpoints_of",
     "nearest_centre",
+    "seeded_centres",
     "sort_centres",
     "spark_kmeans",
     "with_labels",

@@ -57,7 +57,8 @@ def node_energy(snapshots: DataFrame) -> DataFrame:
         *[F.max_by(c, F.struct("timestamp", "phase")).alias(f"last_{c}") for c in COUNTERS],
         *[F.min_by(c, F.struct("timestamp", "phase")).alias(f"first_{c}") for c in COUNTERS],
     )
-    used = lambda names: _sum([F.col(f"last_{c}") - F.col(f"first_{c}") for c in names])
+    # A counter that a node lacks, at either end, adds nothing, as in ``intervals``.
+    used = lambda names: _sum([F.coalesce(F.col(f"last_{c}") - F.col(f"first_{c}"), F.lit(0.0)) for c in names])
     elapsed = F.col("ended") - F.col("started")
     return ends.select(
         "node_id",

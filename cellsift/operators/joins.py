@@ -13,17 +13,21 @@ from cellsift.session import small_side
 def align_variables(tables: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
     """Variables that lie in separate tables, as columns of one row per key.
 
-    Only rows that every table has remain.  One union and one grouping, so the
+    Only keys that every table has remain; a key that a table has twice is an
+    error.  One union and one grouping, so the
     number of shuffles does not grow with the number of variables.
     """
     parts = None
     for name, df in tables.items():
         one = df.select(*keys, F.lit(name).alias("_var"), F.col(name).cast("double").alias("_val"))
         parts = one if parts is None else parts.unionByName(one)
+    seen = F.array(*[F.count(F.when(F.col("_var") == name, 1)) for name in tables])
     wide = parts.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.max(F.when(F.col("_var") == name, F.col("_val"))).alias(name) for name in tables]
+        seen.alias("_seen"), *[F.max(F.when(F.col("_var") == name, F.col("_val"))).alias(name) for name in tables]
     )
-    return wide.where(F.col("_n") == len(tables)).drop("_n")
+    twice = F.raise_error(F.lit(f"a variable has two rows for one of the keys {list(keys)}"))
+    whole = F.when(F.array_max("_seen") > 1, twice.cast("boolean")).otherwise(F.array_min("_seen") == 1)
+    return wide.where(whole).drop("_seen")
 
 
 def forces_at_snapshots(snapshots: DataFrame, forces: DataFrame, dt: float = 1.0) -> DataFrame:

@@ -277,6 +277,8 @@ def latin_hypercube(
     shuffled.  A larger one is joined: points are cut into chunks by a seeded
     key, and each chunk meets the design of its group.
     """
+    if not group_cols:
+        raise ValueError("a Latin hypercube needs a group column; a constant one makes all rows a group")
     group = list(group_cols)
     design_cols = [f"d{i}" for i in range(len(feature_cols))]
     limits = settle(

@@ -101,22 +101,27 @@ def _likelihoods(df: DataFrame, powers: dict[str, list[float]]) -> dict[str, lis
     return out
 
 
-def fit_power(df: DataFrame, cols: Sequence[str], low: float = -4.0, high: float = 6.0, passes: int = 5) -> FittedScaler:
+def fit_power(df: DataFrame, cols: Sequence[str], low: float = -4.0, high: float = 6.0, tolerance: float = 1e-6) -> FittedScaler:
     """Yeo-Johnson power of largest likelihood, then standardised.
 
     Each pass scans once with eleven candidates for every column and narrows
-    the ranges to the neighbours of the best.
+    the ranges to the neighbours of the best, until they are ``tolerance``
+    apart.  A best candidate at the edge of a range moves the range on.
     """
     spans = {c: (low, high) for c in cols}
     best = dict.fromkeys(cols, 1.0)
-    for _ in range(passes):
+    while any(hi - lo > 10 * tolerance for lo, hi in spans.values()):
         powers = {c: [lo + (hi - lo) / 10 * i for i in range(11)] for c, (lo, hi) in spans.items()}
         for c, found in _likelihoods(df, powers).items():
             top = max(found)
             if top > -math.inf:
                 best[c] = powers[c][found.index(top)]
                 step = (spans[c][1] - spans[c][0]) / 10
-                spans[c] = (best[c] - step, best[c] + step)
+                # At the edge of a first range the optimum may lie beyond: keep its width.
+                wide = found.index(top) in (0, 10) and step >= (high - low) / 10 and abs(best[c]) < 4 * max(abs(low), abs(high))
+                spans[c] = (best[c] - 5 * step, best[c] + 5 * step) if wide else (best[c] - step, best[c] + step)
+            else:
+                spans[c] = (best[c], best[c])
     shaped = df.select(*[yeo_johnson(F.col(c), best[c]).alias(c) for c in cols])
     known = moments(shaped, cols)
     return FittedScaler("PowerTransformer", {c: (best[c], known[c]["mean"], known[c]["dev"]) for c in cols})

@@ -19,6 +19,7 @@ class TargetKind(Enum):
 BOX_METHODS = ("uniform", "maxent", "random")
 POINT_METHODS = ("maxent", "random", "full", "uips", "lhs", "stratified")
 SCALERS = ("StandardScaler", "MinMaxScaler", "PowerTransformer", "None")
+STARTS = ("seeded", "fixed")
 FORMATS = ("openfoam", "csv", "npz", "raw-grid", "cube-dirs", "cube-blocks")
 TARGETS = ("drag", "p", "p_full", "wz", "tke")
 
@@ -38,6 +39,7 @@ class CurationParams:
     per_cube: bool = False
     num_clusters: int = 10
     kmeans_rounds: int = 10
+    starts: str = "seeded"
     cluster_var: tuple[str, ...] = ("pv",)
     input_vars: tuple[str, ...] = ("u", "v", "w", "r")
     output_vars: tuple[str, ...] = ("p", "pv")
@@ -79,6 +81,7 @@ class CurationParams:
         for value, allowed, name in (
             (self.hypercubes, BOX_METHODS, "hypercubes"),
             (self.method, POINT_METHODS, "method"),
+            (self.starts, STARTS, "starts"),
             (self.xscaler, SCALERS, "xscaler"),
             (self.yscaler, SCALERS, "yscaler"),
         ):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cellsift.functions.grid import box_counts, box_number, local_number
 from cellsift.operators.boxes import cells_of_boxes, select_boxes
+from cellsift.operators.cluster import seeded_centres
 from cellsift.operators.samplers import SAMPLERS
 from cellsift.operators.windows import apply_selection, first_steps, match_times, rows_at_times, window_steps
 from cellsift.params import CurationParams, TargetKind
@@ -100,7 +101,11 @@ def _sample(boxes: DataFrame, rows: DataFrame, params: CurationParams, centres:
 
     first = first_steps(kept, params.window)
     groups = ["timestep", "cube_id"] if params.per_cube and params.method != "maxent" else ["timestep"]
-    n = params.num_samples if params.per_cube else params.num_samples * (params.num_hypercubes or 1)
+    # Fewer boxes than asked for may exist, and None asks for all of them.
+    per_step = boxes.groupBy("timestep").count().agg(F.max("count")).first()[0] or 0
+    n = params.num_samples if params.per_cube else params.num_samples * per_step
+    if params.method == "maxent" and centres is None and params.starts == "seeded":
+        centres = seeded_centres(first, params.cluster_var, params.num_clusters, ["point_id"], groups, params.seed)
     options = dict(
         feature_cols=list(params.input_vars),
         cluster_cols=list(params.cluster_var),
@@ -133,7 +138,9 @@ def _inputs(rows: DataFrame, params: CurationParams) -> DataFrame:
 def _targets(kept: DataFrame, sampled: DataFrame, params: CurationParams) -> DataFrame:
     outputs = [c for c in params.output_vars]
     if params.target_kind is TargetKind.GLOBAL:
-        return kept.groupBy("timestep").agg(*[F.min(c).alias(c) for c in outputs])
+        differ = lambda c: F.raise_error(F.lit(f"{c} is not one value for each timestep"))
+        one = lambda c: F.when(F.min(c).eqNullSafe(F.max(c)), F.min(c)).otherwise(differ(c).cast("double"))
+        return kept.groupBy("timestep").agg(*[one(c).alias(c) for c in outputs])
     rows = kept if params.target_kind is TargetKind.FULL else sampled
     return rows.select(*_keys(params), *outputs)
 

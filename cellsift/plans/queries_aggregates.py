@@ -316,7 +316,7 @@ def parity_limits(spark, sf):
 
 
 def _used(names: tuple[str, ...]) -> str:
-    return " + ".join(f"(b.{n} - a.{n})" for n in names)
+    return " + ".join(f"coalesce(b.{n} - a.{n}, 0)" for n in names)
 
 
 NODES = (

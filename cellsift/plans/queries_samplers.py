@@ -34,7 +34,7 @@ ORDER BY {race(parts, f'box-{seed}', weight)}, {keys}) AS pick FROM {rows}) WHER
 def _params(spark, sf, **changes) -> CurationParams:
     shape = dict(nx=views.NX, ny=views.NY, nz=views.depth(views.field(spark, sf)), pad=0)
     size = dict(nxsl=5, nysl=5, nzsl=5)
-    base = dict(cluster_var=("u",), input_vars=("u", "v"), output_vars=("w",), num_clusters=K, kmeans_rounds=0)
+    base = dict(cluster_var=("u",), input_vars=("u", "v"), output_vars=("w",), num_clusters=K, kmeans_rounds=0, starts="fixed")
     return CurationParams(**{**shape, **size, **base, **changes})
 
 

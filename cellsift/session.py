@@ -16,10 +16,16 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
-def build_session(cores: int | str = "*", app: str = "cellsift", shuffle_partitions: int = 8) -> SparkSession:
-    """A local session with the settings the library is tested with."""
+def build_session(
+    cores: int | str = "*", app: str = "cellsift", shuffle_partitions: int = 8, scratch: str | None = None
+) -> SparkSession:
+    """A local session with the settings the library is tested with.
+
+    ``scratch`` is the folder of checkpoints and written intermediates.
+    """
+    builder = SparkSession.builder if scratch is None else SparkSession.builder.config("spark.checkpoint.dir", scratch)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -61,12 +67,15 @@ def ship(spark: SparkSession) -> None:
 def scratch_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, laptops) a folder is made here.
+    Only where the session names none and runs in one process (tests, laptops) a
+    folder is made here.  Elsewhere executors wouldn't see it, so that is an error.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
     if named is None and current is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="cellsift-")
     if current is None:
         context.setCheckpointDir(named)

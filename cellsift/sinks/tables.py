@@ -48,5 +48,5 @@ def write_first_timestep(df: DataFrame, path: str, cols: Sequence[str]) -> None:
 
 
 def write_downsampled(df: DataFrame, path: str, n: int) -> None:
-    """A down-sampled set, in a folder named by its size."""
-    df.withColumn("n_samples", F.lit(n)).write.partitionBy("n_samples").mode("append").parquet(path)
+    """A down-sampled set, in a folder named by its size; a rerun replaces it."""
+    df.write.mode("overwrite").parquet(f"{path}/n_samples={n}")

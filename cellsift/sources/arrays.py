@@ -49,12 +49,12 @@ def _wide(variables: Sequence[str]):
     return decode
 
 
-def npz_snapshots(spark: SparkSession, path: str, variables: Sequence[str]) -> DataFrame:
+def npz_snapshots(spark: SparkSession, path: str, variables: Sequence[str], skip_incomplete: bool = False) -> DataFrame:
     """One row per cell with a column per variable, from ``datacube`` files.
 
     The compressed files of a snapshot are brought to one task, so its cells are
     aligned by position and never shuffled.  A snapshot that misses a variable
-    is dropped whole.
+    or has one twice is an error; ``skip_incomplete`` leaves it out.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path)
     named = files.select(
@@ -64,7 +64,11 @@ def npz_snapshots(spark: SparkSession, path: str, variables: Sequence[str]) -> D
     ).where(F.col("timestep").isNotNull() & F.col("variable").isin(list(variables)))
     whole = named.groupBy("timestep").agg(F.collect_list(F.struct("variable", "content")).alias("files"))
     columns = ", ".join(f"{v} double" for v in variables)
-    return whole.where(F.size("files") == len(variables)).mapInArrow(
+    found = F.array_sort(F.col("files.variable")) == F.array(*[F.lit(v) for v in sorted(variables)])
+    if not skip_incomplete:
+        wrong = F.raise_error(F.concat(F.lit("variables of snapshot "), F.col("timestep").cast("string"), F.lit(" are not complete")))
+        found = F.when(found, True).otherwise(wrong.cast("boolean"))
+    return whole.where(found).mapInArrow(
         _wide(list(variables)), f"timestep double, point_id long, gx long, gy long, gz long, {columns}"
     )
 

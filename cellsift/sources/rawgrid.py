@@ -88,6 +88,7 @@ class GridLayout:
         self.offset = dict(zip("xyz", _three(opt.get("offsets"), 0)))
         self.size = dict(zip("xyz", _three(opt.get("sizes"), None)))
         self.blocks = int(opt.get("blocks", 8))
+        self.skip_incomplete = str(opt.get("skip_incomplete", False)).lower() == "true"
         self.slab = int(opt["slab"]) if "slab" in opt else None
         self.time_type = T.DoubleType() if self.layout == "flat" else T.LongType()
         if self.layout == "block_dir":
@@ -150,7 +151,9 @@ class GridLayout:
                             found.setdefault(key, {})[v] = os.path.join(folder, name)
         for (time, number), files in sorted(found.items()):
             if len(files) < len(self.vars):
-                continue  # a snapshot that misses a variable is dropped whole
+                if self.skip_incomplete:
+                    continue
+                raise ValueError(f"snapshot {time} has no {sorted(set(self.vars) - set(files))}; skip_incomplete=True leaves it out")
             origin = {"x": 0, "y": 0, "z": 0}
             if self.layout == "block_dir":
                 step = self.grid["x"]
