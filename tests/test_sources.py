@@ -71,7 +71,9 @@ def test_wrong_size_and_missing_variable(spark, raw):
     with pytest.raises(Exception, match="bytes where the grid needs"):
         rawgrid.read_raw_grid(spark, raw, ["u"], (NX, NY, NZ)).count()
     (cube(0)).tofile(f"{raw}/w_{TIMES[1]:.6f}")
-    both = rawgrid.read_raw_grid(spark, raw, ["p", "w"], (NX, NY, NZ))
+    with pytest.raises(Exception, match="skip_incomplete"):
+        rawgrid.read_raw_grid(spark, raw, ["p", "w"], (NX, NY, NZ)).count()
+    both = rawgrid.read_raw_grid(spark, raw, ["p", "w"], (NX, NY, NZ), skip_incomplete=True)
     assert [r[0] for r in both.select("timestep").distinct().collect()] == [TIMES[1]]
     sizes = listing.list_files(spark, raw, "u_*")
     with pytest.raises(Exception, match="values where"):
@@ -136,7 +138,9 @@ def test_npz_npy_and_axes(spark, tmp_path):
     for v, shift in (("u", 0), ("p", 100)):
         np.savez(tmp_path / f"{v}_PVsample-nx2ny3nz4_nskip1_t0.500000.npz", datacube=data + shift)
     np.savez(tmp_path / "u_PVsample-nx2ny3nz4_nskip1_t0.700000.npz", datacube=data)
-    rows = arrays.npz_snapshots(spark, str(tmp_path), ["u", "p"]).toPandas()
+    with pytest.raises(Exception, match="not complete"):
+        arrays.npz_snapshots(spark, str(tmp_path), ["u", "p"]).collect()
+    rows = arrays.npz_snapshots(spark, str(tmp_path), ["u", "p"], skip_incomplete=True).toPandas()
     assert len(rows) == 24 and set(rows.timestep) == {0.5}
     assert (rows.u == rows.gx * 12 + rows.gy * 4 + rows.gz).all() and (rows.p == rows.u + 100).all()
     np.savez(tmp_path / "axes.npz", x=np.arange(2), y=np.arange(3), z=np.arange(4) / 4)
@@ -176,7 +180,7 @@ def test_energy_snapshots(spark, tmp_path):
     snap("1", "end", 30.0, CPU=91.0, Accel1=9.0)
     snaps = tabular.read_energy_snapshots(spark, str(tmp_path))
     nodes = {r["node_id"]: r for r in energy.node_energy(snaps).collect()}
-    assert nodes["1"]["cpu_joules"] == 90.0 and nodes["1"]["gpu_joules"] is None
+    assert nodes["1"]["cpu_joules"] == 90.0 and nodes["1"]["gpu_joules"] == 9.0 and nodes["1"]["joules"] == 99.0
     assert nodes["0"]["elapsed"] == 10.0
     steps = energy.intervals(snaps).toPandas()
     assert len(steps) == 3
