@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from cellsift.session import small_side, written
 
 
 #: Texts whose words are looked up together.
-TEXTS = 4000
+TEXTS = 6000
 
 
 class WordEncoder:
@@ -39,7 +40,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo = Memo(self._word, 400_000)
+        self.memo = Memo(self._word, 500_000)
 
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, bytes]:
@@ -214,37 +215,33 @@ def _pieces(batch: pa.RecordBatch, mixture: Mixture, length: int, with_ids: bool
         while i < len(mine):
             first = max(first, _window_of(mixture, int(q), int(at[mine[i]]), length, windows))
             bounds = mixture.served(np.arange(first, min(first + block, windows) + 1) * length)
-            own = bounds[:, q]
-            lead = np.diff(bounds, axis=0)[:, :q].sum(axis=1)
-            out = {k: [] for k in ("row", "start", "length", "sequence_id", "offset", "crc", "ids")}
+            own, lead = bounds[:, q].tolist(), np.diff(bounds, axis=0)[:, :q].sum(axis=1).tolist()
+            out, cut = [], []
             while i < len(mine) and at[mine[i]] < own[-1]:
-                r = mine[i]
-                a, b = max(int(at[r]), int(own[0])), min(int(at[r] + n[r]), int(own[-1]))
-                data = np.frombuffer(raw[r], f"<u{len(raw[r]) // n[r]}").astype("<u4")
+                r = int(mine[i])
+                begin, tokens = int(at[r]), int(n[r])
+                a, b = max(begin, own[0]), min(begin + tokens, own[-1])
+                data = np.frombuffer(raw[r], f"<u{len(raw[r]) // tokens}").astype("<u4")
                 view = memoryview(data.tobytes())
-                w = int(np.searchsorted(own, a, "right")) - 1
+                w = bisect_right(own, a) - 1
                 while a < b:
-                    stop = min(b, int(own[w + 1]))
+                    stop = min(b, own[w + 1])
                     if stop > a:
-                        s = a - int(at[r])
-                        out["row"].append(r)
-                        out["start"].append(s)
-                        out["length"].append(stop - a)
-                        out["sequence_id"].append(first + w)
-                        out["offset"].append(int(lead[w]) + a - int(own[w]))
-                        out["crc"].append(zlib.crc32(view[4 * s : 4 * (s + stop - a)]))
+                        s, e = a - begin, stop - begin
+                        out.append((r, s, e - s, zlib.crc32(view[4 * s : 4 * e]), first + w, lead[w] + a - own[w]))
                         if with_ids:
-                            out["ids"].append(data[s : s + stop - a])
+                            cut.append(data[s:e])
                     a, w = stop, w + 1
-                if at[r] + n[r] > own[-1]:
+                if begin + tokens > own[-1]:
                     break
                 i += 1
-            rows = np.array(out["row"], np.int64)
-            longs = [pa.array(np.array(out[k], np.int64)) for k in ("start", "length", "crc")]
-            columns = [batch.column("doc_id").take(pa.array(rows)), *longs, pa.array(n[rows]), *(pa.array(np.array(out[k], np.int64)) for k in ("sequence_id", "offset"))]
-            source = pa.array([None if not x else x[1:] for x in batch.column("source").take(pa.array(rows)).to_pylist()], pa.string())
-            more = [pa.array(out["ids"], pa.list_(pa.int32()))] if with_ids else []
-            yield pa.RecordBatch.from_arrays([*columns, source, *more], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", *(["ids"] if with_ids else [])])
+            table = np.array(out, np.int64).reshape(-1, 6)
+            rows = table[:, 0]
+            start, size, crc, sequence, offset = (pa.array(table[:, c].copy()) for c in range(1, 6))
+            source = pa.array([None if not x else x[1:] for x in batch.column("source").take(pa.array(rows.copy())).to_pylist()], pa.string())
+            columns = [batch.column("doc_id").take(pa.array(rows.copy())), start, size, crc, pa.array(n[rows]), sequence, offset, source]
+            more = [pa.array(cut, pa.list_(pa.int32()))] if with_ids else []
+            yield pa.RecordBatch.from_arrays([*columns, *more], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", *(["ids"] if with_ids else [])])
             first += block
 
 
