@@ -10,6 +10,7 @@ queues, and deficits carry across windows and partitions without messages.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from bisect import bisect_right
@@ -22,83 +23,128 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellsift.llm.words import Memo
 from cellsift.session import small_side, written
 
 
 #: Texts whose words are looked up together.
 TEXTS = 6000
+#: Forms of words that a worker remembers; beyond, it keeps those of the current batch.
+FORMS = 1_000_000
+#: What a token ends in where a word ends, in vocabularies that mark it.
+WORD_END = "</w>"
 
 
 class WordEncoder:
     """Ids of a tokenizer whose tokens never span white space. Each word of a
-    batch is looked up once, and few forms of words need encoding."""
+    batch is looked up once, and few forms of words need encoding.
+
+    A form has the ids of all words that stand for it: case doesn't matter, and a
+    full stop or comma after a letter is a token of its own. Words with ``<|`` stay
+    as they are, as special tokens are told apart by case.
+    """
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo = Memo(self._word, 500_000)
-
-    @staticmethod
-    def _parts(word: bytes) -> tuple[bytes, bytes]:
-        """A form with the same ids and what comes after it: case doesn't matter,
-        and a full stop or comma after a letter is a token of its own."""
-        if b"<|" in word:  # special tokens are told apart by case
-            return word, b""
-        low = word.lower()
-        if low[-1:] in (b".", b",") and b"a" <= low[-2:-1] <= b"z":
-            return low[:-1], low[-1:]
-        return low, b""
-
-    def _word(self, form: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(form.decode(), add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _learn(self, forms: set[bytes]) -> None:
-        """Encode at once what the memo lacks."""
-        lacking = [w for w in forms if w not in self.memo and w not in self.memo.old]
-        for i in range(0, len(lacking), 50_000):
-            some = lacking[i : i + 50_000]
-            for form, found in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                self.memo[form] = np.array(found.ids, self.kind).tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.kind = np.dtype("<u2" if len(self.ends) <= 1 << 16 else "<u4")
+        #: The number of each form, and by number its ids.
+        self.places: dict[str, int] = {}
+        self.ids, self.first, self.size = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _keep(self, forms: list[str]) -> None:
+        """Forget all forms but these."""
+        known = [w for w in forms if w in self.places]
+        place = np.fromiter(map(self.places.__getitem__, known), np.int64, len(known))
+        self.ids, _ = _gathered(self.ids, self.first, self.size, place)
+        self.size, self.places = self.size[place], dict(zip(known, range(len(known))))
+
+    def _encode(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """The ids of some words, and how many each has."""
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        ids = [x.ids for x in found]
+        return [i for some in ids for i in some], list(map(len, ids))
+
+    def _encode_plain(self, words: list[str], line: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of ASCII letters, each of which ends at a token with
+        ``WORD_END``, so that many are encoded as one text."""
+        ids = np.array(self._encode([" ".join(words[i : i + line]) for i in range(0, len(words), line)])[0], self.kind)
+        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+
+    def learn(self, forms: list[str], block: int = 50_000) -> None:
+        """Encode the forms that are not known yet."""
+        lacking = [w for w in forms if w not in self.places]
+        plain = [w for w in lacking if w.isascii() and w.isalpha()] if self.ends.any() else []
+        other = [w for w in lacking if not (w.isascii() and w.isalpha())] if self.ends.any() else lacking
+        ids, size = [self.ids], [self.size]
+        for words, encode in ((plain, self._encode_plain), (other, self._encode)):
+            for i in range(0, len(words), block):
+                some, n = encode(words[i : i + block])
+                ids.append(np.array(some, self.kind))
+                size.append(np.array(n, np.int64))
+        self.places.update(zip(plain + other, range(len(self.places), len(self.places) + len(lacking))))
+        self.ids, self.size = np.concatenate(ids), np.concatenate(size)
+        self.first = np.cumsum(self.size) - self.size
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different words, one after the other, and how many each has."""
+        special = pc.match_substring(words, "<|")
+        low = pc.if_else(special, words, pc.ascii_lower(words))
+        marked = pc.and_not(pc.match_substring_regex(low, "[a-z][.,]$"), special)
+        form = pc.if_else(marked, pc.utf8_slice_codeunits(low, 0, -1), low).dictionary_encode()
+        forms = form.dictionary.to_pylist()
+        if len(self.places) + len(forms) > FORMS:
+            self._keep(forms)
+        self.learn(list(dict.fromkeys([*forms, ".", ","])))
+        place = np.fromiter(map(self.places.__getitem__, forms), np.int64, len(forms))[form.indices.to_numpy()]
+        mark = np.where(pc.ends_with(low, ".").to_numpy(zero_copy_only=False), self.places["."], self.places[","])
+        parts = 1 + marked.to_numpy(zero_copy_only=False).astype(np.int64)
+        both, last = np.repeat(place, parts), np.cumsum(parts) - 1
+        both[last[parts == 2]] = mark[parts == 2]
+        ids, upto = _gathered(self.ids, self.first, self.size, both)
+        return ids, np.diff(upto[last + 1], prepend=0)
 
     def encode(self, column: pa.Array, end: int, block: int = 1000) -> Iterator[bytes]:
         """The ids of each text (null: empty) of a string column, and ``end``."""
         split = pc.ascii_split_whitespace(pc.fill_null(column, ""))
         offsets = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
-        parts = list(map(self._parts, coded.dictionary.cast(pa.binary()).to_pylist()))
         index = coded.indices.to_numpy(zero_copy_only=False)
         offsets = offsets - offsets[0]
-        self.memo.trim()
-        self._learn({form for form, _ in parts})
-        values = [self.memo[form] + self.memo[mark] if mark else self.memo[form] for form, mark in parts]
-        table = np.frombuffer(b"".join(values), self.kind)
-        size = np.fromiter(map(len, values), np.int64, len(values)) // self.kind.itemsize
+        table, size = self._words(coded.dictionary)
         first = np.cumsum(size) - size
         last = np.array([end], self.kind).tobytes()
         for at in range(0, len(column), block):
             bounds = offsets[at : at + block + 1]
-            some = index[bounds[0] : bounds[-1]]
-            n = size[some]
-            upto = np.r_[0, np.cumsum(n)]
-            ids = table[np.repeat(first[some] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
-            cut = upto[bounds - bounds[0]] * self.kind.itemsize
+            ids, upto = _gathered(table, first, size, index[bounds[0] : bounds[-1]])
+            raw, cut = memoryview(ids.tobytes()), upto[bounds - bounds[0]] * self.kind.itemsize
             for a, b in zip(cut[:-1], cut[1:]):
-                yield ids[a:b] + last
+                yield bytes(raw[a:b]) + last
+
+
+def _gathered(ids: np.ndarray, first: np.ndarray, size: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids at some places one after the other, and where each place's begin."""
+    n = size[places]
+    upto = np.r_[0, np.cumsum(n)]
+    return ids[np.repeat(first[places] - upto[:-1], n) + np.arange(upto[-1])], upto
+
+
+@functools.cache
+def encoder(file: str) -> WordEncoder:
+    """The encoder of this worker; what it knows serves all tasks that it runs."""
+    return WordEncoder(file)
 
 
 def encoded(docs: DataFrame, file: str, end: int, name: str) -> DataFrame:
     """``doc_id, source, part, before, n, ids``: the ids of each text, and how
     many tokens of its source come before it in its partition."""
-    made = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "e" not in made:
-            made["e"] = WordEncoder(file)
-        coder, part, used = made["e"], TaskContext.get().partitionId(), {}
+        coder, part, used = encoder(file), TaskContext.get().partitionId(), {}
         for whole in batches:
             for batch in (whole.slice(at, TEXTS) for at in range(0, whole.num_rows, TEXTS)):
                 ids, before, n = list(coder.encode(batch.column("text"), end)), [], []

@@ -201,13 +201,14 @@ def test_packing(edge_docs, documents, length):
         assert sorted(len(s["tokens"]) for s in sequences)[1:] == [length] * (len(sequences) - 1)
 
 
-def test_packing_words_like_the_tokenizer(edge_docs, documents):
+@pytest.mark.parametrize("forms", [50, packing.FORMS])
+def test_packing_words_like_the_tokenizer(edge_docs, documents, monkeypatch, forms):
+    monkeypatch.setattr(packing, "FORMS", forms)
     coder = packing.WordEncoder(WORDS)
     odd = ["It's. I'LL, A., x.. .a. <|ENDOFTEXT|> b<|endoftext|>. é. É, <|endoftext|>x <|startoftext|>", "a b  c", "é ́ x́", "ΣΑΣ Σ", "日本 １２３ ½", "\x85 a\x1cb", "..,, !? --"]
     texts = [r[1] for r in edge_docs.rows + documents.rows] + odd + [" ", "  x ", "x\x0b\x0cy \n"]
     column = pa.array(["dropped", *texts]).slice(1)
     for _ in range(2):
-        coder.memo.most = 50
         assert [np.frombuffer(x, coder.kind).tolist() for x in coder.encode(column, 1, block=7)] == [ids_of(t) for t in texts]
 
 
