@@ -127,6 +127,15 @@ def with_coordinates(df: DataFrame, params) -> DataFrame:
     )
 
 
+def with_grid_coordinates(df: DataFrame, params) -> DataFrame:
+    """Add x, y, z of cells of the whole grid, which spans its lengths evenly."""
+    if params.gravity not in ("y", "z"):
+        raise ValueError("gravity must be 'y' or 'z'")
+    lengths = {"x": params.Lh, "y": params.Lh, "z": params.Lh, params.gravity: params.Lv}
+    cells = {"x": params.nx - params.pad, "y": params.ny, "z": params.nz}
+    return df.withColumns({a: axis_coordinate(F.col(f"g{a}"), lengths[a], cells[a], cells[a]) for a in AXES})
+
+
 def unit_coordinate(local: Column, n: int) -> Column:
     """Coordinate in the unit cube of the ``local``-th of ``n`` cells."""
     return local / F.lit(float(max(n - 1, 1)))

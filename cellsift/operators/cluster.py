@@ -96,9 +96,28 @@ def nearest_centre(cols: Sequence[str], k: int) -> Column:
     return F.expr(f"coalesce(array_position({each}, array_min({each})) - 1, 0L)")
 
 
+#: Beyond so many centre values a row, centres stay arrays: the code of plain
+#: columns would be too large to compile.  Both forms add in the same order.
+PLAIN_VALUES = 200
+
+
+def nearest_of_arrays(cols: Sequence[str], centres: str = "centres") -> Column:
+    """The same label from a column that holds the array of centres."""
+    point = F.array(*[F.col(c).cast("double") for c in cols])
+    squares = lambda c: F.zip_with(point, c, lambda a, b: (a - b) * (a - b))
+    gaps = F.transform(centres, lambda c: F.aggregate(squares(c), F.lit(0.0), lambda total, x: total + x))
+    found = F.transform(F.array(gaps), lambda g: F.array_position(g, F.array_min(g)) - 1)[0]
+    return F.coalesce(found, F.lit(0).cast("long"))
+
+
 def assign(df: DataFrame, cols: Sequence[str], centres: DataFrame, k: int, group_cols: Sequence[str]) -> DataFrame:
     """Add ``label`` to every row; one small row of centres per group."""
     settled = settle(centres)
+    if k * len(cols) > PLAIN_VALUES:
+        held = settled.select(*group_cols, F.col("centres").alias("_centres"))
+        held._rows = settled._rows
+        joined = df.join(small_side(held), list(group_cols))
+        return joined.withColumn("label", nearest_of_arrays(cols, "_centres")).drop("_centres")
     names = [(i, axis) for i in range(k) for axis in range(len(cols))]
     flat = settled.select(*group_cols, *[F.expr(f"centres[{i}][{axis}]").alias(f"_c{i}_{axis}") for i, axis in names])
     flat._rows = settled._rows
@@ -165,6 +184,7 @@ __all__ = [
     "midpoint_centres",
     "midpoints_of",
     "nearest_centre",
+    "nearest_of_arrays",
     "seeded_centres",
     "sort_centres",
     "spark_kmeans",

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from dataclasses import dataclass, field, replace
 from enum import Enum
 
 
@@ -14,12 +15,13 @@ class TargetKind(Enum):
     FULL = "full"  # every point
 
 
-# Names a user may give for the two selection stages, the input
-# formats, the scalers and the targets.
+# Names a user may give for the two selection stages, vector
+# variables, the input formats, the scalers and the targets.
 BOX_METHODS = ("uniform", "maxent", "random")
 POINT_METHODS = ("maxent", "random", "full", "uips", "lhs", "stratified")
 SCALERS = ("StandardScaler", "MinMaxScaler", "PowerTransformer", "None")
 STARTS = ("seeded", "fixed")
+VECTORS = ("velocity",)
 FORMATS = ("openfoam", "csv", "npz", "raw-grid", "cube-dirs", "cube-blocks")
 TARGETS = ("drag", "p", "p_full", "wz", "tke")
 
@@ -108,6 +110,16 @@ class CurationParams:
             return TargetKind.FULL
         return TargetKind.LOCAL
 
+    @property
+    def variables(self) -> list[str]:
+        """Every variable that is read, once."""
+        return list(dict.fromkeys([*self.cluster_var, *self.input_vars, *self.output_vars]))
+
+    def by_component(self, vectors: Sequence[str]) -> CurationParams:
+        """The same parameters with the columns of vector variables in place of their names."""
+        each = lambda names: tuple(c for v in names for c in ([f"{v}_{a}" for a in "xyz"] if v in vectors else [v]))
+        return replace(self, cluster_var=each(self.cluster_var), input_vars=each(self.input_vars), output_vars=each(self.output_vars))
+
     @property
     def samples_per_window(self) -> int:
         """Points kept per box: the box volume when every point is kept."""

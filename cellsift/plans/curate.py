@@ -7,12 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsift.functions.grid import box_counts, box_number, local_number
+from cellsift.functions.grid import AXES, box_counts, box_number, local_number, with_grid_coordinates
 from cellsift.operators.boxes import cells_of_boxes, select_boxes
 from cellsift.operators.cluster import seeded_centres
 from cellsift.operators.samplers import SAMPLERS
 from cellsift.operators.windows import apply_selection, first_steps, match_times, rows_at_times, window_steps
-from cellsift.params import CurationParams, TargetKind
+from cellsift.params import VECTORS, CurationParams, TargetKind
 from cellsift.session import settle, small_side, written
 from cellsift.sinks.tables import write_boxes, write_curated, write_selection
 from cellsift.sources.rawgrid import grid_times, read_boxes, read_raw_grid
@@ -59,9 +59,13 @@ def curate_archive(
     Only the cluster variables are scanned, at the first step of each window
     and at the strides of ``params``; that scan is written down once, because
     clustering reads it several times.  Of all other variables and steps only
-    the chosen boxes are read, by seeking to them.
+    the chosen boxes are read, by seeking to them.  A vector variable becomes
+    one column for each component.
     """
-    variables = list(dict.fromkeys([*params.cluster_var, *params.input_vars, *params.output_vars]))
+    variables, scanned = params.variables, params.cluster_var
+    if layout != "flat":
+        options.setdefault("vectors", [v for v in variables if v in VECTORS])
+    params = params.by_component(options.get("vectors", ()))
     times = settle(grid_times(spark, path, variables, params.grid, layout=layout, **options))
     if params.timesteps is not None:
         requested = spark.createDataFrame([(float(t),) for t in params.timesteps], "requested double")
@@ -73,14 +77,14 @@ def curate_archive(
     if params.hypercubes == "maxent":
         wanted = [r["timestep"] for r in firsts.select("timestep").collect()]  # one value per window
         strides = (params.nxskip, params.nyskip, params.nzskip)
-        scan = read_raw_grid(spark, path, params.cluster_var, params.grid, layout=layout, skips=strides, pad=params.pad, **options)
+        scan = read_raw_grid(spark, path, scanned, params.grid, layout=layout, skips=strides, pad=params.pad, **options)
         scored = written(scan.where(F.col("timestep").isin(wanted)), "scored-cells")
     boxes = settle(select_boxes(scored, params, centres, firsts))
     chosen = _at_every_step(boxes, steps, firsts)
     cells = read_boxes(spark, path, variables, params.grid, params.box, chosen, layout=layout, **options)
     nx, ny, _ = params.grid
     rows = cells.withColumn("point_id", F.col("gx") + F.lit(nx) * (F.col("gy") + F.lit(ny) * F.col("gz")))
-    values = {v: F.col(v).cast("double") for v in variables if v in rows.columns}
+    values = {v: F.col(v).cast("double") for v in params.variables}
     return _sample(boxes, rows.withColumns(values).join(small_side(steps), "timestep"), params, None)
 
 
@@ -132,7 +136,7 @@ def _keys(params: CurationParams) -> list[str]:
 
 
 def _inputs(rows: DataFrame, params: CurationParams) -> DataFrame:
-    return rows.select(*_keys(params), *params.input_vars)
+    return with_grid_coordinates(rows, params).select(*_keys(params), *AXES, *params.input_vars)
 
 
 def _targets(kept: DataFrame, sampled: DataFrame, params: CurationParams) -> DataFrame:

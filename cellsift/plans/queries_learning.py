@@ -48,8 +48,7 @@ def kmeans_labels(spark, sf):
 @query("j11_kmeans_parallel_starts")
 def kmeans_parallel_starts(spark, sf):
     """Spark's own k-means with k-means|| starts: sizes of the clusters."""
-    v = views.vectors(spark, sf)
-    cols = ["e0", "e1", "e2", "e3"]
+    v, cols = views.vectors(spark, sf), views.COMPONENTS
     centres = spark_kmeans(v, cols, 5, seed=0, max_iter=10).withColumn("timestep", F.lit(0).cast("long"))
     return assign(v, cols, centres, 5, TS).groupBy("label").agg(F.count(F.lit(1)).alias("cnt"))
 

@@ -204,11 +204,11 @@ def label_strengths(spark, sf):
 
 @query(
     "c05_nearest_centre",
-    with_(VECTORS, midpoints("vectors", ["e0", "e1", "e2", "e3"], 5), labelled("vectors", ["e0", "e1", "e2", "e3"], 5))
+    with_(VECTORS, midpoints("vectors", views.COMPONENTS, 5), labelled("vectors", views.COMPONENTS, 5))
     + "SELECT point_id, label FROM labelled",
 )
 def nearest_centre(spark, sf):
-    cols = ["e0", "e1", "e2", "e3"]
+    cols = views.COMPONENTS
     v = views.vectors(spark, sf)
     return assign(v, cols, midpoint_centres(v, cols, 5, TS), 5, TS).select("point_id", "label")
 
@@ -452,17 +452,18 @@ def all_boxes_when_short(spark, sf):
 
 @query(
     "f03_centres_sorted",
-    with_(VECTORS, midpoints("vectors", ["e0", "e1"], 4), labelled("vectors", ["e0", "e1"], 4))
-    + """SELECT row_number() OVER (ORDER BY m0, m1) - 1 AS label, round(m0, 6) AS m0, round(m1, 6) AS m1 FROM
-(SELECT avg(e0) AS m0, avg(e1) AS m1 FROM labelled GROUP BY label)""",
+    with_(VECTORS, midpoints("vectors", views.COMPONENTS, 4), labelled("vectors", views.COMPONENTS, 4))
+    + f"""SELECT row_number() OVER (ORDER BY {", ".join(views.COMPONENTS)}) - 1 AS label, {", ".join(f"round({c}, 6) AS {c}" for c in views.COMPONENTS)} FROM
+(SELECT {", ".join(f"avg({c}) AS {c}" for c in views.COMPONENTS)} FROM labelled GROUP BY label)""",
 )
 def centres_sorted(spark, sf):
     v = views.vectors(spark, sf)
-    rows = assign(v, ["e0", "e1"], midpoint_centres(v, ["e0", "e1"], 4, TS), 4, TS)
-    means = rows.groupBy("timestep", "label").agg(F.array(F.avg("e0"), F.avg("e1")).alias("m"))
+    cols = views.COMPONENTS
+    rows = assign(v, cols, midpoint_centres(v, cols, 4, TS), 4, TS)
+    means = rows.groupBy("timestep", "label").agg(F.array(*[F.avg(c) for c in cols]).alias("m"))
     packed = means.groupBy("timestep").agg(F.collect_list("m").alias("centres"))
     one = sort_centres(packed).select(F.posexplode("centres").alias("label", "c"))
-    return one.select(F.col("label").cast("long"), F.round(F.col("c")[0], 6).alias("m0"), F.round(F.col("c")[1], 6).alias("m1"))
+    return one.select(F.col("label").cast("long"), *[F.round(F.col("c")[i], 6).alias(c) for i, c in enumerate(cols)])
 
 
 @query(

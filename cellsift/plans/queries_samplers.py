@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from cellsift.functions.grid import AXES
 from cellsift.operators import boxes, samplers
 from cellsift.params import CurationParams
 from cellsift.plans import views
@@ -204,7 +205,8 @@ JOIN cb ON cb.window_id = f.timestep // 2 AND ix = gx // 5 AND iy = gy // 5 AND
         "kept0 AS (SELECT * FROM kept WHERE timestep % 2 = 0)",
         *STAGE_TWO,
     )
-    + """SELECT k.timestep, k.timestep AS t_idx, k.window_id, k.cube_id, ((k.gx % 5) * 5 + k.gy % 5) * 5 + k.gz % 5 AS local_id, k.point_id, k.gx, k.gy, k.gz, k.u, k.v
+    + """SELECT k.timestep, k.timestep AS t_idx, k.window_id, k.cube_id, ((k.gx % 5) * 5 + k.gy % 5) * 5 + k.gz % 5 AS local_id, k.point_id, k.gx, k.gy, k.gz,
+  round(k.gx / 9.0::DOUBLE, 9) AS x, round(k.gy / 4.0::DOUBLE, 9) AS y, round(0.5::DOUBLE * k.gz / (SELECT max(gz) FROM field), 9) AS z, k.u, k.v
 FROM kept k JOIN maxent_picks_b p ON p.window_id = k.window_id AND p.point_id = k.point_id""",
 )
 def maxent_curation_job(spark, sf):
@@ -212,7 +214,7 @@ def maxent_curation_job(spark, sf):
     p = _params(spark, sf, hypercubes="maxent", num_hypercubes=2, method="maxent", num_samples=10, kmeans_rounds=3, target="p")
     path = scratch_path(spark, "job")
     write(curate(views.field(spark, sf), p), path)
-    return spark.read.parquet(f"{path}/inputs").withColumn("timestep", F.col("timestep").cast("long"))
+    return spark.read.parquet(f"{path}/inputs").withColumn("timestep", F.col("timestep").cast("long")).withColumns({a: F.round(a, 9) for a in AXES})
 
 
 @query(

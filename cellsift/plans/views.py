@@ -87,18 +87,22 @@ CLOUD = """cloud AS (
   FROM events)"""
 
 
-def vectors(spark: SparkSession, sf: str, components: int = 4) -> DataFrame:
-    """Embeddings with their first components as columns e0, e1, ..."""
+#: The components of an embedding.
+COMPONENTS = [f"e{i}" for i in range(64)]
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings with their components as columns e0, e1, ..."""
     return table(spark, sf, "embeddings").select(
         F.lit(0).cast("long").alias("timestep"),
         F.col("vec_id").alias("point_id"),
-        *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(components)],
+        *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(COMPONENTS)],
     )
 
 
-VECTORS = """vectors AS (
-  SELECT CAST(0 AS BIGINT) AS timestep, vec_id AS point_id, CAST(embedding[1] AS DOUBLE) AS e0,
-         CAST(embedding[2] AS DOUBLE) AS e1, CAST(embedding[3] AS DOUBLE) AS e2, CAST(embedding[4] AS DOUBLE) AS e3
+VECTORS = f"""vectors AS (
+  SELECT CAST(0 AS BIGINT) AS timestep, vec_id AS point_id,
+         {", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {c}" for i, c in enumerate(COMPONENTS))}
   FROM embeddings)"""
 
 

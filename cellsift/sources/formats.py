@@ -2,47 +2,55 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellsift.operators.windows import match_times, rows_at_times
-from cellsift.params import CurationParams
+from cellsift.params import VECTORS, CurationParams
 from cellsift.sources.arrays import npz_snapshots
 from cellsift.sources.openfoam import read_snapshots
-from cellsift.sources.rawgrid import read_raw_grid
+from cellsift.sources.rawgrid import grid_times, read_raw_grid
 from cellsift.sources.tabular import read_csv_snapshots
 
 
-def _variables(params: CurationParams) -> list[str]:
-    return list(dict.fromkeys([*params.cluster_var, *params.input_vars, *params.output_vars]))
-
-
-def _strides(params: CurationParams) -> dict:
-    return {"skips": (params.nxskip, params.nyskip, params.nzskip)}
+#: The raw formats and how their files lie.
+LAYOUTS = {"raw-grid": "flat", "cube-dirs": "var_dir", "cube-blocks": "block_dir"}
 
 
-def _flat(spark, path, p):
-    return read_raw_grid(spark, path, _variables(p), p.grid, layout="flat", pad=p.pad, **_strides(p))
-
-
-def _var_dir(spark, path, p):
-    vectors = [v for v in _variables(p) if v == "velocity"]
-    return read_raw_grid(spark, path, _variables(p), p.grid, layout="var_dir", pad=p.pad, vectors=vectors, **_strides(p))
+def _raw(format_name: str, spark: SparkSession, path: str, p: CurationParams) -> DataFrame:
+    """Strides and offsets hold for every layout; the padding lies at the end of
+    a whole x axis, so a block of one has none."""
+    layout = LAYOUTS[format_name]
+    options = {"skips": (p.nxskip, p.nyskip, p.nzskip), "offsets": (p.nxoffset, p.nyoffset, p.nzoffset)}
+    if layout == "block_dir":
+        options["sizes"] = p.box
+    else:
+        options["pad"] = p.pad
+    if layout != "flat":
+        options["vectors"] = [v for v in p.variables if v in VECTORS]
+    df = read_raw_grid(spark, path, p.variables, p.grid, layout=layout, **options)
+    if p.timesteps is None:
+        return df
+    # Times come from file names, and the filter reaches the reader: no other file is opened.
+    have = grid_times(spark, path, p.variables, p.grid, layout=layout)
+    requested = spark.createDataFrame([(float(t),) for t in p.timesteps], "requested double")
+    hits = match_times(requested, have).where("timestep IS NOT NULL").select("timestep").distinct().collect()
+    return df.where(F.col("timestep").isin([r["timestep"] for r in hits]))
 
 
-def _block_dir(spark, path, p):
-    vectors = [v for v in _variables(p) if v == "velocity"]
-    return read_raw_grid(
-        spark, path, _variables(p), p.grid, layout="block_dir", vectors=vectors, sizes=(p.nxsl, p.nysl, p.nzsl)
-    )
+def _csv(spark: SparkSession, path: str, p: CurationParams) -> DataFrame:
+    """The first ``num_timesteps`` multiples of ``write_interval``."""
+    step = F.col("timestep")
+    rows = read_csv_snapshots(spark, path)
+    return rows.where((step % p.write_interval == 0) & step.between(p.write_interval, p.write_interval * p.num_timesteps))
 
 
 LOADERS = {
-    "raw-grid": _flat,
-    "cube-dirs": _var_dir,
-    "cube-blocks": _block_dir,
-    "csv": lambda spark, path, p: read_csv_snapshots(spark, path),
-    "npz": lambda spark, path, p: npz_snapshots(spark, path, _variables(p)),
+    **{name: partial(_raw, name) for name in LAYOUTS},
+    "csv": _csv,
+    "npz": lambda spark, path, p: npz_snapshots(spark, path, p.variables),
     "openfoam": lambda spark, path, p: read_snapshots(spark, path, p.write_interval, p.num_timesteps),
 }
 
@@ -51,9 +59,7 @@ def load(spark: SparkSession, format_name: str, path: str, params: CurationParam
     """Read ``path``; of the requested timesteps those that exist, matched with
     a tolerance of one millionth."""
     df = LOADERS[format_name](spark, path, params)
-    if params.timesteps is None:
+    if params.timesteps is None or format_name in LAYOUTS:
         return df
-    if format_name in ("cube-dirs", "cube-blocks"):
-        return df.where(F.col("timestep").isin([int(t) for t in params.timesteps]))
     requested = spark.createDataFrame([(float(t),) for t in params.timesteps], "requested double")
     return rows_at_times(df, match_times(requested, df.select("timestep").distinct()))

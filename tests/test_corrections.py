@@ -1,13 +1,17 @@
 """Cases that the tables of the queries do not hold."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cellsift import session
 from cellsift.operators import cluster, energy, joins, samplers, scaling
+from cellsift.params import CurationParams
+from cellsift.plans.curate import curate_archive
 from cellsift.sinks import tables
-from cellsift.sources import rawgrid
+from cellsift.sources import formats, rawgrid, tabular
 
 
 def test_node_without_accelerators(spark):
@@ -84,3 +88,49 @@ def test_power_reaches_its_optimum(spark):
 def test_latin_hypercube_needs_a_group(spark):
     with pytest.raises(ValueError, match="group"):
         samplers.latin_hypercube(spark.range(9).withColumn("x", F.col("id") * 1.0), 2, feature_cols=["x"], id_col="id", group_cols=[])
+
+
+def test_wide_centres_give_the_same_labels(spark):
+    rows = [(0, i, *[float((i * (a + 3)) % 11) for a in range(6)]) for i in range(60)] + [(0, 99, None, *[0.0] * 5)]
+    cols = [f"c{a}" for a in range(6)]
+    df = spark.createDataFrame(rows, "timestep int, id int, " + ", ".join(f"{c} double" for c in cols))
+    centres = cluster.midpoint_centres(df, cols, 4, ["timestep"])
+    plain = {(r.id, r.label) for r in cluster.assign(df, cols, centres, 4, ["timestep"]).collect()}
+    least, cluster.PLAIN_VALUES = cluster.PLAIN_VALUES, 0
+    try:
+        assert {(r.id, r.label) for r in cluster.assign(df, cols, centres, 4, ["timestep"]).collect()} == plain
+    finally:
+        cluster.PLAIN_VALUES = least
+
+
+def test_archive_job_with_a_vector_variable(spark, tmp_path):
+    n = 4 * 4 * 4
+    for name, prefix, parts in (("velocity", "vel", 3), ("pressure", "pressure", 1)):
+        prefix = rawgrid.PREFIXES.get(name, name)
+        (tmp_path / name).mkdir()
+        for t in (1, 2, 3, 4):
+            (np.arange(n * parts) + 1000 * t).astype("<f4").tofile(tmp_path / name / f"cube_{prefix}.{t}")
+    p = CurationParams(
+        nx=4, ny=4, nz=4, nxsl=2, nysl=2, nzsl=2, pad=0, hypercubes="maxent", num_hypercubes=2, method="maxent", num_samples=3, num_clusters=2,
+        cluster_var=("pressure",), input_vars=("velocity",), output_vars=("pressure",), target="p",
+    )
+    rows = curate_archive(spark, str(tmp_path), p, layout="var_dir").inputs.collect()
+    assert len(rows) == 4 * 6
+    for r in rows:
+        cell = (r.gz * 4 + r.gy) * 4 + r.gx
+        assert (r.velocity_x, r.velocity_z) == (1000 * r.timestep + 3 * cell, 1000 * r.timestep + 3 * cell + 2)
+        assert (round(r.x, 9), round(r.y, 9)) == (round(r.gx / 3, 9), round(r.gy / 3, 9)) and round(r.z, 9) == round(r.gz / 3 * 0.5, 9)
+    loaded = formats.load(spark, "cube-dirs", str(tmp_path), replace(p, timesteps=(2.0, 9.0), nxoffset=1, nxskip=2))
+    assert {(r.timestep, r.gx) for r in loaded.collect()} == {(2, 1), (2, 3)}
+    for t in (1, 3, 4):  # files of other times aren't opened
+        (tmp_path / "pressure" / f"cube_{rawgrid.PREFIXES['pressure']}.{t}").write_bytes(b"x")
+    assert loaded.count() == 32
+
+
+def test_csv_takes_the_steps_that_are_asked_for(spark, tmp_path):
+    for t in (100, 150, 200, 300):
+        spark.createDataFrame([tuple(float(t) for _ in tabular.CSV_COLUMNS)], ", ".join(f"`{c}` double" for c in tabular.CSV_COLUMNS)).toPandas().to_csv(
+            tmp_path / f"cylinder_t={t}.csv", index=False
+        )
+    rows = formats.load(spark, "csv", str(tmp_path), CurationParams(write_interval=100, num_timesteps=2))
+    assert sorted(r.timestep for r in rows.collect()) == [100, 200]
