@@ -31,21 +31,28 @@ BITS = 2
 SMALL, LARGE = 32, 4096
 
 
-def fingerprint(text: bytes | None, words: int = 3) -> int:
-    """Majority of the XXH64 (seed 42) bits over the text's word shingles.
+def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each of the text's word shingles.
 
     A-Z become lower case; a text of fewer words is one shingle; a text without
-    words, or none at all, has fingerprint zero.
+    words, or none at all, has none.
     """
     found = (text or b"").lower().split()
     if not found:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(found)
     lengths = np.fromiter(map(len, found), np.int64, len(found))
     ends = np.cumsum(lengths + 1) - 1
     last = ends[words - 1 :].tolist() or [len(joined)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], 42) for s, e in zip((ends - lengths).tolist(), last)], np.uint64)
+    return np.array([digest(joined[s:e], 42) for s, e in zip((ends - lengths).tolist(), last)], np.uint64)
+
+
+def fingerprint(text: bytes | None, words: int = 3) -> int:
+    """Majority of the bits over the text's word shingles; zero for a text without words."""
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
+        return 0
     n, ones = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, 255 * 64):  # sums of 255 rows fit into a byte
         bits = np.unpackbits(hashes[at : at + 255 * 64].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
