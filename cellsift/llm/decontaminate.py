@@ -5,6 +5,10 @@ parameters keeps its template. Windows of a template are hashed and joined with
 those of the benchmark; what joins is lined up by item and offset, and over the
 longest stretch the slots must fit: a value always stands for the same value of
 the item, and the other way round.
+
+Items that templates can't hold against any copy (short ones, ones mostly of
+numbers or names, texts without blanks) are looked for whole: all their pieces,
+in order, as they are.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ STRETCH = 13
 #: however large the benchmark is.
 FILTER_BITS = 26
 PLAIN, NUMBER, NAME, UNIT = 0, 1, 2, 3
+#: Readings of a text: names as slots; names as words, for copies in another case.
+NAMED, WORDS = 1, 2
 
 # Units of measure, lower case.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg lb oz ml cl l gal s sec min h hr hrs day days week weeks month months year years % $ € £ usd eur gbp mph kmh km/h m/s °c °f k w kw kwh v a hz khz mhz ghz b kb mb gb tb dollars euros cents meters metres kilometers kilometres miles feet inches grams kilograms pounds liters litres hours minutes seconds percent".split())
@@ -38,6 +44,14 @@ _NUMBER = re.compile(r"[-+]?\d[\d.,:/]*")
 _GLUED = re.compile(r"([-+]?\d[\d.,:/]*)(\D+)")
 _EDGE = re.compile(r"^[^\w%$€£°+-]+|[^\w%$€£°]+$")
 _MIX = (np.random.default_rng(8).integers(0, 1 << 63, 8, np.uint64) << np.uint64(1)) | np.uint64(1)
+#: Scripts that are written without blanks: each of their characters is a piece.
+_NO_BLANKS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_UNSPACED = re.compile(f"[{_NO_BLANKS}]")
+#: Pieces: such characters, words, and signs that are no punctuation.
+_PIECE = re.compile(f"[{_NO_BLANKS}]|[^\\W{_NO_BLANKS}]+|[^\\w\\s.,;:!?'\"()\\[\\]\u2018-\u201f\u2026\u3000-\u3003\u3008-\u3011\uff01\uff08\uff09\uff0c\uff0e\uff1a\uff1b\uff1f]")
+#: Factor of a span's hash, and its inverse modulo 2**64.
+_BASE = _MIX[2] | np.uint64(1)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: What stands for a slot of each kind in a template.
 _SLOT = np.random.default_rng(9).integers(1, 1 << 63, 4, np.uint64)
 
@@ -58,6 +72,10 @@ def _word(raw: bytes) -> tuple[int, int, bool, bool, bool]:
     return xxhash.xxh3_64_intdigest(low.encode()) or 1, NUMBER if number else PLAIN, name, low in UNITS, ends
 
 
+def _piece_hash(piece: str) -> int:
+    return xxhash.xxh3_64_intdigest(piece.encode())
+
+
 class Canonical:
     """Templates of texts, from a memo of the words seen."""
 
@@ -102,12 +120,16 @@ class Canonical:
         kind[unit & after & (kind == PLAIN)] = UNIT
         return kind, value
 
-    def windows(self, text: bytes, names: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of the template's windows, their places, and the slots' values
-        (zero for literal words) of all tokens; with names as slots or as words."""
+    def readings(self, text: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """``windows`` of the text by each reading, with the reading's bit."""
         kind, value = self.tokens(text)
-        if not names:
-            kind[kind == NAME] = PLAIN
+        yield NAMED, *self.windows(kind, value)
+        if (kind == NAME).any():
+            yield WORDS, *self.windows(np.where(kind == NAME, PLAIN, kind), value)
+
+    def windows(self, kind: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the template's windows, their places, and the slots' values
+        (zero for literal words) of all tokens."""
         n = len(kind) - WINDOW + 1
         slots = np.where(kind == PLAIN, np.uint64(0), value)
         if n < 1:
@@ -134,18 +156,16 @@ def _window_rows(keys: list[str], bits: np.ndarray | None):
             made["c"] = Canonical()
         for batch in batches:
             row, tokens, hashes, places, held = [], [], [], [], []
-            # Items also show their names as plain words, for texts in another case.
-            for r, text, names in ((r, t, v) for r, t in enumerate(texts(batch)) for v in ((True,) if bits is not None else (True, False))):
-                h, place, slots = made["c"].windows(text or b"", names)
-                if bits is not None:
-                    at = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                    some = (bits[at >> 3] >> (at & 7)) & 1 == 1
-                    h, place = h[some], place[some]
-                row += [r] * len(h)
-                tokens += [len(slots)] * len(h)
-                hashes.append(h)
-                places += place.tolist()
-                held += [slots[p : p + WINDOW].view(np.int64) for p in place.tolist()]
+            for r, text in enumerate(texts(batch)):
+                for _, h, place, slots in made["c"].readings(text or b""):
+                    if bits is not None:
+                        some = _passes(bits, h)
+                        h, place = h[some], place[some]
+                    row += [r] * len(h)
+                    tokens += [len(slots)] * len(h)
+                    hashes.append(h)
+                    places += place.tolist()
+                    held += [slots[p : p + WINDOW].view(np.int64) for p in place.tolist()]
             taken = pa.array(row, pa.int64())
             hashed = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(taken) for k in keys), pa.array(tokens, pa.int64()), pa.array(hashed.view(np.int64)), pa.array(places, pa.int64()), pa.array(held, pa.list_(pa.int64()))], [*keys, "n_tokens", "h", "place", "slots"])
@@ -153,9 +173,15 @@ def _window_rows(keys: list[str], bits: np.ndarray | None):
     return run
 
 
-def _filter(windows: DataFrame) -> np.ndarray:
+def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit set."""
+    at = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7)) & 1 == 1
+
+
+def _filter(windows: DataFrame, column: str = "h") -> np.ndarray:
     """The filter's bits: a bitmap of fixed size from all windows of the benchmark."""
-    at = F.shiftrightunsigned("h", 64 - FILTER_BITS) + 1  # bit 0 of bucket 1 stands for 1
+    at = F.shiftrightunsigned(column, 64 - FILTER_BITS) + 1  # bit 0 of bucket 1 stands for 1
     parts = windows.select(F.bitmap_bucket_number(at).alias("part"), F.bitmap_bit_position(at).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
     bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
     for r in parts.collect():  # at most 2**FILTER_BITS / 2**15 rows of 4 KB
@@ -165,11 +191,13 @@ def _filter(windows: DataFrame) -> np.ndarray:
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``_id, _text, item_id, span, same_values`` for each text and item whose
-    templates match over a stretch of ``span`` tokens with slots that fit.
+    templates match over a stretch of ``span`` tokens with slots that fit, or that
+    holds all ``span`` pieces of an item that ``whole_items`` looks for.
 
-    ``docs`` has _id, _text and text. Items of fewer than WINDOW tokens have no
-    windows and match nothing.
+    ``docs`` has _id, _text and text. Items without a piece (null, blanks,
+    punctuation alone) match nothing.
     """
+    whole = whole_matches(docs, benchmark)
     kind = benchmark.schema["item_id"].dataType.simpleString()
     rows = "n_tokens long, h long, place long, slots array<long>"
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).mapInArrow(_window_rows(["item_id"], None), f"item_id {kind}, {rows}")
@@ -198,7 +226,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             taken = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(taken) for k in (*keys, "item_id")), pa.array(spans, pa.int64()), pa.array(same, pa.bool_())], [*keys, "item_id", "span", "same_values"])
 
-    return lined.mapInArrow(judge, f"_id {own}, _text long, item_id {kind}, span long, same_values boolean")
+    found = lined.mapInArrow(judge, f"_id {own}, _text long, item_id {kind}, span long, same_values boolean")
+    return found if whole is None else found.union(whole)
 
 
 def best_stretch(windows: list[dict]) -> tuple[int, bool]:
@@ -225,6 +254,98 @@ def best_stretch(windows: list[dict]) -> tuple[int, bool]:
     return best, equal
 
 
+def pieces(text: bytes | None, memo: Memo) -> np.ndarray:
+    """Hashes of a text's pieces, in lower case."""
+    memo.trim()
+    return np.fromiter(map(memo.__getitem__, _PIECE.findall((text or b"").decode().lower())), np.uint64)
+
+
+def _spans(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and inverse powers from which ``_span_hash`` takes any span's hash."""
+    powers = np.full(len(found), _BASE)
+    powers[:1] = 1
+    sums = np.r_[np.uint64(0), np.cumsum(found * np.cumprod(powers))]
+    back = np.full(len(found) + 1, _BACK)
+    back[0] = 1
+    return sums, np.cumprod(back)
+
+
+def _span_hash(sums: np.ndarray, back: np.ndarray, place: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    h = (sums[place + size] - sums[place]) * back[place] + np.asarray(size, np.uint64) * _MIX[1]
+    h ^= h >> np.uint64(31)
+    h *= _MIX[0]
+    return h ^ h >> np.uint64(29)
+
+
+def _held_by_templates(canonical: Canonical, text: bytes) -> bool:
+    """Whether templates find each copy of an item, also one whose first word is
+    read in another way for what stands before it."""
+    kind, value = canonical.tokens(text)
+    _, place, _ = canonical.windows(np.where(kind == NAME, PLAIN, kind), value)
+    if not len(place):
+        return False
+    runs = np.split(place, np.flatnonzero(np.diff(place) > WINDOW) + 1)
+    return max(int(r[-1] - r[0]) + WINDOW for r in runs) > STRETCH
+
+
+def whole_items(benchmark: DataFrame) -> DataFrame:
+    """``item_id, size, anchor, h`` of the items that templates may miss: how many
+    pieces, the hash of the first ones and of all."""
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        canonical, memo = Canonical(), Memo(_piece_hash)
+        for batch in batches:
+            out = []
+            for r, text in enumerate(texts(batch)):
+                if not text or (_held_by_templates(canonical, text) and not _UNSPACED.search(text.decode())):
+                    continue
+                found = pieces(text, memo)
+                if len(found):
+                    spans, start = _spans(found), np.zeros(1, np.int64)
+                    first, all_of = (_span_hash(*spans, start, n).view(np.int64)[0] for n in (min(len(found), WINDOW), len(found)))
+                    out.append((r, len(found), first, all_of))
+            table = np.array(out, np.int64).reshape(-1, 4)
+            rows, *columns = (pa.array(table[:, c].copy()) for c in range(4))
+            yield pa.RecordBatch.from_arrays([batch.column("item_id").take(rows), *columns], ["item_id", "size", "anchor", "h"])
+
+    return benchmark.select("item_id", F.col("text").cast("string").alias("text")).mapInArrow(step, f"item_id {kind}, size long, anchor long, h long")
+
+
+def whole_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
+    """``_id, _text, item_id, span, same_values`` of the texts that hold all pieces of
+    such an item; None without one. Places where the first pieces of
+    an item may stand are tried with each length that items have."""
+    items = written(whole_items(benchmark), "whole-items")
+    sizes = np.array(sorted(r["size"] for r in items.select("size").distinct().collect()), np.int64)
+    if not len(sizes):
+        return None
+    held = docs.sparkSession.sparkContext.broadcast((_filter(items, "anchor"), _filter(items)))
+    keys = ["_id", "_text"]
+    own = docs.schema["_id"].dataType.simpleString()
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, (anchors, bits) = Memo(_piece_hash), held.value
+        for batch in batches:
+            row, hashes = [], [np.empty(0, np.uint64)]
+            for r, text in enumerate(texts(batch)):
+                found = pieces(text, memo)
+                spans = _spans(found)
+                for first in np.unique(np.minimum(sizes, WINDOW)).tolist():
+                    place = np.arange(max(0, len(found) - first + 1))
+                    place = place[_passes(anchors, _span_hash(*spans, place, first))]
+                    for size in sizes[np.minimum(sizes, WINDOW) == first].tolist() if len(place) else ():
+                        h = np.unique(_span_hash(*spans, place[place + size <= len(found)], size))
+                        h = h[_passes(bits, h)]
+                        row += [r] * len(h)
+                        hashes.append(h)
+            taken = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(taken) for k in keys), pa.array(np.concatenate(hashes).view(np.int64))], [*keys, "h"])
+
+    hits = docs.select("text", *keys).mapInArrow(step, f"_id {own}, _text long, h long")
+    return hits.join(small_side(items), "h").select(*keys, "item_id", F.col("size").alias("span"), F.lit(True).alias("same_values"))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_id": F.col("doc_id"), "_text": F.xxhash64("text")})
 
