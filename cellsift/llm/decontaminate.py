@@ -27,7 +27,9 @@ from cellsift.session import small_side, written
 
 WINDOW = 8
 #: So many of a window's words must be literal ones.
-LITERAL = 5
+SEED = 3
+#: So many words of a stretch must be literal ones, of STRETCH tokens and of fewer.
+LITERAL, FEW_LITERAL = 7, 5
 #: Tokens of a matching stretch from which on a text counts as contaminated;
 #: for an item with fewer tokens, all of them.
 STRETCH = 13
@@ -35,8 +37,9 @@ STRETCH = 13
 #: however large the benchmark is.
 FILTER_BITS = 26
 PLAIN, NUMBER, NAME, UNIT = 0, 1, 2, 3
-#: Readings of a text: names as slots; names as words, for copies in another case.
-NAMED, WORDS = 1, 2
+#: Readings of a text: names as slots; names as words, for copies in another case;
+#: capitalised words at sentence starts as slots too, for sentences that open with a name.
+READINGS = NAMED, WORDS, STARTS = 1, 2, 4
 
 # Units of measure, lower case.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg lb oz ml cl l gal s sec min h hr hrs day days week weeks month months year years % $ € £ usd eur gbp mph kmh km/h m/s °c °f k w kw kwh v a hz khz mhz ghz b kb mb gb tb dollars euros cents meters metres kilometers kilometres miles feet inches grams kilograms pounds liters litres hours minutes seconds percent".split())
@@ -88,15 +91,16 @@ class Canonical:
         self.rows.append(_word(raw))
         return len(self.rows) - 1
 
-    def tokens(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Kind and hash of each token of a text."""
+    def tokens(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Kind and hash of each token of a text, and whether it is a capitalised
+        word at a sentence's start."""
         if len(self.memo) > self.memo.most:
             self.memo.clear()
             self.rows.clear()
             self.table = None
         ids = np.fromiter(map(self.memo.__getitem__, text.split()), np.int64)
         if not len(ids):
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
+            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool)
         done = 0 if self.table is None else len(self.table[0])
         if done < len(self.rows):
             new = list(zip(*self.rows[done:]))
@@ -113,19 +117,32 @@ class Canonical:
         value, kind, name, unit, ends = (c[ids] for c in self.table)
         kind = kind.copy()
         start = np.r_[True, ends[:-1]]
-        kind[name & ~start & (kind == PLAIN)] = NAME
+        name &= kind == PLAIN
+        kind[name & ~start] = NAME
         real = value != 0
-        value, kind, unit = value[real], kind[real], unit[real]
+        value, kind, unit, opens = value[real], kind[real], unit[real], (name & start)[real]
         after = np.r_[False, kind[:-1] == NUMBER]
         kind[unit & after & (kind == PLAIN)] = UNIT
-        return kind, value
-
-    def readings(self, text: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """``windows`` of the text by each reading, with the reading's bit."""
-        kind, value = self.tokens(text)
-        yield NAMED, *self.windows(kind, value)
-        if (kind == NAME).any():
-            yield WORDS, *self.windows(np.where(kind == NAME, PLAIN, kind), value)
+        return kind, value, opens & (kind == PLAIN)
+
+    def readings(self, text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """``windows`` of the text with the bits of the readings that have them."""
+        kind, value, opens = self.tokens(text)
+        words = np.where(kind == NAME, PLAIN, kind)
+        kinds = (words, kind, np.where(opens, NAME, kind))
+        # A window has a name or not, an opening word or not: each kind comes once.
+        slots = [np.cumsum(np.r_[0, x]) for x in (kind == NAME, opens)]
+        named, opened = (x[WINDOW:] > x[:-WINDOW] for x in slots)
+        for k, (of, own) in enumerate(zip(kinds, (None, named, opened))):
+            if own is not None and not own.any():
+                continue
+            h, place, held = self.windows(of, value)
+            if own is not None:
+                h, place = h[own[place]], place[own[place]]
+            bits = np.full(len(h), (WORDS, NAMED, STARTS)[k])
+            if k < 2:
+                bits |= np.where(opened[place], 0, STARTS) if k else np.where(named[place], 0, NAMED) | np.where(named[place] | opened[place], 0, STARTS)
+            yield bits, h, place, held
 
     def windows(self, kind: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of the template's windows, their places, and the slots' values
@@ -142,12 +159,12 @@ class Canonical:
         h *= _MIX[0]
         h ^= h >> np.uint64(29)
         literal = np.cumsum(np.r_[0, kind == PLAIN])
-        place = np.flatnonzero(literal[WINDOW:] - literal[:-WINDOW] >= LITERAL)
+        place = np.flatnonzero(literal[WINDOW:] - literal[:-WINDOW] >= SEED)
         return h[place], place, slots
 
 
 def _window_rows(keys: list[str], bits: np.ndarray | None):
-    """mapInArrow: ``keys``, n_tokens and hash, place and slots of each window;
+    """mapInArrow: ``keys``, n_tokens and hash, place, readings and slots of each window;
     with ``bits``, of those windows alone whose bit is set."""
     made = {}
 
@@ -155,20 +172,21 @@ def _window_rows(keys: list[str], bits: np.ndarray | None):
         if "c" not in made:
             made["c"] = Canonical()
         for batch in batches:
-            row, tokens, hashes, places, held = [], [], [], [], []
+            row, tokens, hashes, places, read, held = [], [], [], [], [], []
             for r, text in enumerate(texts(batch)):
-                for _, h, place, slots in made["c"].readings(text or b""):
+                for readings, h, place, slots in made["c"].readings(text or b""):
                     if bits is not None:
                         some = _passes(bits, h)
-                        h, place = h[some], place[some]
+                        readings, h, place = readings[some], h[some], place[some]
                     row += [r] * len(h)
                     tokens += [len(slots)] * len(h)
                     hashes.append(h)
                     places += place.tolist()
+                    read += readings.tolist()
                     held += [slots[p : p + WINDOW].view(np.int64) for p in place.tolist()]
             taken = pa.array(row, pa.int64())
             hashed = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(taken) for k in keys), pa.array(tokens, pa.int64()), pa.array(hashed.view(np.int64)), pa.array(places, pa.int64()), pa.array(held, pa.list_(pa.int64()))], [*keys, "n_tokens", "h", "place", "slots"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(taken) for k in keys), pa.array(tokens, pa.int64()), pa.array(hashed.view(np.int64)), pa.array(places, pa.int64()), pa.array(read, pa.int64()), pa.array(held, pa.list_(pa.int64()))], [*keys, "n_tokens", "h", "place", "readings", "slots"])
 
     return run
 
@@ -199,9 +217,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     whole = whole_matches(docs, benchmark)
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    rows = "n_tokens long, h long, place long, slots array<long>"
+    rows = "n_tokens long, h long, place long, readings long, slots array<long>"
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).mapInArrow(_window_rows(["item_id"], None), f"item_id {kind}, {rows}")
-    items = written(items.select("item_id", "h", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), F.col("n_tokens").alias("item_tokens")).distinct(), "benchmark-windows")
+    items = written(items.select("item_id", "h", F.col("place").alias("item_place"), F.col("readings").alias("item_readings"), F.col("slots").alias("item_slots"), F.col("n_tokens").alias("item_tokens")).distinct(), "benchmark-windows")
     held = docs.sparkSession.sparkContext.broadcast(_filter(items))
     keys = ["_id", "_text"]
     own = docs.schema["_id"].dataType.simpleString()
@@ -211,14 +229,16 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     hits = docs.select("text", *keys).mapInArrow(found, f"_id {own}, _text long, {rows}").join(small_side(items), "h")
     lined = hits.groupBy(*keys, "item_id", (F.col("place") - F.col("item_place")).alias("offset")).agg(
-        F.max("item_tokens").alias("item_tokens"), F.collect_set(F.struct("item_place", "slots", "item_slots")).alias("w")
+        F.max("item_tokens").alias("item_tokens"), F.collect_set(F.struct("item_place", "slots", "item_slots", F.col("readings").bitwiseAND(F.col("item_readings")).alias("readings"))).alias("w")
     )
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, spans, same = [], [], []
             for r, (tokens, windows) in enumerate(zip(batch.column("item_tokens").to_pylist(), batch.column("w").to_pylist())):
-                span, equal = best_stretch(windows)
+                # By each reading alone, and by all: names of one may not fit where another's do.
+                ways = [windows, *([w for w in windows if w["readings"] & r] for r in READINGS)]
+                span, equal = max(best_stretch(w, LITERAL, FEW_LITERAL) for w in ways)
                 if span >= min(STRETCH, tokens):
                     keep.append(r)
                     spans.append(span)
@@ -230,17 +250,18 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found if whole is None else found.union(whole)
 
 
-def best_stretch(windows: list[dict]) -> tuple[int, bool]:
+def best_stretch(windows: list[dict], literal: int = 0, few: int = 0) -> tuple[int, bool]:
     """Tokens of the longest stretch that windows cover without a hole, whose slots fit, and
     whether all its slots hold the same values. A stretch ends at a hole
-    or where a value would have to stand for two."""
+    or where a value would have to stand for two. Stretches with fewer than ``literal``
+    words outside of slots (``few`` if shorter than STRETCH) don't count."""
     best, equal = 0, True
-    start, last, there, back, same = 0, None, {}, {}, True
+    start, last, there, back, same, words = 0, None, {}, {}, True, set()
     for w in sorted(windows, key=lambda w: w["item_place"]):
         pairs = [(a, b) for a, b in zip(w["slots"], w["item_slots"]) if a or b]
         fits = all(there.get(a, b) == b and back.get(b, a) == a for a, b in pairs)
         if last is None or w["item_place"] > last + WINDOW or not fits:
-            start, there, back, same = w["item_place"], {}, {}, True
+            start, there, back, same, words = w["item_place"], {}, {}, True, set()
         fresh = {}
         if any(fresh.setdefault(a, b) != b for a, b in pairs) or len(set(fresh.values())) < len(fresh):
             last = None  # it doesn't fit even by itself
@@ -249,8 +270,10 @@ def best_stretch(windows: list[dict]) -> tuple[int, bool]:
         back |= {b: a for a, b in fresh.items()}
         same &= all(a == b for a, b in pairs)
         last = w["item_place"]
-        if last - start + WINDOW > best:
-            best, equal = last - start + WINDOW, same
+        words |= {last + i for i, b in enumerate(w["item_slots"]) if not b}
+        span = last - start + WINDOW
+        if span > best and len(words) >= (literal if span >= STRETCH else few):
+            best, equal = span, same
     return best, equal
 
 
@@ -280,12 +303,13 @@ def _span_hash(sums: np.ndarray, back: np.ndarray, place: np.ndarray, size: np.n
 def _held_by_templates(canonical: Canonical, text: bytes) -> bool:
     """Whether templates find each copy of an item, also one whose first word is
     read in another way for what stands before it."""
-    kind, value = canonical.tokens(text)
-    _, place, _ = canonical.windows(np.where(kind == NAME, PLAIN, kind), value)
+    kind, value, _ = canonical.tokens(text)
+    kind = np.where(kind == NAME, PLAIN, kind)
+    _, place, _ = canonical.windows(kind, value)
     if not len(place):
         return False
     runs = np.split(place, np.flatnonzero(np.diff(place) > WINDOW) + 1)
-    return max(int(r[-1] - r[0]) + WINDOW for r in runs) > STRETCH
+    return any(r[-1] + WINDOW - r[0] > STRETCH and np.count_nonzero(kind[r[0] + 1 : r[-1] + WINDOW] == PLAIN) >= LITERAL for r in runs)
 
 
 def whole_items(benchmark: DataFrame) -> DataFrame:

@@ -22,3 +22,16 @@ def test_items_without_windows(spark):
 def test_title_case(spark):
     question = "the old farmer drives his heavy cart along a narrow road and loses one wheel near the bridge"
     assert found(spark, [question], ["Story: " + question.title(), question.title()[:40]]) == [[0], []]
+
+
+def test_sentences_open_with_names(spark):
+    """A renamed person, and a copy whose first word follows a text without a stop."""
+    items = ["Tom has 5 apples. Tom buys 3 more. How many does Tom have?", "Which river flows through the old town of Dresden?"]
+    texts = ["Exercise. Sam has 7 apples. Sam buys 9 more. How many does Sam have?", "Sam has 7 apples. Ann buys 9 more. How many does Joe have?", "Question 4\nTom has 5 apples. Tom buys 3 more. How many does Tom have?",
+             "Geography\nWhich river flows through the old town of Dresden? The Elbe.", "Tom has 5 apples."]
+    assert found(spark, items, texts) == [[0], [], [0], [1], []]
+
+
+def test_few_words_among_numbers(spark):
+    item = "row 11 12 13 sum 14 15 mean 16 17 18 19 top 20 21 22"
+    assert found(spark, [item], ["Table\n" + item + " end", item.replace("19", "91")]) == [[0], []]
