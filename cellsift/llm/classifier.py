@@ -198,9 +198,16 @@ def train(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
 
 
 def learn(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveModel:
-    """The model of the labelled rows (doc_id, features) whose fold isn't held out."""
+    """The model of the labelled rows (doc_id, features) whose fold isn't held out.
+
+    A hash bound from their count thins the rows to about twice the sample before they are
+    ordered, so that no task sends a whole sample of its own to the driver.
+    """
     known = labels.filter("quality IS NOT NULL").select("doc_id", (F.col("quality") == 1).cast("int").alias("y"))
-    picked = rows.filter("NOT held_out").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "features").limit(sample).select("features", "y").collect()
+    n = rows.filter("NOT held_out").select("doc_id").join(known, "doc_id").count()
+    near = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53)) <= F.lit(2.0 * sample / max(n, 1))
+    thin = rows.filter("NOT held_out").filter(near).join(known.filter(near), "doc_id").select("doc_id", "features", "y").distinct()
+    picked = thin.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "features").limit(sample).select("features", "y").collect()
     x = np.array([r["features"] for r in picked], float).reshape(-1, len(FEATURES))
     return train(x, np.array([r["y"] for r in picked], float))
 
@@ -211,8 +218,8 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     Learns from at most ``sample`` rows with a label, of which crc32 of doc_id (as
     text) modulo 4 is not 2; the label is all that it takes from them beside the
     text. A null doc_id counts as the empty text: not held out, and without a label.
-    Null texts are empty ones. Repeated rows of either table count as often as they
-    occur; equal texts have equal scores. Every row comes out once.
+    Null texts are empty ones. Rows repeated in either table are learned from once;
+    equal texts have equal scores. Every row comes out once.
     """
     rest, back = hidden(docs.drop("held_out", "score", "predicted"), ("doc_id", "text"))
     back = [c for c, name in zip(back, rest.columns) if name != "text"]
