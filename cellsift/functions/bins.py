@@ -27,3 +27,12 @@ def flat_bin(axis_bins: Sequence[Column], bins: int) -> Column:
     for axis in axis_bins[1:]:
         flat = flat * F.lit(bins) + axis
     return flat.cast("long")
+
+
+def bin_key(axis_bins: Sequence[Column], bins: int) -> Column:
+    """What tells the bins of a space apart, in row-major order: the flat id where a
+    long holds all of them, else the array of the axes' bins."""
+    if bins ** len(axis_bins) < 1 << 63:
+        return flat_bin(axis_bins, bins)
+    kind = "tinyint" if bins < 128 else "int"
+    return F.array(*[b.cast(kind) for b in axis_bins])

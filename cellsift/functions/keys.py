@@ -17,10 +17,10 @@ HEX_DIGITS = 13
 KEY_SPAN = 4503599627370497.0
 
 
-def uniform_key(parts: Sequence[str | Column], seed: int | str = 0) -> Column:
+def uniform_key(parts: Sequence[str | Column], seed: int | str | Column = 0) -> Column:
     """A uniform number in (0, 1) from the text of ``parts`` and ``seed``."""
     cols = [F.col(p) if isinstance(p, str) else p for p in parts]
-    text = F.concat_ws(":", *[c.cast("string") for c in cols], F.lit(str(seed)))
+    text = F.concat_ws(":", *[c.cast("string") for c in cols], seed if isinstance(seed, Column) else F.lit(str(seed)))
     number = F.conv(F.substring(F.md5(text), 1, HEX_DIGITS), 16, 10).cast("long")
     return (number + F.lit(1)) / F.lit(KEY_SPAN)
 

@@ -74,9 +74,10 @@ def latin_design(spark, groups: DataFrame, n: int, axes: int, group_cols: Sequen
     from cellsift.functions.keys import uniform_key
 
     rows = groups.select(*group_cols).distinct().withColumn("design_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    rows = rows.withColumn("_axis", F.explode(F.sequence(F.lit(0), F.lit(axes - 1))))
     key = [*group_cols, "design_id"]
-    for axis in range(axes):
-        order = Window.partitionBy(*group_cols).orderBy(uniform_key(key, f"perm{axis}-{seed}"), "design_id")
-        place = uniform_key(key, f"place{axis}-{seed}")
-        rows = rows.withColumn(f"d{axis}", (F.row_number().over(order) - 1 + place) / F.lit(float(n)))
-    return rows
+    named = lambda what: F.concat(F.lit(what), F.col("_axis").cast("string"), F.lit(f"-{seed}"))
+    order = Window.partitionBy(*group_cols, "_axis").orderBy(uniform_key(key, named("perm")), "design_id")
+    at = (F.row_number().over(order) - 1 + uniform_key(key, named("place"))) / F.lit(float(n))
+    each = rows.withColumn("_at", at).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_axis", "_at"))).alias("_d"))
+    return each.select(*key, *[F.col("_d")[i]["_at"].alias(f"d{i}") for i in range(axes)])

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +50,6 @@ def seeded_centres(
     rows of a group that meet in one task are bounded.  Runs are compared by
     inertia; an empty cluster moves to the row farthest from its centre.
     """
-    import numpy as np
     import pandas as pd
 
     group, most = list(group_cols), sample * k
@@ -96,8 +97,9 @@ def nearest_centre(cols: Sequence[str], k: int) -> Column:
     return F.expr(f"coalesce(array_position({each}, array_min({each})) - 1, 0L)")
 
 
-#: Beyond so many centre values a row, centres stay arrays: the code of plain
-#: columns would be too large to compile.  Both forms add in the same order.
+#: Beyond so many centre values a row, the code of plain columns would be too large to
+#: compile: batches meet the centres in a matrix product, or, where the centres of all
+#: groups are too many to be sent, centres stay arrays.  Labels are the same.
 PLAIN_VALUES = 200
 
 
@@ -110,9 +112,61 @@ def nearest_of_arrays(cols: Sequence[str], centres: str = "centres") -> Column:
     return F.coalesce(found, F.lit(0).cast("long"))
 
 
+#: Centre values of all groups together that may be sent to every task.
+SENT_VALUES = 4_000_000
+
+
+def nearest_rows(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The label of the nearest centre of each row of ``x``, ties to the lowest; 0
+    for a row with a missing value.
+
+    Distances come from one matrix product. Where others come as near as its
+    rounding may be off, they are summed again axis by axis, which is exact in the sense of
+    ``nearest_centre``.
+    """
+    size = (x * x).sum(axis=1)[:, None] + (centres * centres).sum(axis=1)
+    gap = size - 2 * (x @ centres.T)
+    least = gap.min(axis=1, keepdims=True)
+    near = gap <= least + 1e-10 * size.max(axis=1, keepdims=True)
+    label = gap.argmin(axis=1)
+    close = np.flatnonzero(near.sum(axis=1) > 1)
+    if len(close):
+        total = np.zeros((len(close), len(centres)))
+        for axis in range(x.shape[1]):
+            total += (x[close, axis][:, None] - centres[:, axis]) ** 2
+        label[close] = total.argmin(axis=1)
+    label[~np.isfinite(size[:, 0])] = 0
+    return label
+
+
+def _assign_in_batches(df: DataFrame, cols: Sequence[str], centres: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """``label`` by ``nearest_rows``; the centres are few enough to be sent."""
+    group = list(group_cols)
+    held = {tuple(r[g] for g in group): np.array(r["centres"], float) for r in centres.select(*group, "centres").collect()}
+    sent = df.sparkSession.sparkContext.broadcast(held)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = list(sent.value)
+        place = {k: i for i, k in enumerate(names)}
+        for batch in batches:
+            keys = zip(*(batch.column(g).to_pylist() for g in group)) if group else [()] * batch.num_rows
+            of = np.fromiter((place.get(k, -1) for k in keys), np.int64, batch.num_rows)
+            batch, of = batch.filter(pa.array(of >= 0)), of[of >= 0]  # as in a join, groups without centres go
+            x = np.array([batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in cols]).T
+            label = np.zeros(len(of), np.int64)
+            for i in np.unique(of):
+                label[of == i] = nearest_rows(x[of == i], sent.value[names[i]])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label)], [*batch.schema.names, "label"])
+
+    return df.mapInArrow(step, f"{kinds}, label long")
+
+
 def assign(df: DataFrame, cols: Sequence[str], centres: DataFrame, k: int, group_cols: Sequence[str]) -> DataFrame:
     """Add ``label`` to every row; one small row of centres per group."""
     settled = settle(centres)
+    if k * len(cols) > PLAIN_VALUES and settled._rows * k * len(cols) <= SENT_VALUES:
+        return _assign_in_batches(df.drop("label"), cols, settled, group_cols)
     if k * len(cols) > PLAIN_VALUES:
         held = settled.select(*group_cols, F.col("centres").alias("_centres"))
         held._rows = settled._rows

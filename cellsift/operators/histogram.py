@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellsift.functions.bins import bin_index, flat_bin
+from cellsift.functions.bins import bin_index, bin_key
 from cellsift.session import settle, small_side
 
 # Fixed value: added to every probability before a logarithm is taken.
@@ -101,11 +101,12 @@ def distributions(hist: DataFrame, group_cols: Sequence[str], normalised: bool =
 
 
 def phase_bins(df: DataFrame, cols: Sequence[str], bins: int, group_cols: Sequence[str], out: str = "bin_id") -> DataFrame:
-    """Each row with the flat id of its bin in the space of ``cols``."""
+    """Each row with its bin in the space of ``cols``: a flat id, or in many
+    dimensions the array of the bins along each axis. Only bins that hold rows occur."""
     limits = axis_limits(df, cols, group_cols)
     joined = df.join(small_side(limits), list(group_cols))
     axis = [bin_index(F.col(c), F.col(f"lo_{c}"), F.col(f"hi_{c}"), bins) for c in cols]
-    return joined.withColumn(out, flat_bin(axis, bins)).drop(*[f"{p}_{c}" for c in cols for p in ("lo", "hi")])
+    return joined.withColumn(out, bin_key(axis, bins)).drop(*[f"{p}_{c}" for c in cols for p in ("lo", "hi")])
 
 
 def phase_histogram(df: DataFrame, cols: Sequence[str], bins: int, group_cols: Sequence[str]) -> DataFrame:

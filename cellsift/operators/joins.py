@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellsift.session import small_side
+from cellsift.session import small_side, written
 
 
 def align_variables(tables: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -42,16 +42,26 @@ def forces_at_snapshots(snapshots: DataFrame, forces: DataFrame, dt: float = 1.0
 def latest_force(snapshots: DataFrame, forces: DataFrame) -> DataFrame:
     """As-of variant: the last force row at or before each snapshot time.
 
-    Both sides are tagged and merged; the last force seen is carried forward in
-    time order.  Snapshots and force rows are a table of times, not of points.
+    Both sides are merged, dealt out by ranges of time and written down. The
+    last force is carried forward inside a range, and the last one of each range to those
+    after it. Of force rows at one time the greatest drag counts; a missing drag is passed over.
     """
-    from pyspark.sql import Window
-
     left = snapshots.select(F.col("snapshot").cast("double").alias("time"), F.lit(None).cast("double").alias("drag"), F.lit(1).alias("_kind"))
     right = forces.select(F.col("time").cast("double").alias("time"), F.col("drag").cast("double").alias("drag"), F.lit(0).alias("_kind"))
-    carried = F.last("drag", ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy("time", "_kind"))
-    merged = left.unionByName(right).withColumn("_carried", carried)
-    return merged.where(F.col("_kind") == 1).select(F.col("time").alias("snapshot"), F.col("_carried").alias("drag"))
+    # The running number lets snapshots of one time spread over ranges.
+    merged = left.unionByName(right).withColumn("_n", F.monotonically_increasing_id())
+    order = ["time", "_kind", "drag", "_n"]
+    ranged = merged.repartitionByRange(*order).sortWithinPartitions(*order).drop("_n")
+    kept = written(ranged.withColumns({"_at": F.monotonically_increasing_id(), "_part": F.spark_partition_id()}), "times")
+    last = F.max_by("drag", F.when(F.col("drag").isNotNull(), F.col("_at")))
+    carried, entries = None, []
+    for r in kept.groupBy("_part").agg(last.alias("drag")).orderBy("_part").collect():  # a row for each range
+        entries.append((r["_part"], carried))
+        carried = carried if r["drag"] is None else r["drag"]
+    before = small_side(snapshots.sparkSession.createDataFrame(entries, "_part int, _carried double"))
+    inside = F.last("drag", ignorenulls=True).over(Window.partitionBy("_part").orderBy("_at"))
+    seen = kept.withColumn("_seen", inside).where(F.col("_kind") == 1).join(before, "_part")
+    return seen.select(F.col("time").alias("snapshot"), F.coalesce("_seen", "_carried").alias("drag"))
 
 
 def gather_points(selection: DataFrame, points: DataFrame, keys: Sequence[str]) -> DataFrame:

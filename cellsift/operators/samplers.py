@@ -7,29 +7,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cellsift.functions.keys import uniform_key
-from cellsift.functions.scalars import latin_design
 from cellsift.operators.cluster import midpoints_of, with_labels
 from cellsift.operators.divergence import in_strengths
 from cellsift.operators.draw import draw
 from cellsift.operators.histogram import axis_limits, cluster_histogram, distributions, phase_bins, pooled_of
+from cellsift.operators.hypercube import latin_hypercube
 from cellsift.operators.rank import global_rank, stratum
-from cellsift.session import settle, small_side
+from cellsift.session import settle, small_side, written
 
 #: Rows a task may rank or hold at once.
 CHUNK_ROWS = 500_000
-#: Rows of a Latin hypercube design that may be sent to every task.
-DESIGN_ROWS = 100_000
-#: Candidate rows a task sends back at first, for all design points together.
-CANDIDATE_ROWS = 20_000
-#: Distances held at once inside a task.
-BLOCK_VALUES = 2_000_000
 
 
 def full(df: DataFrame, n: int | None = None, **_) -> DataFrame:
@@ -101,7 +92,8 @@ def phase_space(
     """
     group = list(group_cols)
     key = uniform_key([*group, id_col], f"order-{seed}")
-    placed = phase_bins(df, feature_cols, bins, group)
+    narrow = df.select(*dict.fromkeys([*group, id_col, *feature_cols]))
+    placed = written(phase_bins(narrow, feature_cols, bins, group).select(*dict.fromkeys([*group, id_col, "bin_id"])), "phase-bins")
 
     bin_counts = settle(placed.groupBy(*group, "bin_id").agg(F.count(F.lit(1)).alias("_in_bin")))
     sized = bin_counts.withColumn("_slices", F.ceil(F.col("_in_bin") / F.lit(chunk_rows)))
@@ -142,7 +134,8 @@ def phase_space(
     rank = F.row_number().over(Window.partitionBy(*group, "bin_id", "_slice").orderBy("_key", id_col))
     inside = sliced.join(wanted, [*group, "bin_id", "_slice"], "left_semi")
     candidates = inside.withColumn("_key", key).withColumn("_rank", rank)
-    return candidates.join(small_side(located), [*group, "bin_id", "_slice", "_rank"]).drop("_slice", "_rank", "_key", "_slices")
+    picked = candidates.join(small_side(located), [*group, "bin_id", "_slice", "_rank"]).select(*group, id_col, "bin_id", "draw_id")
+    return df.join(small_side(picked), [*group, id_col])
 
 
 def stratified(
@@ -174,183 +167,6 @@ def stratified(
     return df.join(small_side(picked), [*group, id_col])
 
 
-def _nearest(ids: np.ndarray, x: np.ndarray, design_ids: np.ndarray, targets: np.ndarray, keep: int):
-    """The ``keep`` nearest of ``x`` to each target, ties to the lowest id.
-    ``ids`` must ascend.  Arrays of design ids, ids and distances."""
-    m = min(keep, len(ids))
-    found: list[tuple] = []
-    rows = max(1, BLOCK_VALUES // len(ids))
-    for at in range(0, len(targets), rows):
-        some = targets[at : at + rows]
-        square = np.zeros((len(some), len(ids)))
-        for axis in range(x.shape[1]):
-            square += (x[:, axis][None, :] - some[:, axis][:, None]) ** 2
-        dist = np.sqrt(square)
-        edge = np.partition(dist, m - 1, axis=1)[:, m - 1]
-        for i in range(len(some)):
-            near = np.flatnonzero(dist[i] <= edge[i])
-            near = near[np.argsort(dist[i][near], kind="stable")][:m]
-            found.append((np.full(m, design_ids[at + i]), ids[near], dist[i][near]))
-    return tuple(np.concatenate(part) for part in zip(*found))
-
-
-def _candidates(group: Sequence[str], id_col: str, key: tuple, found) -> pd.DataFrame:
-    columns = {g: key[at] for at, g in enumerate(group)}
-    return pd.DataFrame({"design_id": found[0], id_col: found[1], "dist": found[2], **columns})[[*group, "design_id", id_col, "dist"]]
-
-
-def _nearest_in_chunk(features: Sequence[str], design: Sequence[str], id_col: str, group: Sequence[str], keep: int):
-    """Task-side step over one chunk of points and the design of its group."""
-
-    def nearest(key: tuple, points: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
-        if points.empty or targets.empty:
-            return pd.DataFrame({c: [] for c in (*group, "design_id", id_col, "dist")})
-        points = points.sort_values(id_col, kind="stable")
-        x, t = points[list(features)].to_numpy(dtype=float), targets[list(design)].to_numpy(dtype=float)
-        return _candidates(group, id_col, key, _nearest(points[id_col].to_numpy(), x, targets["design_id"].to_numpy(), t, keep))
-
-    return nearest
-
-
-def _nearest_in_scan(features: Sequence[str], id_col: str, group: Sequence[str], designs: dict, keep: int):
-    """Task-side step over a partition: running nearest points per group."""
-
-    def scan(batches):
-        best: dict = {}
-        for batch in batches:
-            for key, points in batch.groupby(list(group)):
-                points = points.sort_values(id_col, kind="stable")
-                x = points[list(features)].to_numpy(dtype=float)
-                found = _candidates(group, id_col, key, _nearest(points[id_col].to_numpy(), x, *designs[key], keep))
-                if key in best:
-                    found = pd.concat([best[key], found]).sort_values(["design_id", "dist", id_col], kind="stable")
-                    found = found.groupby("design_id").head(keep)
-                best[key] = found
-        yield from best.values()
-
-    return scan
-
-
-def _take_in_order(id_col: str, group: Sequence[str]):
-    """Greedy choice over a candidate list of n x m rows: in design order, each
-    takes its nearest point that is still free."""
-
-    def take(rows: pd.DataFrame) -> pd.DataFrame:
-        head = {g: rows[g].iloc[0] for g in group}
-        used: set = set()
-        out = []
-        rows = rows.sort_values(["design_id", "dist", id_col], kind="stable")
-        for at, options in rows.groupby("design_id", sort=True):
-            free = next((p for p in options[id_col] if p not in used), None)
-            if free is not None:
-                used.add(free)
-            out.append({**head, "design_id": at, id_col: free, "exhausted": free is None})
-        frame = pd.DataFrame(out)
-        frame[id_col] = frame[id_col].astype("Int64")
-        return frame[[*group, "design_id", id_col, "exhausted"]]
-
-    return take
-
-
-def latin_hypercube(
-    df: DataFrame,
-    n: int,
-    *,
-    feature_cols: Sequence[str],
-    id_col: str = "point_id",
-    group_cols: Sequence[str] = ("timestep",),
-    seed: int = 0,
-    chunk_rows: int = CHUNK_ROWS,
-    keep: int | None = None,
-    design_rows: int = DESIGN_ROWS,
-    **_,
-) -> DataFrame:
-    """For each point of a Latin hypercube design, in order, the nearest point
-    that is still free.
-
-    Every task sends back the ``keep`` nearest points per design point.  The
-    greedy choice then runs over those n x keep candidates.  Should a list run
-    out, it is repeated with twice as many, up to n, which always suffices: a
-    design point can lose at most n - 1 candidates to others.
-
-    A design of up to ``design_rows`` rows goes to the tasks and points are not
-    shuffled.  A larger one is joined: points are cut into chunks by a seeded
-    key, and each chunk meets the design of its group.
-    """
-    if not group_cols:
-        raise ValueError("a Latin hypercube needs a group column; a constant one makes all rows a group")
-    group = list(group_cols)
-    design_cols = [f"d{i}" for i in range(len(feature_cols))]
-    limits = settle(
-        df.groupBy(*group).agg(
-            F.count(F.lit(1)).alias("_size"),
-            *[f(c).cast("double").alias(f"{p}_{c}") for c in feature_cols for f, p in ((F.min, "lo"), (F.max, "hi"))],
-        )
-    )
-    too_small = F.when(
-        F.col("_size") < n,
-        F.raise_error(F.format_string("%d design points were asked of a group of %d rows", F.lit(n), F.col("_size"))).cast("long"),
-    )
-    limits = limits.withColumn("_chunks", F.coalesce(too_small, F.ceil(F.col("_size") / F.lit(chunk_rows))))
-
-    unit = latin_design(df.sparkSession, limits, n, len(feature_cols), group, seed)
-    design = settle(
-        unit.join(limits, group).select(
-            *group,
-            "design_id",
-            "_chunks",
-            *[(F.col(f"lo_{c}") + F.col(d) * (F.col(f"hi_{c}") - F.col(f"lo_{c}"))).alias(d) for c, d in zip(feature_cols, design_cols)],
-        )
-    )
-    targets = design.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1))).drop("_chunks")
-    points = df.join(small_side(limits.select(*group, "_chunks")), group).select(
-        *group,
-        id_col,
-        *feature_cols,
-        F.floor(uniform_key([*group, id_col], f"chunk-{seed}") * F.col("_chunks")).cast("long").alias("_chunk"),
-    )
-    types = {f.name: f.dataType for f in points.schema.fields}
-    near_schema = T.StructType(
-        [
-            *[T.StructField(g, types[g]) for g in group],
-            T.StructField("design_id", T.LongType()),
-            T.StructField(id_col, types[id_col]),
-            T.StructField("dist", T.DoubleType()),
-        ]
-    )
-    pick_schema = T.StructType(
-        [
-            *[T.StructField(g, types[g]) for g in group],
-            T.StructField("design_id", T.LongType()),
-            T.StructField(id_col, types[id_col]),
-            T.StructField("exhausted", T.BooleanType()),
-        ]
-    )
-
-    keep = min(keep or max(8, CANDIDATE_ROWS // n), n)
-    chunk = (*group, "_chunk")
-    designs = None
-    if design._rows <= design_rows:
-        designs = {
-            key: (part["design_id"].to_numpy(), part[design_cols].to_numpy(dtype=float))
-            for key, part in design.toPandas().groupby(group)
-        }
-    while True:
-        if designs is not None:
-            step = _nearest_in_scan(feature_cols, id_col, group, designs, keep)
-            candidates = df.select(*group, id_col, *feature_cols).mapInPandas(step, schema=near_schema)
-        else:
-            step = _nearest_in_chunk(feature_cols, design_cols, id_col, group, keep)
-            candidates = points.groupBy(*chunk).cogroup(targets.groupBy(*chunk)).applyInPandas(step, schema=near_schema)
-        best = F.row_number().over(Window.partitionBy(*group, "design_id").orderBy("dist", id_col))
-        candidates = candidates.withColumn("_rank", best).where(F.col("_rank") <= keep).drop("_rank")
-        picks = settle(candidates.groupBy(*group).applyInPandas(_take_in_order(id_col, group), schema=pick_schema))
-        if keep >= n or picks.where("exhausted").isEmpty():
-            break
-        keep = min(2 * keep, n)
-    return df.join(small_side(picks.drop("exhausted")), [*group, id_col])
-
-
 SAMPLERS = {
     "maxent": maxent,
     "random": random,

@@ -132,9 +132,17 @@ def complete_timesteps(df: DataFrame, variables: Sequence[str], time_col: str =
 
 
 def incomplete_timesteps(df: DataFrame, variables: Sequence[str], time_col: str = "timestep", var_col: str = "variable") -> DataFrame:
-    """Timesteps that miss a variable, with the number present: the report."""
-    present = F.count_distinct(F.when(F.col(var_col).isin(list(variables)), F.col(var_col)))
-    return df.groupBy(time_col).agg(present.alias("n_present")).where(F.col("n_present") < len(variables))
+    """Timesteps that miss a variable, with the number present."""
+    return missing_variables(df, variables, time_col, var_col).drop("missing")
+
+
+def missing_variables(df: DataFrame, variables: Sequence[str], time_col: str = "timestep", var_col: str = "variable") -> DataFrame:
+    """The report of incomplete timesteps: how many variables are present, and the
+    names of the missing ones in order."""
+    wanted = F.array(*[F.lit(v) for v in sorted(variables)])
+    present = F.collect_set(F.when(F.col(var_col).isin(list(variables)), F.col(var_col)))
+    found = df.groupBy(time_col).agg(present.alias("_present")).where(F.size("_present") < len(variables))
+    return found.select(time_col, F.size("_present").cast("long").alias("n_present"), F.array_except(wanted, "_present").alias("missing"))
 
 
 def match_times(requested: DataFrame, available: DataFrame, tolerance: float = 1e-6) -> DataFrame:

@@ -59,6 +59,7 @@ class CurationParams:
     nyoffset: int = 0
     nzoffset: int = 0
     pad: int = 2
+    cubes_per_file: int = 1
     gravity: str = "z"
     Lh: float = 1.0
     Lv: float = 0.5

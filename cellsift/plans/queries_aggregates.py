@@ -168,12 +168,15 @@ def maxent_ctes(view: str, col: str, n: int, k: int, bins: int, seed: int = 0) -
     )
 
 
-def uips_ctes(view: str, cols: list[str], n: int, bins: int, seed: int = 0) -> tuple[str, ...]:
-    """Draws of bins and of places, with points of a bin in seeded order."""
+def uips_ctes(view: str, cols: list[str], n: int, bins: int, seed: int = 0, wide: bool = False) -> tuple[str, ...]:
+    """Draws of bins and of places, with points of a bin in seeded order. ``wide``: bins
+    are lists of the bins along each axis."""
     lim = ", ".join(f"min({c}) AS lo{a}, max({c}) AS hi{a}" for a, c in enumerate(cols))
     flat = "CAST(0 AS BIGINT)"
     for a, c in enumerate(cols):
         flat = f"({flat} * {bins} + {bin_of(c, f'lo{a}', f'hi{a}', bins)})"
+    if wide:
+        flat = f"[{', '.join(bin_of(c, f'lo{a}', f'hi{a}', bins) for a, c in enumerate(cols))}]"
     return (
         f"ulim AS (SELECT timestep, {lim} FROM {view} GROUP BY timestep)",
         f"ubin AS (SELECT v.*, {flat} AS bin_id FROM {view} v JOIN ulim USING (timestep))",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cellsift.functions.grid import AXES
 from cellsift.operators import boxes, samplers
+from cellsift.operators.histogram import phase_histogram
 from cellsift.params import CurationParams
 from cellsift.plans import views
 from cellsift.plans.catalog import query
@@ -98,22 +99,32 @@ def phase_space_points(spark, sf):
 
 @query(
     "j06_phase_space_vectors",
-    with_(VECTORS, *uips_ctes("vectors", ["e0", "e1", "e2", "e3"], 200, 10, 0)) + "SELECT draw_id, bin_id, point_id FROM uips_picks",
+    with_(VECTORS, *uips_ctes("vectors", views.COMPONENTS, 200, 10, 0, wide=True)) + "SELECT draw_id, array_to_string(bin_id, ',') AS bin_id, point_id FROM uips_picks",
 )
 def phase_space_vectors(spark, sf):
-    picked = samplers.phase_space(views.vectors(spark, sf), 200, feature_cols=["e0", "e1", "e2", "e3"], chunk_rows=50)
-    return picked.select("draw_id", "bin_id", "point_id")
+    picked = samplers.phase_space(views.vectors(spark, sf), 200, feature_cols=views.COMPONENTS, chunk_rows=50)
+    return picked.select("draw_id", F.array_join(F.col("bin_id").cast("array<string>"), ",").alias("bin_id"), "point_id")
 
 
 @query(
     "j07_latin_hypercube_points",
-    with_(VECTORS, design_sql("vectors", ["e0", "e1", "e2", "e3"], 8, 5), greedy_sql("vectors", ["e0", "e1", "e2", "e3"], 8)) + _all_picks(8),
+    with_(VECTORS, design_sql("vectors", views.COMPONENTS, 8, 5), greedy_sql("vectors", views.COMPONENTS, 8)) + _all_picks(8),
 )
 def latin_hypercube_points(spark, sf):
-    picked = samplers.latin_hypercube(views.vectors(spark, sf), 8, feature_cols=["e0", "e1", "e2", "e3"], seed=5, chunk_rows=100, keep=2)
+    picked = samplers.latin_hypercube(views.vectors(spark, sf), 8, feature_cols=views.COMPONENTS, seed=5, chunk_rows=100, keep=2)
     return picked.select("timestep", "design_id", "point_id")
 
 
+@query(
+    "d09_phase_histogram_vectors",
+    with_(VECTORS, *uips_ctes("vectors", views.COMPONENTS, 1, 3, 0, wide=True)[:2]) + "SELECT array_to_string(bin_id, ',') AS bin_id, count(*) AS cnt FROM ubin GROUP BY bin_id",
+)
+def phase_histogram_vectors(spark, sf):
+    """Sparse counts of bins in 64 dimensions, three bins along each."""
+    counts = phase_histogram(views.vectors(spark, sf), views.COMPONENTS, 3, TS)
+    return counts.select(F.array_join(F.col("bin_id").cast("array<string>"), ",").alias("bin_id"), "cnt")
+
+
 @query(
     "j08_stratified_points",
     with_(

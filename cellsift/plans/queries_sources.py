@@ -8,6 +8,7 @@ from cellsift.functions.grid import int_div
 from cellsift.operators.boxes import first_boxes
 from cellsift.operators.draw import draw
 from cellsift.operators.windows import first_steps, with_windows
+from cellsift.params import CurationParams
 from cellsift.plans import fixture_files as files
 from cellsift.plans import views
 from cellsift.plans.catalog import query, rounded
@@ -15,7 +16,7 @@ from cellsift.plans.sqltext import race, with_
 from cellsift.plans.views import CLOUD, FIELD, FRAMES
 from cellsift.session import scratch_path
 from cellsift.sinks import tables as sinks
-from cellsift.sources import arrays, listing, openfoam, tabular
+from cellsift.sources import arrays, formats, listing, openfoam, tabular
 from cellsift.sources.rawgrid import read_boxes, read_raw_grid
 
 GRID = views.FRAME_GRID
@@ -130,6 +131,21 @@ round(x0 - x1, 6) AS "vortZ",
 round(ln(CASE WHEN abs(x0 - 50) <= 1e-9 THEN 1e-8 ELSE abs(x0 - 50) END), 6) AS log_tke FROM cloud""",
 )
 def csv_snapshots(spark, sf):
+    read = tabular.read_csv_snapshots(spark, _csv_files(spark, sf))
+    return read.withColumns({"vortZ": F.round("vortZ", 6), "log_tke": F.round("log_tke", 6)})
+
+
+@query(
+    "a07_csv_loader",
+    with_(CLOUD) + """SELECT timestep + 1 AS timestep, CAST(point_id AS DOUBLE) AS "X", round(x0 - x1, 6) AS "vortZ" FROM cloud WHERE timestep < 12""",
+)
+def csv_loader(spark, sf):
+    """The loader by name takes files 1 to ``num_timesteps``."""
+    rows = formats.load(spark, "csv", _csv_files(spark, sf), CurationParams(num_timesteps=12))
+    return rows.select("timestep", "X", F.round("vortZ", 6).alias("vortZ"))
+
+
+def _csv_files(spark, sf) -> str:
     path = scratch_path(spark, "csv")
     rows = views.cloud(spark, sf).select(
         F.lpad((F.col("timestep") + 1).cast("string"), 4, "0").alias("cylinder_t"),
@@ -143,8 +159,7 @@ def csv_snapshots(spark, sf):
         (F.col("x0") - 50).alias("TKE"),
     )
     rows.repartition("cylinder_t", F.pmod(F.hash("X"), F.lit(8))).write.partitionBy("cylinder_t").option("header", "true").csv(path)
-    read = tabular.read_csv_snapshots(spark, path)
-    return read.withColumns({"vortZ": F.round("vortZ", 6), "log_tke": F.round("log_tke", 6)})
+    return path
 
 
 @query(
@@ -304,11 +319,25 @@ UNION ALL SELECT frame, cell, 'v', v FROM frames WHERE frame % 4 <> 1)"""
 )
 def complete_timestep_export(spark, sf):
     path = scratch_path(spark, "complete")
+    sinks.write_complete_samples(_long_frames(spark, sf), path, ["u", "v"])
+    return spark.read.parquet(path).withColumn("timestep", F.col("timestep").cast("long"))
+
+
+@query(
+    "k05_incomplete_report",
+    with_(FRAMES, LONG_FRAMES)
+    + "SELECT timestep, count(DISTINCT variable) AS n_present, 'v' AS missing FROM long GROUP BY timestep HAVING count(DISTINCT variable) < 2",
+)
+def incomplete_report(spark, sf):
+    """What the export leaves out: timesteps, and the variables that they miss."""
+    report = sinks.write_complete_samples(_long_frames(spark, sf), scratch_path(spark, "complete"), ["u", "v"])
+    return report.select("timestep", "n_present", F.array_join("missing", ",").alias("missing"))
+
+
+def _long_frames(spark, sf):
     frames = views.frames(spark, sf)
     one = lambda name: frames.select(F.col("frame").alias("timestep"), F.col("cell").alias("point_id"), F.lit(name).alias("variable"), F.col(name).alias("value"))
-    long = one("u").unionByName(one("v").where(F.pmod("timestep", F.lit(4)) != 1))
-    sinks.write_complete_samples(long, path, ["u", "v"])
-    return spark.read.parquet(path).withColumn("timestep", F.col("timestep").cast("long"))
+    return one("u").unionByName(one("v").where(F.pmod("timestep", F.lit(4)) != 1))
 
 
 @query(

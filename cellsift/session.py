@@ -88,15 +88,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute a small table once and cut its lineage (reliable checkpoint).
+    """Compute a small table once and cut its lineage: written as Parquet to the
+    shared folder. (A reliable checkpoint would compute it twice.)
 
     The rows are counted on the way; a table that is settled already stays.
     """
-    if getattr(df, "_rows", None) is not None:
+    if isinstance(getattr(df, "_rows", None), int):  # not a column of that name
         return df
-    scratch_dir(df.sparkSession)
     seen = Observation()
-    kept = df.observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
+    kept = written(df.observe(seen, F.count(F.lit(1)).alias("rows")), "settled")
     kept._rows = seen.get["rows"]
     return kept
 

@@ -26,6 +26,7 @@ def _raw(format_name: str, spark: SparkSession, path: str, p: CurationParams) ->
     options = {"skips": (p.nxskip, p.nyskip, p.nzskip), "offsets": (p.nxoffset, p.nyoffset, p.nzoffset)}
     if layout == "block_dir":
         options["sizes"] = p.box
+        options["cubes"] = p.cubes_per_file
     else:
         options["pad"] = p.pad
     if layout != "flat":
@@ -34,17 +35,16 @@ def _raw(format_name: str, spark: SparkSession, path: str, p: CurationParams) ->
     if p.timesteps is None:
         return df
     # Times come from file names, and the filter reaches the reader: no other file is opened.
-    have = grid_times(spark, path, p.variables, p.grid, layout=layout)
+    have = grid_times(spark, path, p.variables, p.grid, layout=layout, cubes=p.cubes_per_file)
     requested = spark.createDataFrame([(float(t),) for t in p.timesteps], "requested double")
     hits = match_times(requested, have).where("timestep IS NOT NULL").select("timestep").distinct().collect()
     return df.where(F.col("timestep").isin([r["timestep"] for r in hits]))
 
 
 def _csv(spark: SparkSession, path: str, p: CurationParams) -> DataFrame:
-    """The first ``num_timesteps`` multiples of ``write_interval``."""
-    step = F.col("timestep")
-    rows = read_csv_snapshots(spark, path)
-    return rows.where((step % p.write_interval == 0) & step.between(p.write_interval, p.write_interval * p.num_timesteps))
+    """Files 1 to ``num_timesteps``: snapshots are numbered one by one, whatever
+    interval of simulated time (``write_interval``) lies between them."""
+    return read_csv_snapshots(spark, path).where(F.col("timestep").between(1, p.num_timesteps))
 
 
 LOADERS = {

@@ -1,12 +1,14 @@
 """OpenFOAM fields: gzip text, one file per (time, field).
 
-Gzip cannot be split, so a file is a task; its values leave in batches.
+Gzip cannot be split, so the files of one time are a task. They are decompressed
+as streams, a piece of text at a time, and the values of all fields leave together
+in batches: memory doesn't depend on the size of the files.
 """
 
 from __future__ import annotations
 
-import gzip
 import re
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -14,27 +16,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellsift.sources.files import located
+
 ROWS_PER_BATCH = 262_144
+#: Bytes of a file that are read, and of text that is parsed, at once.
+CHUNK = 1 << 20
 # Field files, the columns each gives, and targets by name.
 FIELDS = {"p": ("p",), "U": ("u", "v", "w"), "vorticity": ("wx", "wy", "wz"), "C": ("x", "y", "z")}
 TARGETS = {"p": ("p",), "wz": ("wz",), "pwz": ("p", "wz"), "drag": ("drag",)}
+_BLANK = bytes(32 if b in b"()" else b for b in range(256))
 LIST_HEAD = rb"internalField\s+nonuniform\s+List<(scalar|vector)>\s*(\d+)\s*\("
 
 
-def _values(content: bytes) -> np.ndarray:
-    """The internal field of one file as rows of one or three values."""
-    text = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-    head = re.search(LIST_HEAD, text)
-    if not head:
-        raise ValueError("no ASCII internalField list found")
-    width = 3 if head.group(1) == b"vector" else 1
-    count = int(head.group(2))
-    end = re.search(rb"\n\s*\)\s*;?", text[head.end() :])
-    body = text[head.end() : head.end() + end.start()] if end else text[head.end() :]
-    flat = np.array(body.replace(b"(", b" ").replace(b")", b" ").split(), dtype="float64")
-    if flat.size != count * width:
-        raise ValueError(f"field holds {flat.size} values where {count * width} are announced")
-    return flat.reshape(count, width)
+def _text(path: str) -> Iterator[bytes]:
+    """The text of a file, gzip or plain, piece by piece."""
+    system, at = located(path)
+    with system.open_input_file(at) as raw:
+        data = raw.read(CHUNK)
+        if data[:2] != b"\x1f\x8b":
+            while data:
+                yield data
+                data = raw.read(CHUNK)
+            return
+        unpack = zlib.decompressobj(31)
+        while data or unpack.unconsumed_tail:
+            yield unpack.decompress(unpack.unconsumed_tail + data, CHUNK)
+            if unpack.eof:  # another member may follow
+                data, unpack = unpack.unused_data, zlib.decompressobj(31)
+                data = data or raw.read(CHUNK)
+            else:
+                data = b"" if unpack.unconsumed_tail else raw.read(CHUNK)
+
+
+def field_values(path: str) -> Iterator[np.ndarray]:
+    """The internal field of a file as rows of one or three values, block by block."""
+    pieces, text, head = _text(path), b"", None
+    while head is None:
+        more = next(pieces, None)
+        if more is None or len(text) > 16 * CHUNK:
+            raise ValueError(f"{path}: no ASCII internalField list found")
+        text += more
+        head = re.search(LIST_HEAD, text)
+    width, count, seen = (3 if head.group(1) == b"vector" else 1), int(head.group(2)), 0
+    text, ended = text[head.end() :], False
+    while not ended:
+        # A list of vectors ends at a bracket that follows another one.
+        end = re.search(rb"\)\s*\)|^\s*\)" if width == 3 and not seen else rb"\)\s*\)" if width == 3 else rb"\)", text)
+        more = None if end else next(pieces, None)
+        if end or more is None:
+            body, ended = text[: end.start()] if end else text, True
+        else:
+            cut = text.rfind(b"(") if width == 3 else max(text.rfind(b" "), text.rfind(b"\n"))
+            body, text = text[: max(cut, 0)], text[max(cut, 0) :] + more
+        found = np.array(body.translate(_BLANK).split(), dtype="float64")
+        if found.size % width:
+            raise ValueError(f"{path}: a vector has not three values")
+        seen += found.size // width
+        if found.size:
+            yield found.reshape(-1, width)
+    if seen != count:
+        raise ValueError(f"{path}: field holds {seen} rows where {count} are announced")
 
 
 def _wide(fields: Sequence[str]):
@@ -43,14 +84,29 @@ def _wide(fields: Sequence[str]):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                data = {f["field"]: _values(f["content"]) for f in row["files"]}
-                size = len(data[fields[0]])
-                for at in range(0, size, ROWS_PER_BATCH):
-                    end = min(at + ROWS_PER_BATCH, size)
-                    cols = {"timestep": pa.array(np.full(end - at, row["timestep"])), "point_id": pa.array(np.arange(at, end))}
-                    for f in fields:
-                        cols.update({name: pa.array(data[f][at:end, i]) for i, name in enumerate(FIELDS[f])})
-                    yield pa.RecordBatch.from_pydict(cols)
+                streams = {f: field_values(path) for f, path in zip(fields, row["paths"])}
+                held = {f: np.empty((0, len(FIELDS[f]))) for f in fields}
+                at, open_ = 0, set(fields)
+                while open_ or any(len(h) for h in held.values()):
+                    n = min(len(held[f]) for f in fields)
+                    for f in [f for f in open_ if len(held[f]) == n]:  # those behind go on
+                        more = next(streams[f], None)
+                        if more is None:
+                            open_.discard(f)
+                        else:
+                            held[f] = np.concatenate([held[f], more])
+                    n = min(len(held[f]) for f in fields)
+                    if not n:
+                        if any(len(held[f]) and not all(g in open_ for g in fields if not len(held[g])) for f in fields):
+                            raise ValueError(f"fields of time {row['timestep']} differ in length")
+                        continue
+                    for begin in range(0, n, ROWS_PER_BATCH):
+                        end = min(n, begin + ROWS_PER_BATCH)
+                        cols = {"timestep": pa.array(np.full(end - begin, row["timestep"])), "point_id": pa.array(np.arange(at + begin, at + end))}
+                        for f in fields:
+                            cols.update({name: pa.array(np.ascontiguousarray(held[f][begin:end, i])) for i, name in enumerate(FIELDS[f])})
+                        yield pa.RecordBatch.from_pydict(cols)
+                    at, held = at + n, {f: h[n:] for f, h in held.items()}
 
     return decode
 
@@ -58,19 +114,13 @@ def _wide(fields: Sequence[str]):
 def read_fields(spark: SparkSession, case: str, fields: Sequence[str], times: Sequence[int]) -> DataFrame:
     """Fields at whole times, one row per cell with a column per component.
 
-    Only the files of the wanted times and fields are listed.  The files of one
-    time meet in one task and are aligned by position.
+    Only the files of the wanted times and fields are opened.  The files of one
+    time are read by one task, side by side, and aligned by position.
     """
-    paths = [f"{case.rstrip('/')}/{t}/{f}.gz" for t in times for f in fields]
-    files = spark.read.format("binaryFile").load(paths)
-    named = files.select(
-        F.regexp_extract("path", r"/(\d+)/[^/]+$", 1).cast("long").alias("timestep"),
-        F.regexp_extract("path", r"/([^/]+)\.gz$", 1).alias("field"),
-        "content",
-    )
-    whole = named.groupBy("timestep").agg(F.collect_list(F.struct("field", "content")).alias("files"))
+    rows = [(int(t), [f"{case.rstrip('/')}/{t}/{f}.gz" for f in fields]) for t in times]
+    files = spark.createDataFrame(rows, "timestep long, paths array<string>").repartition(max(1, len(rows)), "timestep")
     columns = ", ".join(f"{name} double" for f in fields for name in FIELDS[f])
-    return whole.mapInArrow(_wide(list(fields)), f"timestep long, point_id long, {columns}")
+    return files.mapInArrow(_wide(list(fields)), f"timestep long, point_id long, {columns}")
 
 
 def read_cells(spark: SparkSession, case: str) -> DataFrame:

@@ -1,9 +1,13 @@
 """Raw float32 grids as a Spark data source.
 
 ``spark.read.format("rawgrid").options(...).load(path)`` gives one row per cell:
-``timestep, gx, gy, gz`` and one float column per variable.  One input partition
-per timestep and slab along the slowest axis; filters on the timestep and on the
-slowest axis drop partitions and planes before a byte is read.
+``timestep, gx, gy, gz`` and one float column per variable.  Filters on the timestep
+and on the slowest axis drop partitions and planes before a byte is read. An input
+partition is a slab along the slowest axis, a stretch of rows of a plane that is
+larger, or several small snapshots. Of a crop only the runs of cells along the
+fastest axis are read, and a batch is part of a plane where a plane is large. A stride along the
+fastest axis is taken in memory. Paths may have the scheme of any
+file system that pyarrow knows.
 
 Options
     layout      flat       <var>_<time with six decimals>
@@ -16,12 +20,14 @@ Options
     pad         cells dropped at the end of x
     skips       strides "kx,ky,kz"; offsets "ox,oy,oz"; sizes "mx,my,mz"
     blocks      block_dir: blocks per axis
+    cubes       block_dir: cubes in each file, one after the other. In a folder with a number
+                the cube of that number is read; in others every cube is,
+                with its number as timestep and as place along x
     slab        planes per input partition
 """
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,6 +50,7 @@ from pyspark.sql.datasource import (
 )
 
 from cellsift.session import settle
+from cellsift.sources.files import RangeFile, entries, read_runs
 
 # File prefixes of named variables, and bytes per value.
 PREFIXES = {"enstrophy": "enst", "velocity": "uvw", "pressure": "p", "dissipation": "diss"}
@@ -51,19 +58,29 @@ VALUE_BYTES = 4
 ROWS_PER_BATCH = 262_144
 CELLS_PER_TASK = 4_000_000
 SLAB_BYTES = 256 * 1024 * 1024
+#: Snapshots that are smaller share an input partition up to so many bytes.
+PACK_BYTES = 16 * 1024 * 1024
 
 
 @dataclass
-class Slab(InputPartition):
-    """Planes ``start .. stop`` along the slowest axis of one timestep."""
+class Piece:
+    """Planes ``start .. stop`` along the slowest axis of one snapshot, and of them the
+    rows ``low .. high`` along the middle axis."""
 
     timestep: float
     files: dict
     start: int
     stop: int
+    low: int
+    high: int
     file_no: int = 0
     origin: tuple = (0, 0, 0)
-    size: tuple = ()
+    cube: int = 0
+
+
+@dataclass
+class Pieces(InputPartition):
+    pieces: list
 
 
 def _three(text: str | None, default: int | None) -> tuple:
@@ -88,6 +105,7 @@ class GridLayout:
         self.offset = dict(zip("xyz", _three(opt.get("offsets"), 0)))
         self.size = dict(zip("xyz", _three(opt.get("sizes"), None)))
         self.blocks = int(opt.get("blocks", 8))
+        self.cubes = int(opt.get("cubes", 1))
         self.skip_incomplete = str(opt.get("skip_incomplete", False)).lower() == "true"
         self.slab = int(opt["slab"]) if "slab" in opt else None
         self.time_type = T.DoubleType() if self.layout == "flat" else T.LongType()
@@ -110,16 +128,43 @@ class GridLayout:
 
     def file_of(self, variable: str, timestep) -> str:
         if self.layout == "flat":
-            return os.path.join(self.path, f"{variable}_{timestep:.6f}")
-        return os.path.join(self.path, variable, f"cube_{PREFIXES.get(variable, variable)}.{int(timestep)}")
+            return f"{self.path.rstrip('/')}/{variable}_{timestep:.6f}"
+        return f"{self.path.rstrip('/')}/{variable}/cube_{PREFIXES.get(variable, variable)}.{int(timestep)}"
+
+    def open(self, variable: str, path: str) -> RangeFile:
+        """The file, its size checked."""
+        expected = self.cube_bytes(variable) * self.cubes
+        file = RangeFile(path)
+        if file.size != expected:
+            raise ValueError(f"{path}: {file.size} bytes where the grid needs {expected}")
+        return file
+
+    def cube_bytes(self, variable: str) -> int:
+        return self.grid["x"] * self.grid["y"] * self.grid["z"] * self.cell_bytes(variable)
+
+    def cell_bytes(self, variable: str) -> int:
+        return VALUE_BYTES * len(self.names(variable))
+
+    def cells(self, file: RangeFile, variable: str, planes: np.ndarray, rows: np.ndarray, fast: np.ndarray, cube: int = 0) -> np.ndarray:
+        """Values of the cells at all ``planes`` x ``rows`` x ``fast``: a row for each
+        cell, a column for each component. All three rise."""
+        size, (_, mid, quick) = self.cell_bytes(variable), self.order
+        lines = (planes[:, None] * self.grid[mid] + rows).ravel()
+        first, span = int(fast[0]), int(fast[-1] - fast[0]) + 1
+        starts = (lines * self.grid[quick] + first) * size + cube * self.cube_bytes(variable)
+        data = read_runs(file, starts, span * size).view("<f4").reshape(len(lines), span, -1)
+        return data[:, fast - first].reshape(len(lines) * len(fast), -1)
 
-    def open(self, variable: str, file: str) -> np.memmap:
-        """The file as (slow, middle, fast, component), its size checked."""
-        shape = (*[self.grid[a] for a in self.order], len(self.names(variable)))
-        expected = int(np.prod(shape)) * VALUE_BYTES
-        if os.path.getsize(file) != expected:
-            raise ValueError(f"{file}: {os.path.getsize(file)} bytes where the grid needs {expected}")
-        return np.memmap(file, dtype="<f4", mode="r", shape=shape)
+    @staticmethod
+    def batches(planes: np.ndarray, rows: np.ndarray, fast: np.ndarray) -> Iterator[tuple]:
+        """Parts of up to ROWS_PER_BATCH cells, whatever the size of a plane or of a row."""
+        for f in range(0, len(fast), ROWS_PER_BATCH):
+            some = fast[f : f + ROWS_PER_BATCH]
+            lines = max(1, ROWS_PER_BATCH // len(some))
+            step = max(1, lines // len(rows)) if len(rows) else 1
+            for p in range(0, len(planes), step):
+                for r in range(0, len(rows), lines):
+                    yield planes[p : p + step], rows[r : r + lines], some
 
     def wanted(self, axis: str) -> np.ndarray:
         """Cells kept along an axis: crop, stride and padding together."""
@@ -129,27 +174,28 @@ class GridLayout:
         return np.arange(self.offset[axis], end, self.skip[axis])
 
     def sources(self) -> Iterator[tuple]:
-        """(timestep, file number, files by variable, origin) of every snapshot."""
+        """(timestep, file number, files by variable, origin, cube in the file) of every snapshot."""
         found: dict = {}
         if self.layout == "flat":
-            for name in os.listdir(self.path):
+            for name, path, _ in entries(self.path):
                 for v in self.vars:
                     hit = re.fullmatch(re.escape(v) + r"_([0-9]+\.[0-9]+)", name)
                     if hit:
-                        found.setdefault((float(hit.group(1)), 0), {})[v] = os.path.join(self.path, name)
+                        found.setdefault((float(hit.group(1)), 0, ""), {})[v] = path
         else:
-            dirs = self.vars if self.layout == "var_dir" else sorted(d for d in os.listdir(self.path) if d.isdigit())
-            for d in dirs:
+            folders = sorted(name for name, _, folder in entries(self.path) if folder)
+            folders = [f for f in folders if f in self.vars] if self.layout == "var_dir" else [f for f in folders if f.isdigit() or self.cubes > 1]
+            for d in folders:
+                files = entries(f"{self.path.rstrip('/')}/{d}")
                 for v in [d] if self.layout == "var_dir" else self.vars:
-                    folder = os.path.join(self.path, d)
                     pattern = r"cube_" + re.escape(PREFIXES.get(v, v)) + r"\.(\d+)"
-                    for name in os.listdir(folder) if os.path.isdir(folder) else []:
+                    for name, path, _ in files:
                         hit = re.fullmatch(pattern, name)
                         if hit:
                             number = int(hit.group(1))
-                            key = (number, 0) if self.layout == "var_dir" else (int(d), number)
-                            found.setdefault(key, {})[v] = os.path.join(folder, name)
-        for (time, number), files in sorted(found.items()):
+                            key = (number, 0, "") if self.layout == "var_dir" else (int(d) if d.isdigit() else 0, number, d)
+                            found.setdefault(key, {})[v] = path
+        for (time, number, folder), files in sorted(found.items()):
             if len(files) < len(self.vars):
                 if self.skip_incomplete:
                     continue
@@ -159,7 +205,13 @@ class GridLayout:
                 step = self.grid["x"]
                 origin["y"] = number // self.blocks % self.blocks * step
                 origin["z"] = number % self.blocks * step
-            yield time, number, files, origin
+            if folder and not folder.isdigit():
+                for cube in range(self.cubes):
+                    yield cube, number, files, {**origin, "x": cube * self.grid["x"]}, cube
+            elif self.cubes == 1:
+                yield time, number, files, origin, 0
+            elif time < self.cubes:
+                yield time, number, files, origin, time
 
 
 class RawGridReader(DataSourceReader):
@@ -200,58 +252,70 @@ class RawGridReader(DataSourceReader):
                 return False
         return True
 
+    def _kept(self, origin: dict) -> dict:
+        """Cells of a snapshot's files along each axis."""
+        lay = self.layout
+        shift = lambda a: origin[a] if lay.layout == "block_dir" and lay.size[a] is not None and a != "x" else 0
+        keep = {a: lay.wanted(a) + shift(a) for a in "xyz"}
+        return {a: k[k < lay.grid[a]] for a, k in keep.items()}
+
     def partitions(self):
         lay = self.layout
-        slow = lay.order[0]
-        plane_bytes = VALUE_BYTES * len(lay.columns())
-        for a in lay.order[1:]:
-            plane_bytes *= lay.grid[a]
-        slab = lay.slab or max(1, SLAB_BYTES // plane_bytes)
-        out = []
-        for time, number, files, origin in lay.sources():
+        slow, mid, fast = lay.order
+        out, held = [], 0
+        for time, number, files, origin, cube in lay.sources():
             if not self._passes(time, self.time_tests):
                 continue
-            planes = lay.wanted(slow)
-            if lay.layout == "block_dir" and lay.size[slow] is not None:
-                planes = planes + origin[slow]
-            planes = planes[planes < lay.grid[slow]]
-            planes = [int(p) for p in planes if self._passes(int(p), self.plane_tests)]
+            keep = self._kept(origin)
+            lift = origin["x"] if slow == "x" else 0  # cubes of a file follow each other along x
+            planes = [int(p) for p in keep[slow] if self._passes(int(p) + lift, self.plane_tests)]
+            if not planes or not len(keep[mid]) or not len(keep[fast]):
+                continue
+            line = VALUE_BYTES * len(lay.columns()) * int(keep[fast][-1] - keep[fast][0] + 1)
+            plane = line * len(keep[mid])
+            slab = lay.slab or max(1, SLAB_BYTES // plane)
+            lines = len(keep[mid]) if plane <= SLAB_BYTES else max(1, SLAB_BYTES // line)
             chunks: dict = {}
-            for p in planes:
-                chunks.setdefault(p // slab, []).append(p)
+            for i, p in enumerate(planes):
+                chunks.setdefault(p // slab if lay.slab else i // slab, []).append(p)
             for chunk in chunks.values():
-                out.append(Slab(time, files, chunk[0], chunk[-1] + 1, number, tuple(origin[a] for a in "xyz")))
-        return out or [Slab(0.0, {}, 0, 0)]
-
-    def read(self, partition: Slab):
+                for r in range(0, len(keep[mid]), lines):
+                    rows = keep[mid][r : r + lines]
+                    piece = Piece(time, files, chunk[0], chunk[-1] + 1, int(rows[0]), int(rows[-1]) + 1, number, tuple(origin[a] for a in "xyz"), cube)
+                    size = line * len(rows) * len(chunk)
+                    if out and not lay.slab and held + size <= PACK_BYTES:
+                        out[-1].pieces.append(piece)
+                        held += size
+                    else:
+                        out.append(Pieces([piece]))
+                        held = size
+        return out or [Pieces([])]
+
+    def read(self, partition: Pieces):
+        for piece in partition.pieces:
+            yield from self._read(piece)
+
+    def _read(self, piece: Piece):
         lay = self.layout
-        if not partition.files:
-            return
-        origin = dict(zip("xyz", partition.origin))
+        origin = dict(zip("xyz", piece.origin))
+        keep = self._kept(origin)
         slow, mid, fast = lay.order
-        shift = lambda a: origin[a] if lay.layout == "block_dir" and lay.size[a] is not None else 0
-        keep = {a: lay.wanted(a) + shift(a) for a in "xyz"}
-        keep = {a: k[k < lay.grid[a]] for a, k in keep.items()}
-        planes = keep[slow][(keep[slow] >= partition.start) & (keep[slow] < partition.stop)]
-        maps = {v: lay.open(v, file) for v, file in partition.files.items()}
+        planes = keep[slow][(keep[slow] >= piece.start) & (keep[slow] < piece.stop)]
+        rows = keep[mid][(keep[mid] >= piece.low) & (keep[mid] < piece.high)]
+        files = {v: lay.open(v, path) for v, path in piece.files.items()}
         arrow_schema = _arrow_schema(self.schema)
-        per_batch = max(1, ROWS_PER_BATCH // max(1, len(keep[mid]) * len(keep[fast])))
-        for at in range(0, len(planes), per_batch):
-            some = planes[at : at + per_batch]
-            if len(some) == 0:
-                continue
-            grids = np.meshgrid(some, keep[mid], keep[fast], indexing="ij")
-            cells = {a: g.ravel() for a, g in zip((slow, mid, fast), grids)}
-            n = len(cells[slow])
-            cols = {"timestep": np.full(n, partition.timestep), "file_no": np.full(n, partition.file_no)}
-            cols.update({f"g{a}": cells[a] for a in "xyz"})
-            for v, data in maps.items():
-                # Whole planes are read in order; the stride is taken in memory.
-                block = np.stack([np.asarray(data[p])[keep[mid]][:, keep[fast]] for p in some]).reshape(n, -1)
-                for i, name in enumerate(lay.names(v)):
-                    cols[name] = block[:, i]
+        for some in lay.batches(planes, rows, keep[fast]):
+            grids = np.meshgrid(*some, indexing="ij")
+            at = {a: g.ravel() for a, g in zip(lay.order, grids)}
+            n = len(at[slow])
+            cols = {"timestep": np.full(n, piece.timestep), "file_no": np.full(n, piece.file_no)}
+            cols.update({f"g{a}": at[a] + (origin["x"] if a == "x" else 0) for a in "xyz"})
+            for v, file in files.items():
+                cols.update(zip(lay.names(v), lay.cells(file, v, *some, piece.cube).T))
             arrays = [pa.array(np.ascontiguousarray(cols[f.name])).cast(f.type) for f in arrow_schema]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow_schema)
+        for file in files.values():
+            file.close()
 
 
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -299,7 +363,7 @@ def read_boxes(spark: SparkSession, path: str, variables, grid, box, chosen: Dat
     """Cells of chosen boxes only, layouts ``flat`` and ``var_dir``.
 
     The box table is spread over tasks, and each task seeks to the rows of its
-    boxes: nothing else of a file is read.  Rows as of ``read_raw_grid`` with
+    boxes, of which at most twice the bytes are read.  Rows as of ``read_raw_grid`` with
     ``ix, iy, iz``.
     """
     layout = _layout(path, variables, grid, options)
@@ -310,19 +374,19 @@ def read_boxes(spark: SparkSession, path: str, variables, grid, box, chosen: Dat
     def read(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                corner = {a: row[f"i{a}"] * size[a] for a in "xyz"}
-                span = [np.arange(corner[a], corner[a] + size[a]) for a in layout.order]
-                grids = np.meshgrid(*span, indexing="ij")
-                cells = {f"g{a}": g.ravel() for a, g in zip(layout.order, grids)}
-                n = grids[0].size
-                cols = {"timestep": np.full(n, row["timestep"]), **cells}
-                cols.update({f"i{a}": np.full(n, row[f"i{a}"]) for a in "xyz"})
-                window = tuple(slice(s[0], s[-1] + 1) for s in span)
-                for v in layout.vars:
-                    data = layout.open(v, layout.file_of(v, row["timestep"]))
-                    cols.update(zip(layout.names(v), np.asarray(data[window]).reshape(n, -1).T))
-                arrays = [pa.array(np.ascontiguousarray(cols[f.name])).cast(f.type) for f in arrow_schema]
-                yield pa.RecordBatch.from_arrays(arrays, schema=arrow_schema)
+                span = [np.arange(row[f"i{a}"] * size[a], (row[f"i{a}"] + 1) * size[a]) for a in layout.order]
+                files = {v: layout.open(v, layout.file_of(v, row["timestep"])) for v in layout.vars}
+                for some in layout.batches(*span):
+                    grids = np.meshgrid(*some, indexing="ij")
+                    cols = {f"g{a}": g.ravel() for a, g in zip(layout.order, grids)}
+                    n = grids[0].size
+                    cols |= {"timestep": np.full(n, row["timestep"]), **{f"i{a}": np.full(n, row[f"i{a}"]) for a in "xyz"}}
+                    for v, file in files.items():
+                        cols.update(zip(layout.names(v), layout.cells(file, v, *some).T))
+                    arrays = [pa.array(np.ascontiguousarray(cols[f.name])).cast(f.type) for f in arrow_schema]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=arrow_schema)
+                for file in files.values():
+                    file.close()
 
     # The box table is tiny, the cells behind it are not: the number of tasks is
     # set by the cells, so that adaptive execution does not merge them into one.

@@ -96,11 +96,33 @@ def test_wide_centres_give_the_same_labels(spark):
     df = spark.createDataFrame(rows, "timestep int, id int, " + ", ".join(f"{c} double" for c in cols))
     centres = cluster.midpoint_centres(df, cols, 4, ["timestep"])
     plain = {(r.id, r.label) for r in cluster.assign(df, cols, centres, 4, ["timestep"]).collect()}
-    least, cluster.PLAIN_VALUES = cluster.PLAIN_VALUES, 0
+    least, most = cluster.PLAIN_VALUES, cluster.SENT_VALUES
     try:
-        assert {(r.id, r.label) for r in cluster.assign(df, cols, centres, 4, ["timestep"]).collect()} == plain
+        for cluster.PLAIN_VALUES, cluster.SENT_VALUES in ((0, most), (0, 0)):
+            assert {(r.id, r.label) for r in cluster.assign(df, cols, centres, 4, ["timestep"]).collect()} == plain
     finally:
-        cluster.PLAIN_VALUES = least
+        cluster.PLAIN_VALUES, cluster.SENT_VALUES = least, most
+
+
+def test_near_ties_are_summed_axis_by_axis():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(500, 64)) + 1e6
+    centres = x[:7] + rng.normal(size=(7, 64)) * 1e-9
+    x = np.vstack([x, (centres[1] + centres[2]) / 2, np.full(64, np.nan)])
+    total = np.zeros((len(x), 7))
+    for axis in range(64):
+        total += (x[:, axis][:, None] - centres[:, axis]) ** 2
+    want = np.where(np.isnan(total[:, 0]), 0, total.argmin(axis=1))
+    assert (cluster.nearest_rows(x, centres) == want).all()
+
+
+def test_files_meet_their_size(spark, tmp_path):
+    """A timestep with most rows gets files in proportion, the others one each."""
+    df = spark.range(30_000).select(F.when(F.col("id") < 26_000, 7).otherwise(F.col("id") % 5).cast("long").alias("timestep"), "id", (F.col("id") * 0.5).alias("x"))
+    tables.write_curated(df.repartition(16), str(tmp_path / "c"), file_bytes=24_000)  # 1,000 rows
+    files = {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "c").iterdir() if p.is_dir()}
+    assert files == {"timestep=7": 26, **{f"timestep={t}": 1 for t in range(5)}}
+    assert spark.read.parquet(str(tmp_path / "c")).count() == 30_000
 
 
 def test_archive_job_with_a_vector_variable(spark, tmp_path):
@@ -127,10 +149,29 @@ def test_archive_job_with_a_vector_variable(spark, tmp_path):
     assert loaded.count() == 32
 
 
-def test_csv_takes_the_steps_that_are_asked_for(spark, tmp_path):
-    for t in (100, 150, 200, 300):
+def test_csv_takes_files_one_to_n(spark, tmp_path):
+    """Files are numbered one by one, whatever the write interval."""
+    for t in (1, 2, 3, 4, 100):
         spark.createDataFrame([tuple(float(t) for _ in tabular.CSV_COLUMNS)], ", ".join(f"`{c}` double" for c in tabular.CSV_COLUMNS)).toPandas().to_csv(
-            tmp_path / f"cylinder_t={t}.csv", index=False
+            tmp_path / f"cylinder_t{t:04d}.csv", index=False
         )
-    rows = formats.load(spark, "csv", str(tmp_path), CurationParams(write_interval=100, num_timesteps=2))
-    assert sorted(r.timestep for r in rows.collect()) == [100, 200]
+    steps = lambda **p: sorted(r.timestep for r in formats.load(spark, "csv", str(tmp_path), CurationParams(**p)).collect())
+    assert steps() == [1, 2, 3, 4, 100]
+    assert steps(num_timesteps=4) == [1, 2, 3, 4]
+    assert steps(num_timesteps=2, write_interval=50) == [1, 2]
+
+
+def test_force_as_of_over_ranges(spark):
+    """Ties, ranges without a force and times before the first one."""
+    import bisect
+    import random
+
+    rng = random.Random(4)
+    forces = [(rng.choice([5.0, 5.5, 20.0, rng.uniform(4, 90)]), rng.choice([None, rng.random()])) for _ in range(60)]
+    times = [rng.choice([5.0, 5.5, rng.uniform(0, 120)]) for _ in range(300)] + [99.0] * 200
+    got = joins.latest_force(spark.createDataFrame([(t,) for t in times], "snapshot double").repartition(7), spark.createDataFrame(forces, "time double, drag double").repartition(5))
+    held = sorted(f for f in forces if f[1] is not None)
+    want = [(t, held[k - 1][1] if (k := bisect.bisect_right(held, (t, 2.0))) else None) for t in times]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan

@@ -154,3 +154,47 @@ def test_top_up_rows(cloud):
     rest = draws.not_yet_chosen(cloud, chosen, ["timestep", "point_id"])
     assert rest.count() == 1080 - 30
     assert not set(ids(rest)) & set(ids(chosen))
+
+
+@pytest.mark.parametrize("n,keep,block,rows", [(40, 4, 13, 50), (55, 16, 1000, 60)])
+def test_hypercube_blocks_agree(spark, cloud, monkeypatch, n, keep, block, rows):
+    """Blocks that contend for the same rows end with the greedy choice, with cells
+    of few rows and lists that run out, and with half a group at one value."""
+    from cellsift.operators import hypercube
+
+    monkeypatch.setattr(hypercube, "CELL_ROWS", rows)
+    monkeypatch.setattr(hypercube, "PATIENCE", 3)
+    picked = samplers.latin_hypercube(cloud, n, feature_cols=["x", "y"], seed=8, keep=keep, block=block, chunk_rows=30).toPandas()
+    design = latin_design(spark, cloud, n, 2, TS, 8).toPandas()
+    for t, part in cloud.toPandas().groupby("timestep"):
+        mine = picked[picked.timestep == t].sort_values("design_id")
+        assert list(zip(mine.design_id, mine.point_id)) == brute_latin(part, design[design.timestep == t], ["x", "y"])
+
+
+def test_hypercube_cells_hold_the_nearest():
+    from cellsift.operators import hypercube
+
+    rng = np.random.default_rng(5)
+    x = rng.random((3000, 3)) ** 3
+    cell = (x * 6).astype(int) @ [36, 6, 1]
+    names = np.unique(cell)
+    low, high = (np.array([f(x[cell == c], axis=0) for c in names]) for f in (np.min, np.max))
+    targets = rng.random((50, 3))
+    of, at = hypercube._visits(low, high, np.array([(cell == c).sum() for c in names]), targets, 5)
+    for i, t in enumerate(targets):
+        near = np.argsort(((x - t) ** 2).sum(axis=1))[:5]
+        assert set(cell[near]) <= set(names[at[of == i]])
+    assert len(of) < 50 * len(names) / 3
+
+
+def test_phase_space_in_twenty_dimensions(spark):
+    rng = np.random.default_rng(2)
+    cols = [f"c{i}" for i in range(20)]
+    corner = rng.integers(0, 2, (40, 20))
+    data = corner[rng.integers(0, 40, 600)] * 0.8 + rng.random((600, 20)) * 0.05
+    df = spark.createDataFrame([(0, i, *map(float, r)) for i, r in enumerate(data)], "timestep long, point_id long, " + ", ".join(f"{c} double" for c in cols))
+    got = samplers.phase_space(df, 300, feature_cols=cols, seed=1).toPandas()
+    assert len(got) == 300 and set(got.point_id) <= set(range(600)) and list(got.columns)[:2] == ["timestep", "point_id"]
+    span = data.max(axis=0) - data.min(axis=0)
+    want = np.minimum((data - data.min(axis=0)) / span * 10, 9).astype(int)
+    assert all(list(r.bin_id) == want[r.point_id].tolist() for r in got.itertuples())

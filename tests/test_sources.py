@@ -189,3 +189,97 @@ def test_energy_snapshots(spark, tmp_path):
     assert steps[steps.node_id == "1"].joules.iloc[0] == 99.0
     total = energy.job_energy(energy.node_energy(snaps)).first()
     assert total["elapsed"] == 20.0
+
+
+def test_crops_read_few_bytes(tmp_path, monkeypatch):
+    """Batches stay small for any plane, and a crop costs at most twice its bytes."""
+    nx, ny, nz = 96, 40, 5
+    data = np.arange(nx * ny * nz, dtype="<f4").reshape(nz, ny, nx)
+    data.tofile(tmp_path / "u_1.000000")
+    monkeypatch.setattr(rawgrid, "ROWS_PER_BATCH", 300)
+    for offset, size in (((10, 5, 1), (32, 8, 3)), ((0, 0, 0), (96, 40, 5)), ((90, 39, 4), (6, 1, 1)), ((3, 0, 0), (60, 40, 2))):
+        layout = rawgrid._layout(str(tmp_path), ["u"], (nx, ny, nz), {"offsets": offset, "sizes": size})
+        file, seen = layout.open("u", str(tmp_path / "u_1.000000")), []
+        for planes, rows, fast in layout.batches(layout.wanted("z"), layout.wanted("y"), layout.wanted("x")):
+            assert len(planes) * len(rows) * len(fast) <= 300
+            seen += layout.cells(file, "u", planes, rows, fast)[:, 0].tolist()
+        box = data[offset[2] : offset[2] + size[2], offset[1] : offset[1] + size[1], offset[0] : offset[0] + size[0]]
+        assert sorted(seen) == sorted(box.ravel().tolist())
+        assert file.bytes_read <= 2 * box.nbytes
+
+
+def test_large_planes_and_small_snapshots(spark, raw, monkeypatch):
+    whole = sorted(map(tuple, rawgrid.read_raw_grid(spark, raw, ["u", "p"], (NX, NY, NZ), pad=2).collect()))
+    read = lambda: rawgrid.RawGridReader(layout, layout.schema())
+    layout = rawgrid._layout(raw, ["u", "p"], (NX, NY, NZ), {"pad": 2})
+    assert len(read().partitions()) == 1  # three small snapshots together
+    monkeypatch.setattr(rawgrid, "SLAB_BYTES", 150)
+    monkeypatch.setattr(rawgrid, "PACK_BYTES", 0)
+    monkeypatch.setattr(rawgrid, "ROWS_PER_BATCH", 7)
+    parts = read().partitions()
+    assert len(parts) == 3 * NZ * NY // 2
+    batches = [b for p in parts for b in read().read(p)]
+    assert max(b.num_rows for b in batches) <= 7
+    assert sorted(tuple(r.values()) for b in batches for r in b.to_pylist()) == whole
+
+
+def test_files_with_several_cubes(spark, tmp_path):
+    """Four cubes a file, one after the other along x; a vector too."""
+    n = 4  # a block of 4 cells along each axis, in a grid of 16
+    for folder in ("all", "2"):
+        os.makedirs(tmp_path / folder)
+        for name, parts in (("enst", 1), ("uvw", 3)):
+            cube, y, z, x = np.meshgrid(range(4), range(16), range(16), range(n), indexing="ij")  # stored y, z, x
+            base = 1000.0 * cube + 100 * x + 10 * (y % 10) + (z % 10)
+            np.stack([base + 0.25 * c for c in range(parts)], -1).astype("<f4").tofile(tmp_path / folder / f"cube_{name}.6")
+    read = lambda **o: rawgrid.read_raw_grid(spark, str(tmp_path), ["enstrophy", "velocity"], (16, 16, 16), layout="block_dir", vectors=["velocity"], blocks=4, sizes=(4, 4, 4), cubes=4, **o)
+    rows = read().toPandas()
+    assert len(rows) == 5 * 64 and set(rows.gy) == {4, 5, 6, 7} and set(rows.gz) == {8, 9, 10, 11}  # 6 = 1 * 4 + 2
+    cube = rows.timestep
+    local = rows.gx % 4
+    assert np.allclose(rows.enstrophy, 1000 * cube + 100 * local + 10 * (rows.gy % 10) + rows.gz % 10)
+    assert np.allclose(rows.velocity_z, rows.enstrophy + 0.5)
+    at = rows.groupby("timestep").gx.apply(lambda g: sorted(set(g))).to_dict()
+    assert at == {0: [0, 1, 2, 3], 1: [4, 5, 6, 7], 2: [0, 1, 2, 3, 8, 9, 10, 11], 3: [12, 13, 14, 15]}
+    with pytest.raises(Exception, match="bytes where the grid needs"):
+        rawgrid.read_raw_grid(spark, str(tmp_path), ["enstrophy"], (16, 16, 16), layout="block_dir", blocks=4, sizes=(4, 4, 4)).count()
+
+
+@pytest.mark.parametrize("save", [np.savez, np.savez_compressed])
+def test_arrays_in_stretches(spark, tmp_path, monkeypatch, save):
+    """Stretches of stored arrays, streams of compressed ones, both orders of axes."""
+    monkeypatch.setattr(arrays, "STRETCH", 50)
+    data = np.arange(5 * 6 * 7, dtype="<f4").reshape(5, 6, 7)
+    for t, order in ((0.5, "C"), (1.5, "F")):
+        for v, shift in (("u", 0), ("p", 1000)):
+            save(tmp_path / f"{v}_x_t{t:.6f}.npz", datacube=np.asarray(data + shift, order=order))
+    df = arrays.npz_snapshots(spark, str(tmp_path), ["u", "p"])
+    rows = df.toPandas()
+    assert len(rows) == 2 * data.size and (rows.u == rows.point_id).all() and (rows.p == rows.u + 1000).all()
+    assert (rows.point_id == (rows.gx * 6 + rows.gy) * 7 + rows.gz).all()
+    assert df.rdd.getNumPartitions() >= (5 if save is np.savez else 2)
+    cloud = np.arange(600.0).reshape(200, 3)
+    np.save(tmp_path / "a.npy", cloud)
+    np.save(tmp_path / "b.npy", np.asfortranarray(cloud))
+    back = arrays.read_npy_cloud(spark, str(tmp_path)).toPandas()
+    assert len(back) == 400 and (back.x0 == 3 * back.point_id).all() and (back.x1 == back.x0 + 1).all()
+
+
+def test_field_streams(tmp_path, monkeypatch):
+    """Lists cut at any place, on one line or on many, plain and compressed."""
+    rng = np.random.default_rng(1)
+    for width, kind in ((1, "scalar"), (3, "vector")):
+        values = rng.normal(size=(257, width)).round(6)
+        lines = [("(%s)" if width == 3 else "%s") % " ".join(map(repr, map(float, v))) for v in values]
+        for i, (joint, end) in enumerate((("\n", "\n)\n;\nboundaryField { a { value uniform (1 2 3); } }\n"), (" ", ");\n"))):
+            text = f"FoamFile {{ format ascii; }}\ninternalField nonuniform List<{kind}>\n{len(lines)}\n({joint}{joint.join(lines)}{end}".encode()
+            for name, body in ((f"{kind}{i}.gz", gzip.compress(text[:999]) + gzip.compress(text[999:])), (f"{kind}{i}", text)):
+                (tmp_path / name).write_bytes(body)
+                for chunk in (7, 64, 1 << 20):
+                    monkeypatch.setattr(openfoam, "CHUNK", chunk)
+                    found = list(openfoam.field_values(str(tmp_path / name)))
+                    assert np.array_equal(np.concatenate(found), values)
+                    assert chunk > 64 or max(f.size for f in found) <= chunk
+        (tmp_path / "short").write_bytes(text.replace(b"\n257\n", b"\n258\n"))
+        with pytest.raises(ValueError, match="announced"):
+            list(openfoam.field_values(str(tmp_path / "short")))
