@@ -13,6 +13,7 @@ in order, as they are.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellsift.llm.words import Memo, hidden, texts
+from cellsift.llm.words import Memo, hidden, portions, texts
 from cellsift.session import small_side, written
 
 WINDOW = 8
@@ -36,6 +37,8 @@ STRETCH = 13
 #: Bits of the filter that texts' windows pass before they are joined: 8 MB,
 #: however large the benchmark is.
 FILTER_BITS = 26
+#: Texts are read together up to so many bytes.
+BLOCK_BYTES = 1 << 20
 PLAIN, NUMBER, NAME, UNIT = 0, 1, 2, 3
 #: Readings of a text: names as slots; names as words, for copies in another case;
 #: capitalised words at sentence starts as slots too, for sentences that open with a name.
@@ -79,114 +82,174 @@ def _piece_hash(piece: str) -> int:
     return xxhash.xxh3_64_intdigest(piece.encode())
 
 
+class Block:
+    """Tokens of several texts, one after the other, and where each text's begin."""
+
+    def __init__(self, kind, value, opens, text, texts: int):
+        self.kind, self.value, self.opens, self.text = kind, value, opens, text
+        self.sizes = np.bincount(text, minlength=texts)
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+
 class Canonical:
-    """Templates of texts, from a memo of the words seen."""
+    """Templates and pieces of texts, from a memo of the words seen."""
 
     def __init__(self, most: int = 300_000):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
         self.rows: list[tuple] = []
-        self.memo = Memo(self._add, most)
-        self.table = None
+        self.pieces: list[int] = []
+        self.memo = Memo(self._add, self.most)
+        self.store, self.flat, self.done, self.flat_done = None, np.empty(1 << 16, np.uint64), 0, 0
 
     def _add(self, raw: bytes) -> int:
-        self.rows.append(_word(raw))
+        found = [_piece_hash(p) for p in _PIECE.findall(raw.decode().lower())]
+        self.rows.append((*_word(raw), len(self.pieces), len(found)))
+        self.pieces += found
         return len(self.rows) - 1
 
-    def tokens(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Kind and hash of each token of a text, and whether it is a capitalised
-        word at a sentence's start."""
-        if len(self.memo) > self.memo.most:
-            self.memo.clear()
-            self.rows.clear()
-            self.table = None
-        ids = np.fromiter(map(self.memo.__getitem__, text.split()), np.int64)
-        if not len(ids):
-            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool)
-        done = 0 if self.table is None else len(self.table[0])
-        if done < len(self.rows):
-            new = list(zip(*self.rows[done:]))
-            new = [np.array(c, t) for c, t in zip(new, (np.uint64, np.int64, bool, bool, bool))]
-            if self.table is None or done + len(new[0]) > self.room:
-                self.room = max(1 << 16, 2 * (done + len(new[0])))
-                grown = [np.empty(self.room, c.dtype) for c in new]
-                for g, old in zip(grown, self.table or ()):
-                    g[:done] = old
+    def _tables(self) -> list[np.ndarray]:
+        """The memo's rows as arrays that grow by doubling."""
+        if self.done < len(self.rows):
+            kinds = (np.uint64, np.int64, bool, bool, bool, np.int64, np.int64)
+            new = [np.array(c, t) for c, t in zip(zip(*self.rows[self.done :]), kinds)]
+            if self.store is None or len(self.rows) > len(self.store[0]):
+                grown = [np.empty(max(1 << 16, 2 * len(self.rows)), t) for t in kinds]
+                for g, old in zip(grown, self.store or ()):
+                    g[: self.done] = old[: self.done]
                 self.store = grown
             for g, c in zip(self.store, new):
-                g[done : len(self.rows)] = c
-            self.table = [g[: len(self.rows)] for g in self.store]
-        value, kind, name, unit, ends = (c[ids] for c in self.table)
-        kind = kind.copy()
-        start = np.r_[True, ends[:-1]]
+                g[self.done : len(self.rows)] = c
+            self.done = len(self.rows)
+            if len(self.pieces) > len(self.flat):
+                self.flat = np.concatenate([self.flat[: self.flat_done], np.empty(2 * len(self.pieces) - self.flat_done, np.uint64)])
+            self.flat[self.flat_done : len(self.pieces)] = self.pieces[self.flat_done :]
+            self.flat_done = len(self.pieces)
+        return self.store
+
+    def read(self, texts: list[bytes]) -> tuple[Block, np.ndarray, np.ndarray]:
+        """The tokens of some texts; and their pieces, with the text of each."""
+        if len(self.memo) > self.memo.most:
+            self.clear()
+        words = [t.split() for t in texts]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ids = np.fromiter(map(self.memo.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(sizes.sum()))
+        text = np.repeat(np.arange(len(texts)), sizes)
+        if not len(ids):
+            return Block(np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool), text, len(texts)), np.empty(0, np.uint64), text
+        value, kind, name, unit, ends, begin, count = (c[ids] for c in self._tables())
+        start = np.r_[True, ends[:-1] | (text[1:] != text[:-1])]
         name &= kind == PLAIN
         kind[name & ~start] = NAME
         real = value != 0
-        value, kind, unit, opens = value[real], kind[real], unit[real], (name & start)[real]
-        after = np.r_[False, kind[:-1] == NUMBER]
-        kind[unit & after & (kind == PLAIN)] = UNIT
-        return kind, value, opens & (kind == PLAIN)
-
-    def readings(self, text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """``windows`` of the text with the bits of the readings that have them."""
-        kind, value, opens = self.tokens(text)
-        words = np.where(kind == NAME, PLAIN, kind)
-        kinds = (words, kind, np.where(opens, NAME, kind))
-        # A window has a name or not, an opening word or not: each kind comes once.
-        slots = [np.cumsum(np.r_[0, x]) for x in (kind == NAME, opens)]
-        named, opened = (x[WINDOW:] > x[:-WINDOW] for x in slots)
-        for k, (of, own) in enumerate(zip(kinds, (None, named, opened))):
-            if own is not None and not own.any():
-                continue
-            h, place, held = self.windows(of, value)
-            if own is not None:
-                h, place = h[own[place]], place[own[place]]
-            bits = np.full(len(h), (WORDS, NAMED, STARTS)[k])
-            if k < 2:
-                bits |= np.where(opened[place], 0, STARTS) if k else np.where(named[place], 0, NAMED) | np.where(named[place] | opened[place], 0, STARTS)
-            yield bits, h, place, held
-
-    def windows(self, kind: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of the template's windows, their places, and the slots' values
-        (zero for literal words) of all tokens."""
-        n = len(kind) - WINDOW + 1
-        slots = np.where(kind == PLAIN, np.uint64(0), value)
-        if n < 1:
-            return np.empty(0, np.uint64), np.empty(0, np.int64), slots
-        template = np.where(kind == PLAIN, value, _SLOT[kind])
-        h = template[:n] * _MIX[0]
-        for i in range(1, WINDOW):
-            h += template[i : i + n] * _MIX[i]
-        h ^= h >> np.uint64(31)
-        h *= _MIX[0]
-        h ^= h >> np.uint64(29)
-        literal = np.cumsum(np.r_[0, kind == PLAIN])
-        place = np.flatnonzero(literal[WINDOW:] - literal[:-WINDOW] >= SEED)
-        return h[place], place, slots
+        value, kind, unit, opens, of = value[real], kind[real], unit[real], (name & start)[real], text[real]
+        if len(kind):
+            after = np.r_[False, (kind[:-1] == NUMBER) & (of[1:] == of[:-1])]
+            kind[unit & after & (kind == PLAIN)] = UNIT
+        upto = np.cumsum(count)
+        at = np.repeat(begin - (upto - count), count) + np.arange(upto[-1])
+        return Block(kind, value, opens & (kind == PLAIN), of, len(texts)), self.flat[at], np.repeat(text, count)
+
+    def tokens(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Kind and hash of each token of a text, and whether it is a capitalised
+        word at a sentence's start."""
+        block = self.read([text])[0]
+        return block.kind, block.value, block.opens
+
+
+def windows(kind: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Hashes of a template's windows, before they are mixed."""
+    template = np.where(kind == PLAIN, value, _SLOT[kind])
+    n = len(kind) - WINDOW + 1
+    h = template[:n] * _MIX[0]
+    for i in range(1, WINDOW):
+        h += template[i : i + n] * _MIX[i]
+    return h
 
 
-def _window_rows(keys: list[str], bits: np.ndarray | None):
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ h >> np.uint64(31)
+    h *= _MIX[0]
+    return h ^ h >> np.uint64(29)
+
+
+def readings(block: Block, bits: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes of windows with the bits of the readings that have them, their places in the block, and the
+    slots' values (zero for literal words) of all its tokens. With ``bits`` only windows whose bit is set.
+
+    One reading is hashed in full; the others differ from it in the windows of a slot alone.
+    """
+    n = len(block.kind) - WINDOW + 1
+    if n < 1:
+        return
+    words = np.where(block.kind == NAME, PLAIN, block.kind)
+    whole = block.text[WINDOW - 1 :] == block.text[:n]
+    raw = windows(words, block.value)
+    names, opens = block.kind == NAME, block.opens
+    named, opened = (np.convolve(x, np.ones(WINDOW, np.int8), "valid") > 0 for x in (names, opens))
+    for k, (extra, own) in enumerate(((None, whole), (names, whole & named), (names | opens, whole & opened))):
+        if not own.any():
+            continue
+        kind, h = words, raw
+        if extra is not None:
+            kind, h = np.where(extra, NAME, words), raw.copy()
+            at = np.flatnonzero(extra)
+            change = _SLOT[NAME] - block.value[at]
+            for i in range(WINDOW):
+                to = at - i
+                some = (to >= 0) & (to < n)
+                h[to[some]] += change[some] * _MIX[i]
+        literal = np.cumsum(np.r_[0, kind == PLAIN])
+        place = np.flatnonzero(own & (literal[WINDOW:] - literal[:-WINDOW] >= SEED))
+        h = _mixed(h[place])
+        if bits is not None:
+            some = _passes(bits, h)
+            h, place = h[some], place[some]
+        read = np.full(len(h), (WORDS, NAMED, STARTS)[k])
+        if k < 2:
+            read |= np.where(opened[place], 0, STARTS) if k else np.where(named[place], 0, NAMED) | np.where(named[place] | opened[place], 0, STARTS)
+        yield read, h, place, np.where(kind == PLAIN, np.uint64(0), block.value)
+
+
+def _hit_rows(keys: list[str], bits: np.ndarray | None, sizes: np.ndarray, filters: tuple | None):
     """mapInArrow: ``keys``, n_tokens and hash, place, readings and slots of each window;
-    with ``bits``, of those windows alone whose bit is set."""
+    with ``bits``, of those windows alone whose bit is set. And, with place -1, the hashes of spans as
+    long as one of ``sizes`` that pass the ``filters`` of whole items. Texts are read
+    once for both, many at a time."""
     made = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if "c" not in made:
             made["c"] = Canonical()
         for batch in batches:
-            row, tokens, hashes, places, read, held = [], [], [], [], [], []
-            for r, text in enumerate(texts(batch)):
-                for readings, h, place, slots in made["c"].readings(text or b""):
-                    if bits is not None:
-                        some = _passes(bits, h)
-                        readings, h, place = readings[some], h[some], place[some]
-                    row += [r] * len(h)
-                    tokens += [len(slots)] * len(h)
-                    hashes.append(h)
-                    places += place.tolist()
-                    read += readings.tolist()
-                    held += [slots[p : p + WINDOW].view(np.int64) for p in place.tolist()]
-            taken = pa.array(row, pa.int64())
-            hashed = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(taken) for k in keys), pa.array(tokens, pa.int64()), pa.array(hashed.view(np.int64)), pa.array(places, pa.int64()), pa.array(read, pa.int64()), pa.array(held, pa.list_(pa.int64()))], [*keys, "n_tokens", "h", "place", "readings", "slots"])
+            for part in portions(batch, 10_000, BLOCK_BYTES):
+                yield one(part)
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        block, found, of = made["c"].read([t or b"" for t in texts(batch)])
+        rows, tokens, hashes, places, read, slots = ([] for _ in range(6))
+        for bit, h, place, held in readings(block, bits):
+            row = block.text[place]
+            rows.append(row)
+            tokens.append(block.sizes[row])
+            hashes.append(h)
+            places.append(place - block.first[row])
+            read.append(bit)
+            slots.append(held[place[:, None] + np.arange(WINDOW)].ravel())
+        n = sum(map(len, rows))
+        if len(sizes):
+            for row, h in span_hits(found, of, sizes, filters):
+                rows.append(row)
+                hashes.append(h)
+        whole = sum(map(len, rows)) - n
+        join = lambda parts, kind: np.concatenate([*parts, np.empty(0, kind)]).astype(kind)
+        longs = [np.concatenate([join(c, np.int64), np.full(whole, fill)]) for c, fill in ((tokens, 0), (places, -1), (read, 0))]
+        ends = np.concatenate([np.arange(n + 1) * WINDOW, np.full(whole, n * WINDOW)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(join(slots, np.uint64).view(np.int64)))
+        taken = pa.array(join(rows, np.int64))
+        return pa.RecordBatch.from_arrays([*(batch.column(k).take(taken) for k in keys), pa.array(longs[0]), pa.array(join(hashes, np.uint64).view(np.int64)), pa.array(longs[1]), pa.array(longs[2]), lists], [*keys, "n_tokens", "h", "place", "readings", "slots"])
 
     return run
 
@@ -210,24 +273,29 @@ def _filter(windows: DataFrame, column: str = "h") -> np.ndarray:
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``_id, _text, item_id, span, same_values`` for each text and item whose
     templates match over a stretch of ``span`` tokens with slots that fit, or that
-    holds all ``span`` pieces of an item that ``whole_items`` looks for.
+    holds all ``span`` pieces of an item of ``whole_items``, in order.
 
     ``docs`` has _id, _text and text. Items without a piece (null, blanks,
     punctuation alone) match nothing.
     """
-    whole = whole_matches(docs, benchmark)
+    spark = docs.sparkSession
     kind = benchmark.schema["item_id"].dataType.simpleString()
     rows = "n_tokens long, h long, place long, readings long, slots array<long>"
-    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).mapInArrow(_window_rows(["item_id"], None), f"item_id {kind}, {rows}")
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).mapInArrow(_hit_rows(["item_id"], None, np.empty(0, np.int64), None), f"item_id {kind}, {rows}")
     items = written(items.select("item_id", "h", F.col("place").alias("item_place"), F.col("readings").alias("item_readings"), F.col("slots").alias("item_slots"), F.col("n_tokens").alias("item_tokens")).distinct(), "benchmark-windows")
-    held = docs.sparkSession.sparkContext.broadcast(_filter(items))
+    whole = written(whole_items(benchmark), "whole-items")
+    sizes = np.array(sorted(r["size"] for r in whole.select("size").distinct().collect()), np.int64)  # a row for each length of an item
+    held = spark.sparkContext.broadcast((_filter(items), (_filter(whole, "anchor"), _filter(whole)) if len(sizes) else None))
     keys = ["_id", "_text"]
     own = docs.schema["_id"].dataType.simpleString()
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _window_rows(keys, held.value)(batches)
+        yield from _hit_rows(keys, held.value[0], sizes, held.value[1])(batches)
 
-    hits = docs.select("text", *keys).mapInArrow(found, f"_id {own}, _text long, {rows}").join(small_side(items), "h")
+    hit = written(docs.select("text", *keys).mapInArrow(found, f"_id {own}, _text long, {rows}"), "benchmark-hits")
+    held_whole = hit.filter("place < 0").select(*keys, "h").distinct().join(small_side(whole), "h")
+    held_whole = held_whole.select(*keys, "item_id", F.col("size").alias("span"), F.lit(True).alias("same_values"))
+    hits = hit.filter("place >= 0").join(small_side(items), "h")
     lined = hits.groupBy(*keys, "item_id", (F.col("place") - F.col("item_place")).alias("offset")).agg(
         F.max("item_tokens").alias("item_tokens"), F.collect_set(F.struct("item_place", "slots", "item_slots", F.col("readings").bitwiseAND(F.col("item_readings")).alias("readings"))).alias("w")
     )
@@ -246,8 +314,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             taken = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(taken) for k in (*keys, "item_id")), pa.array(spans, pa.int64()), pa.array(same, pa.bool_())], [*keys, "item_id", "span", "same_values"])
 
-    found = lined.mapInArrow(judge, f"_id {own}, _text long, item_id {kind}, span long, same_values boolean")
-    return found if whole is None else found.union(whole)
+    return lined.mapInArrow(judge, f"_id {own}, _text long, item_id {kind}, span long, same_values boolean").union(held_whole)
 
 
 def best_stretch(windows: list[dict], literal: int = 0, few: int = 0) -> tuple[int, bool]:
@@ -277,12 +344,6 @@ def best_stretch(windows: list[dict], literal: int = 0, few: int = 0) -> tuple[i
     return best, equal
 
 
-def pieces(text: bytes | None, memo: Memo) -> np.ndarray:
-    """Hashes of a text's pieces, in lower case."""
-    memo.trim()
-    return np.fromiter(map(memo.__getitem__, _PIECE.findall((text or b"").decode().lower())), np.uint64)
-
-
 def _spans(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums and inverse powers from which ``_span_hash`` takes any span's hash."""
     powers = np.full(len(found), _BASE)
@@ -300,12 +361,30 @@ def _span_hash(sums: np.ndarray, back: np.ndarray, place: np.ndarray, size: np.n
     return h ^ h >> np.uint64(29)
 
 
+def span_hits(found: np.ndarray, of: np.ndarray, sizes: np.ndarray, filters: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts and hashes of the spans, as long as one of ``sizes``, that may be whole
+    items: places where the first pieces of an item may stand are tried with each length."""
+    anchors, bits = filters
+    spans = _spans(found)
+    end = np.searchsorted(of, of, side="right")  # where the text of each piece ends
+    at = np.arange(len(found))
+    for first in np.unique(np.minimum(sizes, WINDOW)).tolist():
+        place = at[at + first <= end]
+        place = place[_passes(anchors, _span_hash(*spans, place, first))]
+        for size in sizes[np.minimum(sizes, WINDOW) == first].tolist() if len(place) else ():
+            some = place[place + size <= end[place]]
+            h = _span_hash(*spans, some, size)
+            hit = _passes(bits, h)
+            yield of[some[hit]], h[hit]
+
+
 def _held_by_templates(canonical: Canonical, text: bytes) -> bool:
     """Whether templates find each copy of an item, also one whose first word is
     read in another way for what stands before it."""
-    kind, value, _ = canonical.tokens(text)
+    kind = canonical.tokens(text)[0]
     kind = np.where(kind == NAME, PLAIN, kind)
-    _, place, _ = canonical.windows(kind, value)
+    literal = np.cumsum(np.r_[0, kind == PLAIN])
+    place = np.flatnonzero(literal[WINDOW:] - literal[:-WINDOW] >= SEED) if len(kind) >= WINDOW else np.empty(0, np.int64)
     if not len(place):
         return False
     runs = np.split(place, np.flatnonzero(np.diff(place) > WINDOW) + 1)
@@ -318,13 +397,13 @@ def whole_items(benchmark: DataFrame) -> DataFrame:
     kind = benchmark.schema["item_id"].dataType.simpleString()
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canonical, memo = Canonical(), Memo(_piece_hash)
+        canonical = Canonical()
         for batch in batches:
             out = []
             for r, text in enumerate(texts(batch)):
                 if not text or (_held_by_templates(canonical, text) and not _UNSPACED.search(text.decode())):
                     continue
-                found = pieces(text, memo)
+                found = canonical.read([text])[1]
                 if len(found):
                     spans, start = _spans(found), np.zeros(1, np.int64)
                     first, all_of = (_span_hash(*spans, start, n).view(np.int64)[0] for n in (min(len(found), WINDOW), len(found)))
@@ -336,40 +415,6 @@ def whole_items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select("item_id", F.col("text").cast("string").alias("text")).mapInArrow(step, f"item_id {kind}, size long, anchor long, h long")
 
 
-def whole_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
-    """``_id, _text, item_id, span, same_values`` of the texts that hold all pieces of
-    such an item; None without one. Places where the first pieces of
-    an item may stand are tried with each length that items have."""
-    items = written(whole_items(benchmark), "whole-items")
-    sizes = np.array(sorted(r["size"] for r in items.select("size").distinct().collect()), np.int64)
-    if not len(sizes):
-        return None
-    held = docs.sparkSession.sparkContext.broadcast((_filter(items, "anchor"), _filter(items)))
-    keys = ["_id", "_text"]
-    own = docs.schema["_id"].dataType.simpleString()
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, (anchors, bits) = Memo(_piece_hash), held.value
-        for batch in batches:
-            row, hashes = [], [np.empty(0, np.uint64)]
-            for r, text in enumerate(texts(batch)):
-                found = pieces(text, memo)
-                spans = _spans(found)
-                for first in np.unique(np.minimum(sizes, WINDOW)).tolist():
-                    place = np.arange(max(0, len(found) - first + 1))
-                    place = place[_passes(anchors, _span_hash(*spans, place, first))]
-                    for size in sizes[np.minimum(sizes, WINDOW) == first].tolist() if len(place) else ():
-                        h = np.unique(_span_hash(*spans, place[place + size <= len(found)], size))
-                        h = h[_passes(bits, h)]
-                        row += [r] * len(h)
-                        hashes.append(h)
-            taken = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(taken) for k in keys), pa.array(np.concatenate(hashes).view(np.int64))], [*keys, "h"])
-
-    hits = docs.select("text", *keys).mapInArrow(step, f"_id {own}, _text long, h long")
-    return hits.join(small_side(items), "h").select(*keys, "item_id", F.col("size").alias("span"), F.lit(True).alias("same_values"))
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_id": F.col("doc_id"), "_text": F.xxhash64("text")})
 

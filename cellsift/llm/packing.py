@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -23,15 +24,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellsift.llm.words import BLANKS, portions
 from cellsift.session import small_side, written
 
 
-#: Texts whose words are looked up together.
-TEXTS = 6000
+#: Texts whose words are looked up together, and bytes of them.
+TEXTS, TEXT_BYTES = 6000, 8 << 20
 #: Forms of words that a worker remembers; beyond, it keeps those of the current batch.
 FORMS = 1_000_000
 #: What a token ends in where a word ends, in vocabularies that mark it.
 WORD_END = "</w>"
+#: Words of many kinds, on which it is tried whether a tokenizer takes texts word by word.
+PROBE = "The quick BROWN fox's x1 don't A.B end. End, 3.14 (a) naïve Ünïcode ÉTÉ co-op a.b. ... e.g., #tag $5 été. 漢字 😀 <|a|> l'eau _x_ I".split()
 
 
 class WordEncoder:
@@ -40,7 +44,8 @@ class WordEncoder:
 
     A form has the ids of all words that stand for it: case doesn't matter, and a
     full stop or comma after a letter is a token of its own. Words with ``<|`` stay
-    as they are, as special tokens are told apart by case.
+    as they are, as special tokens are told apart by case. Where a tokenizer doesn't
+    do so for all words of PROBE, it encodes whole texts.
     """
 
     def __init__(self, file: str):
@@ -55,6 +60,18 @@ class WordEncoder:
         #: The number of each form, and by number its ids.
         self.places: dict[str, int] = {}
         self.ids, self.first, self.size = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.by_words = self._by_words()
+
+    def _by_words(self) -> bool:
+        """Whether forms of words give the ids of texts, on the probe."""
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        small = lambda w: "".join(c.lower() if c.isascii() else c for c in w)
+        forms = [[w] if "<|" in w else [small(w)[:-1], w[-1]] if re.search("[A-Za-z][.,]$", w) else [small(w)] for w in PROBE]
+        want = [i for form in forms for part in form for i in ids(part)]
+        if any(ids(blank + (2 * blank).join(PROBE) + blank) != want for blank in BLANKS):
+            return False
+        plain = [ids(w.lower()) for w in PROBE if w.isascii() and w.isalpha()]
+        return not self.ends.any() or all(self.ends[w].sum() == 1 and self.ends[w[-1]] for w in plain)
 
     def _keep(self, forms: list[str]) -> None:
         """Forget all forms but these."""
@@ -110,6 +127,12 @@ class WordEncoder:
 
     def encode(self, column: pa.Array, end: int, block: int = 1000) -> Iterator[bytes]:
         """The ids of each text (null: empty) of a string column, and ``end``."""
+        if not self.by_words:
+            for at in range(0, len(column), 64):
+                some = pc.fill_null(column.slice(at, 64), "").to_pylist()
+                for found in self.tokenizer.encode_batch_fast(some, add_special_tokens=False):
+                    yield np.array([*found.ids, end], self.kind).tobytes()
+            return
         split = pc.ascii_split_whitespace(pc.fill_null(column, ""))
         offsets = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
@@ -146,7 +169,7 @@ def encoded(docs: DataFrame, file: str, end: int, name: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, used = encoder(file), TaskContext.get().partitionId(), {}
         for whole in batches:
-            for batch in (whole.slice(at, TEXTS) for at in range(0, whole.num_rows, TEXTS)):
+            for batch in portions(whole, TEXTS, TEXT_BYTES):
                 ids, before, n = list(coder.encode(batch.column("text"), end)), [], []
                 for found, source in zip(ids, batch.column("source").to_pylist()):
                     n.append(len(found) // coder.kind.itemsize)
@@ -222,23 +245,29 @@ def pack(docs: DataFrame, file: str, length: int = 2048, end: int = 1, weights:
 
     A document is the ids of its text (null: empty) and the id ``end``. Every
     sequence but the last is filled to ``length``; pieces of a sequence lie
-    without gaps, queue by queue. The ``queues`` - 1 sources with most tokens
-    have a queue of their own, all others share one. Repeated rows are packed as
-    often as they occur; an empty table gives no rows.
+    without gaps, queue by queue. Sources that ``weights`` names and the ``queues`` - 1 with
+    most tokens have a queue of their own. All others share one, which has their documents in the
+    order in which their own queues would serve them, so each source is spread
+    evenly there too; a source without a weight is served after those with one.
+    Repeated rows are packed as often as they occur; an empty table gives no rows.
     """
     table = encoded(docs, file, end, "encoded")
     blocks = written(table.groupBy("source", "part").agg(F.sum("n").alias("tokens")), "blocks")
-    large = blocks.groupBy("source").agg(F.sum("tokens").alias("tokens")).orderBy(F.desc("tokens"), "source").limit(queues - 1)
-    names = sorted(r["source"] for r in large.collect())
-    place = F.array_position(F.array(*(F.lit(x) for x in names)).cast("array<string>"), F.col("source")) - 1
-    blocks = blocks.withColumn("queue", F.when(place >= 0, place).otherwise(len(names)).cast("int"))
-    sums = {r["queue"]: r["tokens"] for r in blocks.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect()}
-    totals = [sums.get(q, 0) for q in range(len(names) + 1)]
+    sums = blocks.groupBy("source").agg(F.sum("tokens").alias("total"))
     named = {"" if k is None else f"={k}": v for k, v in (weights or {}).items()}
-    mixture = Mixture(totals, None if weights is None else [named.get(x, 0.0) for x in names] + [0.0])
-    earlier = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
-    based = blocks.withColumn("base", F.coalesce(F.sum("tokens").over(earlier), F.lit(0))).drop("tokens")
-    rows = table.join(small_side(based), ["source", "part"]).withColumn("at", F.col("base") + F.col("before")).select("doc_id", "source", "queue", "at", "n", "ids")
+    own = {r["source"]: r["total"] for r in sums.orderBy(F.desc("total"), "source").limit(queues - 1).collect()}
+    if named:
+        own |= {r["source"]: r["total"] for r in sums.filter(F.col("source").isin(list(named))).collect()}
+    names = sorted(own)
+    rest = (blocks.agg(F.sum("tokens")).first()[0] or 0) - sum(own.values())
+    mixture = Mixture([*(own[x] for x in names), rest], None if weights is None else [named.get(x, 0.0) for x in names] + [0.0])
+    place = F.array_position(F.array(*(F.lit(x) for x in names)).cast("array<string>"), F.col("source")) - 1
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    based = blocks.withColumns({"queue": place.cast("int"), "base": F.coalesce(F.sum("tokens").over(earlier), F.lit(0))}).drop("tokens")
+    columns = ["doc_id", "source", "queue", (F.col("base") + F.col("before")).alias("at"), "n", "ids"]
+    rows = table.join(small_side(based.filter("queue >= 0")), ["source", "part"]).select(*columns)
+    if rest:
+        rows = rows.union(_interleaved(table, based.filter("queue < 0").join(sums, "source"), len(names)).select(*columns))
     kind = docs.schema["doc_id"].dataType.simpleString()
     extra = ", ids array<int>" if ids else ""
 
@@ -250,6 +279,30 @@ def pack(docs: DataFrame, file: str, length: int = 2048, end: int = 1, weights:
     return rows.mapInArrow(run, schema)
 
 
+def _interleaved(table: DataFrame, based: DataFrame, queue: int) -> DataFrame:
+    """The documents of all sources of ``based`` as one queue, a document where its
+    middle token is due: a Spark sort, and running sums of its partitions."""
+    due = (F.col("base") + F.col("before") + F.col("n") / 2) / F.col("total")
+    order = ["due", "source", "part", "before"]
+    sorted_ = table.join(small_side(based.drop("queue")), ["source", "part"]).withColumn("due", due).repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, used = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            before = used + np.cumsum(n) - n
+            used += int(n.sum())
+            columns = [*(batch.column(c) for c in ("doc_id", "source", "n", "ids")), pa.array(np.full(len(n), part, np.int32)), pa.array(before)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "source", "n", "ids", "part", "before"])
+
+    kind = table.schema["doc_id"].dataType.simpleString()
+    ranged = written(sorted_.mapInArrow(run, f"doc_id {kind}, source string, n long, ids binary, part int, before long"), "interleaved")
+    sums = ranged.groupBy("part").agg(F.sum("n").alias("tokens"))  # a row for each range
+    earlier = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("part", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("base"))
+    return ranged.join(small_side(base), "part").withColumn("queue", F.lit(queue))
+
+
 def _pieces(batch: pa.RecordBatch, mixture: Mixture, length: int, with_ids: bool, block: int = 4096) -> Iterator[pa.RecordBatch]:
     queue, at, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("queue", "at", "n"))
     raw = batch.column("ids").to_pylist()

@@ -172,7 +172,7 @@ def op8_warc(spark, sf_dir):
 
 @query("op9_suffix_dedup")
 def op9_suffix_dedup(spark, sf_dir):
-    return suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text")
 
 
 @query("op10_decontamination")

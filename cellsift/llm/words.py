@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,18 @@ def hidden(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, list[Colu
     return docs.toDF(*names.values()), [F.col(v).alias(c) for c, v in names.items()]
 
 
+def portions(batch: pa.RecordBatch, rows: int, size: int, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of up to ``rows`` rows and about ``size`` bytes of text, one row at least."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(lengths, dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, side="right"))
+        end = max(at + 1, min(end, at + rows))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def mapped(step: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function of one batch as the function of batches that mapInArrow takes."""
 
