@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cellsift.functions.bins import bin_index
 from cellsift.functions.grid import box_counts, box_number, box_from_number, complete_boxes, with_box
-from cellsift.operators.cluster import assign, lloyd, midpoints_of, seeded_centres
+from cellsift.operators.cluster import STARTING, assign, lloyd, midpoints_of
 from cellsift.operators.draw import draw
 from cellsift.operators.histogram import axis_limits, counts_with_zeros, distributions, pooled, pooled_limits, pooled_of
 from cellsift.operators.divergence import out_strengths
@@ -152,8 +152,8 @@ def select_boxes(cells: DataFrame, params, centres: DataFrame | None = None, gro
     n = params.num_hypercubes
     if params.hypercubes == "maxent":
         whole = complete_boxes(cells, params.grid, params.box, params.pad)
-        if centres is None and params.starts == "seeded":
-            centres = seeded_centres(whole, params.cluster_var, params.num_clusters, ["gx", "gy", "gz"], group, params.seed)
+        if centres is None and params.starts in STARTING:
+            centres = STARTING[params.starts](whole, params.cluster_var, params.num_clusters, ["gx", "gy", "gz"], group, params.seed)
         totals = score_boxes(
             whole, params.cluster_var, params.num_clusters, params.box, group, params.box_bins, params.kmeans_rounds, centres
         )

@@ -82,6 +82,98 @@ def seeded_centres(
     return taken.groupBy(*group).applyInPandas(best, schema)
 
 
+def parallel_centres(
+    df: DataFrame, cols: Sequence[str], k: int, id_cols: Sequence[str], group_cols: Sequence[str],
+    seed: int = 0, rounds: int = 5, oversample: float = 2.0, starts: int = 20,
+) -> DataFrame:
+    """Starting centres from all rows, by rounds of oversampling.
+
+    Candidates begin with one row of each group. Each round scans twice: for the sum
+    of squared distances to the candidates, then for the rows that join them, each with
+    probability ``oversample`` x k x its share of that sum, by a hash of its id. So about
+    rounds x oversample x k candidates are kept whatever the rows, and a small far cluster
+    is found although a sample of rows would miss it. Each candidate weighs
+    as many rows as are nearest to it; the weighted candidates of a group become k
+    centres in one task, as the best of ``starts`` k-means++ runs by inertia.
+
+    Rows with a missing or infinite value take no part, groups of only such rows give
+    no centres. A group with fewer than k different rows has equal centres.
+    """
+    import pandas as pd
+
+    group, axes = list(group_cols) or ["_all"], [f"_x{i}" for i in range(len(cols))]
+    named = df if group_cols else df.withColumn("_all", F.lit(0))
+    rows = named.select(
+        *group, *[F.col(c).cast("double").alias(x) for c, x in zip(cols, axes)], F.xxhash64(F.lit(seed), *id_cols).alias("_key")
+    ).where(" AND ".join(f"abs({x}) < double('infinity')" for x in axes))
+    lead = rows.groupBy(*group).agg(F.min_by(F.array(*axes), F.struct("_key", *axes)).alias("_c"))
+    found = settle(lead.select(*group, F.array("_c").alias("centres")))
+    for i in range(rounds):
+        near = _nearest(rows, axes, found, group)
+        costs = small_side(near.groupBy(*group).agg(F.sum("_gap").alias("_cost")))
+        chance = F.shiftrightunsigned(F.xxhash64(F.lit(i), "_key"), 11) / F.lit(float(1 << 53))
+        more = near.join(costs, group).where(chance * F.col("_cost") < F.lit(oversample * k) * F.col("_gap")).select(*group, F.array(*axes).alias("_c"))
+        every = found.select(*group, F.explode("centres").alias("_c")).union(more)
+        found = settle(every.groupBy(*group).agg(F.array_sort(F.collect_set("_c")).alias("centres")))
+    weights = _nearest(rows, axes, found, group).groupBy(*group, "label").agg(F.count(F.lit(1)).cast("double").alias("_weight"))
+    listed = found.select(*group, F.posexplode("centres").alias("_at", "_c")).withColumn("label", F.col("_at").cast("long"))
+
+    def reduce(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("label")
+        best = best_of_starts(np.array(frame["_c"].tolist()), frame["_weight"].to_numpy(), k, seed, starts)
+        return pd.DataFrame([(*key, sorted(best.tolist()))], columns=[*group, "centres"])
+
+    schema = ", ".join([*[f"`{g}` {named.schema[g].dataType.simpleString()}" for g in group], "centres array<array<double>>"])
+    return listed.join(weights, [*group, "label"]).groupBy(*group).applyInPandas(reduce, schema).drop("_all")
+
+
+#: Starts that read the rows, by the name of the parameter.
+STARTING = {"seeded": seeded_centres, "parallel": parallel_centres}
+
+
+def best_of_starts(x: np.ndarray, weight: np.ndarray, k: int, seed: int, starts: int) -> np.ndarray:
+    """k centres of weighted points: ten rounds from each of several k-means++
+    starts, the least weighted inertia wins. An empty cluster moves to the point
+    that costs most."""
+    rng, found, least = np.random.default_rng(seed), x[:1].repeat(k, axis=0), np.inf
+    middle = np.average(x, axis=0, weights=weight)
+    x = x - middle
+    size = (x * x).sum(axis=1)
+    apart = lambda c: np.maximum(size[:, None] + (c * c).sum(axis=1) - 2 * (x @ c.T), 0)
+    for _ in range(starts):
+        taken = [int(rng.choice(len(x), p=weight / weight.sum()))]
+        gap = ((x - x[taken[0]]) ** 2).sum(axis=1)
+        while len(taken) < k:
+            cost = gap * weight
+            taken.append(int(rng.choice(len(x), p=cost / cost.sum()) if cost.sum() > 0 else rng.integers(len(x))))
+            gap = np.minimum(gap, ((x - x[taken[-1]]) ** 2).sum(axis=1))
+        c = x[taken]
+        for _ in range(10):
+            gaps = apart(c)
+            label, cost = gaps.argmin(axis=1), gaps.min(axis=1) * weight
+            sums = np.zeros_like(c)
+            np.add.at(sums, label, x * weight[:, None])
+            held = np.bincount(label, weight, minlength=k)
+            c = np.where(held[:, None] > 0, sums / np.maximum(held, 1e-300)[:, None], x[cost.argmax()])
+        inertia = float((apart(c).min(axis=1) * weight).sum())
+        if inertia < least:
+            found, least = c + middle, inertia
+    return found
+
+
+def _nearest(rows: DataFrame, cols: Sequence[str], centres: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """``label`` of the nearest centre and ``_gap``, its squared distance; groups may
+    have lists of different lengths."""
+    values = centres.agg(F.sum(F.size("centres"))).first()[0] or 0
+    if values * len(cols) <= SENT_VALUES:
+        return _assign_in_batches(rows, cols, centres, group_cols, "_gap")
+    held = centres.withColumnRenamed("centres", "_centres")
+    held._rows = centres._rows
+    joined = rows.join(small_side(held, SENT_VALUES // max(1, -(-values * len(cols) // max(1, held._rows)))), list(group_cols))
+    labelled = joined.withColumns({"label": nearest_of_arrays(cols, "_centres"), "_gap": F.array_min(_gaps(cols, "_centres"))})
+    return labelled.drop("_centres")
+
+
 def nearest_centre(cols: Sequence[str], k: int) -> Column:
     """Label of the nearest of the centres in columns ``_c{i}_{axis}``, ties to
     the lowest label.
@@ -105,11 +197,15 @@ PLAIN_VALUES = 200
 
 def nearest_of_arrays(cols: Sequence[str], centres: str = "centres") -> Column:
     """The same label from a column that holds the array of centres."""
+    found = F.transform(F.array(_gaps(cols, centres)), lambda g: F.array_position(g, F.array_min(g)) - 1)[0]
+    return F.coalesce(found, F.lit(0).cast("long"))
+
+
+def _gaps(cols: Sequence[str], centres: str) -> Column:
+    """Squared distances to an array of centres."""
     point = F.array(*[F.col(c).cast("double") for c in cols])
     squares = lambda c: F.zip_with(point, c, lambda a, b: (a - b) * (a - b))
-    gaps = F.transform(centres, lambda c: F.aggregate(squares(c), F.lit(0.0), lambda total, x: total + x))
-    found = F.transform(F.array(gaps), lambda g: F.array_position(g, F.array_min(g)) - 1)[0]
-    return F.coalesce(found, F.lit(0).cast("long"))
+    return F.transform(centres, lambda c: F.aggregate(squares(c), F.lit(0.0), lambda total, x: total + x))
 
 
 #: Centre values of all groups together that may be sent to every task.
@@ -139,8 +235,11 @@ def nearest_rows(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return label
 
 
-def _assign_in_batches(df: DataFrame, cols: Sequence[str], centres: DataFrame, group_cols: Sequence[str]) -> DataFrame:
-    """``label`` by ``nearest_rows``; the centres are few enough to be sent."""
+def _assign_in_batches(
+    df: DataFrame, cols: Sequence[str], centres: DataFrame, group_cols: Sequence[str], gap_col: str | None = None
+) -> DataFrame:
+    """``label`` by ``nearest_rows``, and in ``gap_col`` the squared distance to that
+    centre; the centres are few enough to be sent."""
     group = list(group_cols)
     held = {tuple(r[g] for g in group): np.array(r["centres"], float) for r in centres.select(*group, "centres").collect()}
     sent = df.sparkSession.sparkContext.broadcast(held)
@@ -154,12 +253,16 @@ def _assign_in_batches(df: DataFrame, cols: Sequence[str], centres: DataFrame, g
             of = np.fromiter((place.get(k, -1) for k in keys), np.int64, batch.num_rows)
             batch, of = batch.filter(pa.array(of >= 0)), of[of >= 0]  # as in a join, groups without centres go
             x = np.array([batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in cols]).T
-            label = np.zeros(len(of), np.int64)
+            label, gap = np.zeros(len(of), np.int64), np.zeros(len(of))
             for i in np.unique(of):
-                label[of == i] = nearest_rows(x[of == i], sent.value[names[i]])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label)], [*batch.schema.names, "label"])
+                here, c = of == i, sent.value[names[i]]
+                label[here] = nearest_rows(x[here], c)
+                if gap_col:
+                    gap[here] = ((x[here] - c[label[here]]) ** 2).sum(axis=1)
+            more = {"label": pa.array(label)} | ({gap_col: pa.array(gap)} if gap_col else {})
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more.values()], [*batch.schema.names, *more])
 
-    return df.mapInArrow(step, f"{kinds}, label long")
+    return df.mapInArrow(step, f"{kinds}, label long" + (f", {gap_col} double" if gap_col else ""))
 
 
 def assign(df: DataFrame, cols: Sequence[str], centres: DataFrame, k: int, group_cols: Sequence[str]) -> DataFrame:
@@ -185,9 +288,11 @@ def sort_centres(centres: DataFrame) -> DataFrame:
 
 
 def lloyd(
-    df: DataFrame, cols: Sequence[str], k: int, group_cols: Sequence[str], rounds: int, centres: DataFrame | None = None
+    df: DataFrame, cols: Sequence[str], k: int, group_cols: Sequence[str], rounds: int, centres: DataFrame | None = None,
+    tolerance: float | None = None,
 ) -> DataFrame:
     """``rounds`` full passes of Lloyd's algorithm; returns sorted centres.
+    With ``tolerance`` they end once no centre of any group moves farther.
 
     Means are true means over all rows.  Each pass is one scan with map-side
     partial sums; only k rows per group are shuffled and kept, and lineage is
@@ -208,7 +313,17 @@ def lloyd(
         moved = F.transform(
             "centres", lambda old, i: F.coalesce(F.try_element_at("_means", i.cast("long")), old)
         )
-        centres = settle(means.join(small_side(centres), group).select(*group, moved.alias("centres")))
+        after = means.join(small_side(centres), group).select(*group, moved.alias("centres"), F.col("centres").alias("_before"))
+        if tolerance is None:
+            centres = settle(after.drop("_before"))
+            continue
+        apart = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda total, x: total + x))
+        shift = F.array_max(F.zip_with("centres", "_before", apart))
+        kept = settle(after.select(*group, "centres", shift.alias("_shift")))
+        centres = kept.drop("_shift")
+        centres._rows = kept._rows
+        if (kept.agg(F.max("_shift")).first()[0] or 0.0) <= tolerance:
+            break
     return sort_centres(centres)
 
 
@@ -232,6 +347,7 @@ def with_labels(
 
 
 __all__ = [
+    "STARTING",
     "assign",
     "drawn_centres",
     "lloyd",
@@ -239,6 +355,7 @@ __all__ = [
     "midpoints_of",
     "nearest_centre",
     "nearest_of_arrays",
+    "parallel_centres",
     "seeded_centres",
     "sort_centres",
     "spark_kmeans",

@@ -13,42 +13,57 @@ from cellsift.session import small_side
 ROOT_TWO_PI = 2.5066282746310002
 
 
+#: Bins of the kernel density, in bandwidths, and how many moments each keeps. Within half a
+#: bin the series of the kernel is then off by less than 1.4e-12 of the kernel's peak.
+BIN_WIDTH, MOMENTS = 0.125, 8
+
+
 def density_estimate(df: DataFrame, col: str, points: int, group_cols: Sequence[str]) -> DataFrame:
     """Gaussian kernel density on ``points`` evenly spaced values per group.
 
-    Bandwidth n^(-1/5) times the sample deviation.  Each row adds its kernel to
-    every grid value of its own row, so the fan-out is summed in the same task
-    and only ``points`` partial sums per group reach the shuffle.
+    Bandwidth n^(-1/5) times the sample deviation. One scan gives n, deviation and
+    limits; a second adds each row's powers to its bin, a fixed cost per row
+    however many points are asked for. Bins, not rows, then meet the points: the
+    kernel around a bin's middle is a series in Hermite polynomials of the
+    distance, with the bin's moments as weights. Each kernel value is
+    exact to 1.4e-12, so a density to that over (bandwidth x sqrt(2 pi)).
+
+    Missing values don't count. A group of one value, or of equal ones, has no
+    bandwidth and a null density.
     """
     group = list(group_cols)
     stats = df.groupBy(*group).agg(
         F.count(col).alias("_n"), F.stddev_samp(col).alias("_s"), F.min(col).alias("_lo"), F.max(col).alias("_hi")
     )
-    stats = stats.select(
-        *group,
-        "_n",
-        (F.pow(F.col("_n").cast("double"), F.lit(-0.2)) * F.col("_s")).alias("_h"),
-        "_lo",
-        ((F.col("_hi") - F.col("_lo")) / F.lit(points - 1)).alias("_step"),
+    wide = F.pow(F.col("_n").cast("double"), F.lit(-0.2)) * F.col("_s")
+    step = (F.col("_hi") - F.col("_lo")) / F.lit(points - 1)
+    stats = small_side(
+        stats.where("_n > 0").select(*group, "_n", F.when(F.col("_s") > 0, wide).alias("_h"), F.col("_lo").cast("double").alias("_lo"), step.cast("double").alias("_step"))
     )
-    stats = small_side(stats)
-    joined = df.select(*group, F.col(col).alias("_v")).join(stats.select(*group, "_lo", "_step", "_h"), group)
-    sums = []
-    for i in range(points):
-        gap = (F.col("_lo") + F.col("_step") * F.lit(float(i)) - F.col("_v")) / F.col("_h")
-        sums.append(F.sum(F.exp(gap * gap * F.lit(-0.5))).alias(f"k{i}"))
-    wide = joined.groupBy(*group).agg(*sums).join(stats, group)
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(i).cast("long").alias("grid"),
-                (F.col("_lo") + F.col("_step") * F.lit(float(i))).alias("x_at"),
-                (F.col(f"k{i}") / (F.col("_n") * F.col("_h") * F.lit(ROOT_TWO_PI))).alias("density"),
-            )
-            for i in range(points)
-        ]
+    at = (F.col("_v") - F.col("_lo")) / F.col("_h")
+    rows = df.select(*group, F.col(col).cast("double").alias("_v")).where("_v IS NOT NULL").join(stats.where("_h IS NOT NULL"), group)
+    placed = rows.select(*group, (F.col("_step") / F.col("_h")).alias("_pitch"), at.alias("_at"), F.floor(at / F.lit(BIN_WIDTH)).alias("_bin"))
+    middle = (F.col("_bin") + F.lit(0.5)) * F.lit(BIN_WIDTH)
+    power, sums = F.lit(1.0), []
+    for j in range(MOMENTS):
+        sums.append(F.sum(power).alias(f"_m{j}"))
+        power = power * (F.col("_off") / F.lit(float(j + 1)))  # of off, over the factorial
+    binned = placed.withColumn("_off", F.col("_at") - middle).groupBy(*group, "_pitch", "_bin").agg(*sums)
+
+    met = binned.withColumn("grid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))))
+    met = met.withColumn("_a", F.col("grid") * F.col("_pitch") - middle)
+    # The sum of moments times Hermite polynomials, by the recurrence from the last.
+    later, last = F.lit(0.0), F.lit(0.0)
+    for j in reversed(range(MOMENTS)):
+        later, last = last, F.col(f"_m{j}") + F.col("_a") * last - F.lit(float(j + 1)) * later
+    added = met.groupBy(*group, "grid").agg(F.sum(F.exp(F.col("_a") * F.col("_a") * F.lit(-0.5)) * last).alias("_k"))
+    grid = stats.withColumn("grid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))))
+    return grid.join(added, [*group, "grid"], "left").select(
+        *group,
+        "grid",
+        (F.col("_lo") + F.col("_step") * F.col("grid")).alias("x_at"),
+        (F.col("_k") / (F.col("_n") * F.col("_h") * F.lit(ROOT_TWO_PI))).alias("density"),
     )
-    return wide.select(*group, F.explode(entries).alias("e")).select(*group, "e.*")
 
 
 def tagged(samples: dict[str, DataFrame], cols: Sequence[str], tag: str = "method") -> DataFrame:

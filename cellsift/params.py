@@ -20,7 +20,7 @@ class TargetKind(Enum):
 BOX_METHODS = ("uniform", "maxent", "random")
 POINT_METHODS = ("maxent", "random", "full", "uips", "lhs", "stratified")
 SCALERS = ("StandardScaler", "MinMaxScaler", "PowerTransformer", "None")
-STARTS = ("seeded", "fixed")
+STARTS = ("seeded", "parallel", "fixed")
 VECTORS = ("velocity",)
 FORMATS = ("openfoam", "csv", "npz", "raw-grid", "cube-dirs", "cube-blocks")
 TARGETS = ("drag", "p", "p_full", "wz", "tke")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cellsift.functions.grid import AXES, box_counts, box_number, local_number, with_grid_coordinates
 from cellsift.operators.boxes import cells_of_boxes, select_boxes
-from cellsift.operators.cluster import seeded_centres
+from cellsift.operators.cluster import STARTING
 from cellsift.operators.samplers import SAMPLERS
 from cellsift.operators.windows import apply_selection, first_steps, match_times, rows_at_times, window_steps
 from cellsift.params import VECTORS, CurationParams, TargetKind
@@ -108,8 +108,8 @@ def _sample(boxes: DataFrame, rows: DataFrame, params: CurationParams, centres:
     # Fewer boxes than asked for may exist, and None asks for all of them.
     per_step = boxes.groupBy("timestep").count().agg(F.max("count")).first()[0] or 0
     n = params.num_samples if params.per_cube else params.num_samples * per_step
-    if params.method == "maxent" and centres is None and params.starts == "seeded":
-        centres = seeded_centres(first, params.cluster_var, params.num_clusters, ["point_id"], groups, params.seed)
+    if params.method == "maxent" and centres is None and params.starts in STARTING:
+        centres = STARTING[params.starts](first, params.cluster_var, params.num_clusters, ["point_id"], groups, params.seed)
     options = dict(
         feature_cols=list(params.input_vars),
         cluster_cols=list(params.cluster_var),

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from cellsift.functions import grid
 from cellsift.operators import scaling
-from cellsift.operators.cluster import assign, drawn_centres, lloyd, spark_kmeans
+from cellsift.operators.cluster import assign, drawn_centres, lloyd, parallel_centres
 from cellsift.plans import views
 from cellsift.plans.catalog import query, rounded
 from cellsift.plans.sqltext import labelled, midpoints, moved, race, with_
-from cellsift.plans.training import training_table
+from cellsift.params import CurationParams
+from cellsift.plans.curate import curate
+from cellsift.plans.training import training_job, training_table
 from cellsift.plans.views import CLOUD, FIELD, LINE_ITEMS
 
 TS = ["timestep"]
@@ -47,9 +49,10 @@ def kmeans_labels(spark, sf):
 
 @query("j11_kmeans_parallel_starts")
 def kmeans_parallel_starts(spark, sf):
-    """Spark's own k-means with k-means|| starts: sizes of the clusters."""
+    """Starts by rounds of oversampling over all rows, then rounds of k-means until no
+    centre moves: sizes of the clusters."""
     v, cols = views.vectors(spark, sf), views.COMPONENTS
-    centres = spark_kmeans(v, cols, 5, seed=0, max_iter=10).withColumn("timestep", F.lit(0).cast("long"))
+    centres = lloyd(v, cols, 5, TS, 10, parallel_centres(v, cols, 5, ["point_id"], TS), tolerance=1e-9)
     return assign(v, cols, centres, 5, TS).groupBy("label").agg(F.count(F.lit(1)).alias("cnt"))
 
 
@@ -196,3 +199,25 @@ def training_packed(spark, sf):
         F.round(F.element_at("w", -1), 6).alias("w_last"),
     )
 
+
+BOXED = SEQ.replace("timestep < s.start + 2)", "timestep < s.start + 2 AND gx // 5 + 2 * (gz // 5) < 4)")
+
+
+@query(
+    "j17_training_job",
+    with_(FIELD, BOXED)
+    + """SELECT split, cube_id || ':' || start AS seq_id, CAST(count(*) AS BIGINT) AS slots, round(list((u - ulo) / (uhi - ulo) ORDER BY step, point_id)[7], 8) AS u7,
+round(list((w - wm) / ws ORDER BY step, point_id)[-1], 6) AS w_last FROM parts CROSS JOIN fit GROUP BY ALL""",
+)
+def training_from_parameters(spark, sf):
+    """Curation of whole boxes and its training table, from one set of parameters."""
+    f = views.field(spark, sf)
+    p = CurationParams(
+        nx=views.NX, ny=views.NY, nz=views.depth(f), pad=0, nxsl=5, nysl=5, nzsl=5, hypercubes="uniform", num_hypercubes=4, method="full",
+        target="p_full", cluster_var=("u",), input_vars=("u", "v"), output_vars=("w",), window=2, overlap=1, test_frac=0.2,
+    )
+    packed = training_job(curate(f, p), p).packed
+    return packed.select(
+        "split", "seq_id", F.size("u").cast("long").alias("slots"), F.round(F.element_at("u", 7), 8).alias("u7"),
+        F.round(F.element_at("target_w", -1), 6).alias("w_last"),
+    )

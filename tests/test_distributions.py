@@ -1,6 +1,7 @@
 """Bins, histograms, divergences, clusters, scalers."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +121,73 @@ def test_scalers(spark):
     assert got.mean() == pytest.approx(0, abs=1e-9) and got.std(ddof=0) == pytest.approx(1)
     with pytest.raises(ValueError):
         scaling.fit("Other", df, ["a"])
+
+
+def test_starts_find_a_small_cluster(spark):
+    rng = np.random.default_rng(5)
+    blobs = [rng.normal(m, 1.0, (n, 2)) for m, n in (((0, 0), 60_000), ((30, 0), 30_000), ((0, 30), 9_980), ((400, 400), 20))]
+    x = np.vstack(blobs)
+    df = spark.createDataFrame(pd.DataFrame({"timestep": 1, "point_id": range(len(x)), "x": x[:, 0], "y": x[:, 1]})).repartition(5).cache()
+    found = cluster.parallel_centres(df, ["x", "y"], 4, ["point_id"], TS)
+    centres = np.array(cluster.lloyd(df, ["x", "y"], 4, TS, 10, found, tolerance=1e-6).first()["centres"])
+    inertia = lambda c: ((x[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum()
+    assert inertia(centres) <= 1.05 * inertia(np.array([b.mean(axis=0) for b in blobs]))
+    again = cluster.parallel_centres(df.repartition(9), ["x", "y"], 4, ["point_id"], TS)
+    assert np.allclose(again.first()["centres"], found.first()["centres"])
+
+
+def test_starts_of_odd_groups(spark, monkeypatch):
+    rows = [(0, i, 2.0) for i in range(9)] + [(1, 0, None), (1, 1, float("nan"))] + [(2, i, float(i % 3)) for i in range(30)]
+    df = spark.createDataFrame(rows, "timestep long, point_id long, x double")
+    want = {0: [[2.0]] * 3, 2: [[0.0], [1.0], [2.0]]}
+    assert {r[0]: r[1] for r in cluster.parallel_centres(df, ["x"], 3, ["point_id"], TS).collect()} == want
+    monkeypatch.setattr(cluster, "SENT_VALUES", 0)
+    assert {r[0]: r[1] for r in cluster.parallel_centres(df, ["x"], 3, ["point_id"], TS).collect()} == want
+    assert cluster.parallel_centres(df.where("timestep = 2").drop("timestep"), ["x"], 3, ["point_id"], []).first()["centres"] == want[2]
+    assert cluster.parallel_centres(df.where("timestep > 5"), ["x"], 3, ["point_id"], TS).count() == 0
+
+
+def test_rounds_end_when_centres_rest(spark, monkeypatch):
+    df = spark.createDataFrame([(0, float(v)) for v in (0, 1, 10, 11)], "timestep long, x double")
+    calls, plain = [], cluster.assign
+    monkeypatch.setattr(cluster, "assign", lambda *a: calls.append(1) or plain(*a))
+    assert cluster.lloyd(df, ["x"], 2, TS, 50, tolerance=0.0).first()["centres"] == [[0.5], [10.5]]
+    assert len(calls) == 2
+
+
+def test_kernel_density_keeps_its_bound(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.standard_cauchy(3000), [1e4, -1e4], np.full(500, 2.5)])
+    df = spark.createDataFrame([(0, float(v)) for v in x] + [(0, None), (1, 3.0), (2, 4.0), (2, 4.0), (3, None)], "timestep long, x double")
+    got = evaluate.density_estimate(df, "x", 33, TS).toPandas().sort_values(["timestep", "grid"])
+    at = np.linspace(x.min(), x.max(), 33)
+    h = len(x) ** -0.2 * x.std(ddof=1)
+    want = np.exp(-0.5 * ((at[:, None] - x) / h) ** 2).sum(axis=1) / (len(x) * h * np.sqrt(2 * np.pi))
+    off = np.abs(got[got.timestep == 0].density.to_numpy() - want) * h * np.sqrt(2 * np.pi)
+    assert off.max() < 1.4e-12
+    assert got[got.timestep > 0].density.isna().all() and set(got.timestep) == {0, 1, 2}
+
+
+@pytest.mark.parametrize("kind", ["gamma", "normal", "lognormal", "large", "left"])
+def test_power_is_the_peak_in_few_scans(spark, monkeypatch, kind):
+    rng = np.random.default_rng(4)
+    x = {
+        "gamma": rng.gamma(1.5, 4.0, 400), "normal": rng.normal(1.0, 2.0, 400), "lognormal": rng.lognormal(1.0, 1.5, 400),
+        "large": rng.gamma(2.0, 1e5, 400), "left": -rng.gamma(1.2, 3.0, 400),
+    }[kind]
+    df = spark.createDataFrame([(float(v), 7.0, None) for v in x], "a double, c double, e double").cache()
+    scans, plain = [], scaling._likelihoods
+    monkeypatch.setattr(scaling, "_likelihoods", lambda *a: scans.append(1) or plain(*a))
+    constants = scaling.fit_power(df, ["a", "c", "e"]).constants
+    power = constants["a"][0]
+
+    def likelihood(p):
+        up, down = np.where(x >= 0, x, 0), np.where(x < 0, -x, 0)
+        y = np.where(x >= 0, ((up + 1) ** p - 1) / p, -((down + 1) ** (2 - p) - 1) / (2 - p))
+        return -np.log(y.var()) / 2 + (p - 1) * (np.sign(x) * np.log1p(np.abs(x))).mean()
+
+    slope = lambda p: (likelihood(p + 1e-4) - likelihood(p - 1e-4)) / 2e-4
+    bend = (slope(power + 1e-3) - slope(power - 1e-3)) / 2e-3
+    assert bend < 0 and abs(slope(power) / bend) < 1e-6  # one Newton step moves it by less
+    assert len(scans) <= 3
+    assert constants["c"][0] == constants["e"][0] == 1.0

@@ -12,7 +12,7 @@ from cellsift.params import CurationParams, TargetKind
 from cellsift.plans.compare import compare_methods
 from cellsift.plans.curate import curate, curate_archive, write
 from cellsift.plans.fixture_files import write_grids
-from cellsift.plans.training import training_table
+from cellsift.plans.training import training_job, training_table
 
 BASE = dict(
     nx=10, ny=6, nz=8, nxsl=4, nysl=3, nzsl=4, pad=2, cluster_var=("pv",), input_vars=("u", "v"), output_vars=("w",),
@@ -135,3 +135,26 @@ def test_archive_job_equals_the_table_job(spark, grid_cells, tmp_path, box, poin
     strided = CurationParams(**{**BASE, "nxskip": 2, "nyskip": 3, "nzskip": 2, "timesteps": (0.5, 1.5)}, hypercubes=box, method=point)
     few = curate_archive(spark, str(tmp_path), strided)
     assert few.inputs.count() == 30 and {r[0] for r in few.boxes.select("timestep").distinct().collect()} == {0.5}
+
+
+@pytest.mark.parametrize("method,target", [("random", "p"), ("uips", "p"), ("random", "p_full"), ("random", "drag"), ("full", "p_full")])
+def test_training_by_parameters(grid_cells, method, target):
+    import numpy as np
+
+    p = CurationParams(**{**BASE, "hypercubes": "uniform", "method": method, "target": target, "output_vars": ("u",)}, test_frac=0.25, yscaler="None")
+    cells = grid_cells.withColumn("u", F.col("timestep") * 2.0) if target == "drag" else grid_cells
+    result = curate(cells, p)
+    job = training_job(result, p)
+    packed = job.packed.toPandas()
+    assert len(packed) == 9 and (packed.split == "test").sum() == 3  # three boxes, starts 0 to 2
+    drawn, given = result.inputs.toPandas(), result.targets.toPandas()
+    for r in packed.itertuples():
+        cube, start = map(int, r.seq_id.split(":"))
+        here = drawn[(drawn.cube_id == cube) & drawn.timestep.between(start, start + 1)]
+        assert len(r.u) == len(here)
+        of = given if target == "drag" else given[given.cube_id == cube]
+        want = of[of.timestep.between(start, start + 1)]
+        want = want.sort_values("timestep" if target == "drag" else ["timestep", "point_id"]).u
+        assert np.allclose(r.target_u, want)
+    train = np.concatenate(packed[packed.split == "train"].v.tolist())
+    assert train.min() == 0 and train.max() == 1
