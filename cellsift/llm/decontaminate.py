@@ -55,6 +55,8 @@ _NO_BLANKS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\
 _UNSPACED = re.compile(f"[{_NO_BLANKS}]")
 #: Pieces: such characters, words, and signs that are no punctuation.
 _PIECE = re.compile(f"[{_NO_BLANKS}]|[^\\W{_NO_BLANKS}]+|[^\\w\\s.,;:!?'\"()\\[\\]\u2018-\u201f\u2026\u3000-\u3003\u3008-\u3011\uff01\uff08\uff09\uff0c\uff0e\uff1a\uff1b\uff1f]")
+#: Letters below this one have one letter as their lower case, and blanks between words.
+SINGLE = "\u0130"
 #: Factor of a span's hash, and its inverse modulo 2**64.
 _BASE = _MIX[2] | np.uint64(1)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -62,10 +64,9 @@ _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SLOT = np.random.default_rng(9).integers(1, 1 << 63, 4, np.uint64)
 
 
-def _word(raw: bytes) -> tuple[int, int, bool, bool, bool]:
+def _word(text: str) -> tuple[int, int, bool, bool, bool]:
     """Hash of the bare lower-case word, kind by itself, whether it may be a name
     or a unit, and whether a sentence ends with it. Hash 0: no word at all."""
-    text = raw.decode()
     bare = _EDGE.sub("", text)
     low = bare.lower()
     ends = text[-1] in ".!?:;" or text[-1] in "\"')]" and text[-2:-1] in (".", "!", "?")
@@ -94,39 +95,49 @@ class Block:
 class Canonical:
     """Templates and pieces of texts, from a memo of the words seen."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 600_000):
         self.most = most
         self.clear()
 
     def clear(self) -> None:
+        # Rows and pieces wait in lists until ``_tables`` moves them into arrays.
         self.rows: list[tuple] = []
         self.pieces: list[int] = []
         self.memo = Memo(self._add, self.most)
         self.store, self.flat, self.done, self.flat_done = None, np.empty(1 << 16, np.uint64), 0, 0
 
     def _add(self, raw: bytes) -> int:
-        found = [_piece_hash(p) for p in _PIECE.findall(raw.decode().lower())]
-        self.rows.append((*_word(raw), len(self.pieces), len(found)))
-        self.pieces += found
-        return len(self.rows) - 1
+        text, begin = raw.decode(), self.flat_done + len(self.pieces)
+        bare = text if text.isalpha() else text[:-1]
+        if bare.isalpha() and (bare is text or text[-1] in ".,;:!?") and max(bare) < SINGLE:
+            # Letters and at most one stop, as most words are: the bare word is its only piece.
+            low = bare.lower()
+            h = _piece_hash(low)
+            name = len(bare) > 1 and bare[0].isupper() and bare[1:].islower()
+            self.rows.append((h or 1, PLAIN, name, low in UNITS, text[-1] in ".!?:;", begin, 1))
+            self.pieces.append(h)
+        else:
+            found = [_piece_hash(p) for p in _PIECE.findall(text.lower())]
+            self.rows.append((*_word(text), begin, len(found)))
+            self.pieces += found
+        return self.done + len(self.rows) - 1
 
     def _tables(self) -> list[np.ndarray]:
         """The memo's rows as arrays that grow by doubling."""
-        if self.done < len(self.rows):
+        if self.rows:
             kinds = (np.uint64, np.int64, bool, bool, bool, np.int64, np.int64)
-            new = [np.array(c, t) for c, t in zip(zip(*self.rows[self.done :]), kinds)]
-            if self.store is None or len(self.rows) > len(self.store[0]):
-                grown = [np.empty(max(1 << 16, 2 * len(self.rows)), t) for t in kinds]
+            upto, flat_upto = self.done + len(self.rows), self.flat_done + len(self.pieces)
+            if self.store is None or upto > len(self.store[0]):
+                grown = [np.empty(max(1 << 16, 2 * upto), t) for t in kinds]
                 for g, old in zip(grown, self.store or ()):
                     g[: self.done] = old[: self.done]
                 self.store = grown
-            for g, c in zip(self.store, new):
-                g[self.done : len(self.rows)] = c
-            self.done = len(self.rows)
-            if len(self.pieces) > len(self.flat):
-                self.flat = np.concatenate([self.flat[: self.flat_done], np.empty(2 * len(self.pieces) - self.flat_done, np.uint64)])
-            self.flat[self.flat_done : len(self.pieces)] = self.pieces[self.flat_done :]
-            self.flat_done = len(self.pieces)
+            for g, c in zip(self.store, zip(*self.rows)):
+                g[self.done : upto] = np.array(c, g.dtype)
+            if flat_upto > len(self.flat):
+                self.flat = np.concatenate([self.flat[: self.flat_done], np.empty(2 * flat_upto - self.flat_done, np.uint64)])
+            self.flat[self.flat_done : flat_upto] = np.array(self.pieces, np.uint64)
+            self.done, self.flat_done, self.rows, self.pieces = upto, flat_upto, [], []
         return self.store
 
     def read(self, texts: list[bytes]) -> tuple[Block, np.ndarray, np.ndarray]:

@@ -35,3 +35,24 @@ def test_sentences_open_with_names(spark):
 def test_few_words_among_numbers(spark):
     item = "row 11 12 13 sum 14 15 mean 16 17 18 19 top 20 21 22"
     assert found(spark, [item], ["Table\n" + item + " end", item.replace("19", "91")]) == [[0], []]
+
+
+def test_plain_words_read_as_the_general_way_does():
+    letters = [chr(c) for c in range(0x21, 0x180) if not chr(c).isspace()] + ["ก", "中", "̇", "Ι"]
+    words = [w for c in letters for w in (c, c + ".", c + "a", "A" + c, "ab" + c, c + "b,", "Kg" + c + "!", "(" + c + "x)")] + ["km", "Km.", "USD", "it's", "12kg", "x:", "??"]
+    held = decontaminate.Canonical()
+    ids = [held.memo[w.encode()] for w in words]
+    *kinds, begin, count = held._tables()
+    for w, i in zip(words, ids):
+        assert tuple(c[i] for c in kinds) == decontaminate._word(w), w
+        pieces = [decontaminate._piece_hash(p) for p in decontaminate._PIECE.findall(w.lower())]
+        assert held.flat[begin[i] : begin[i] + count[i]].tolist() == pieces, w
+
+
+def test_words_beyond_the_memo_are_read_anew():
+    texts = [f"Tom has {i} red apples{i}, and w{i}o buys {i}kg more.".encode() for i in range(60)]
+    small, large = decontaminate.Canonical(20), decontaminate.Canonical()
+    for text in texts * 2:
+        (a, *x), (b, *y) = small.read([text]), large.read([text])
+        assert all((getattr(a, c) == getattr(b, c)).all() for c in ("kind", "value", "opens", "text"))
+        assert all((p == q).all() for p, q in zip(x, y))
