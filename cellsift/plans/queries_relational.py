@@ -525,7 +525,8 @@ def partial_totals_merged(spark, sf):
 def available_and_requested(spark, sf):
     have = views.cloud(spark, sf).select("timestep")
     want = views.table(spark, sf, "orders").select((F.pmod("o_orderkey", F.lit(50)) * 2).alias("timestep"))
-    return have.intersect(want)
+    # Intersect joins before it drops repeats: without the distinct ones, all rows of a timestep meet in one task.
+    return have.distinct().intersect(want.distinct())
 
 
 # --- scalar functions ---------------------------------------------------------

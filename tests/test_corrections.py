@@ -175,3 +175,19 @@ def test_force_as_of_over_ranges(spark):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_available_and_requested_joins_distinct_times(spark, tmp_path):
+    """Repeats go before the join, so no task holds all rows of a timestep; null times are equal."""
+    from cellsift.plans.queries_relational import available_and_requested
+
+    events = [(None if i % 7 == 0 else f"2024-01-{1 + i % 20:02d} 10:00:00", i) for i in range(700)]
+    spark.createDataFrame(events, "ts string, event_id long").selectExpr("CAST(ts AS timestamp) AS ts", "event_id", "1.0 AS value", "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(None if i % 9 == 0 else i % 8,) for i in range(900)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    got = available_and_requested(spark, str(tmp_path))
+    assert sorted([r[0] for r in got.collect()], key=lambda t: -1 if t is None else t) == [None, 0, 2, 4, 6, 8, 10, 12, 14]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plan[plan.index("LeftSemi") :].count("Aggregate") == 2
