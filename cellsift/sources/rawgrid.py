@@ -23,7 +23,8 @@ Options
     cubes       block_dir: cubes in each file, one after the other. In a folder with a number
                 the cube of that number is read; in others every cube is,
                 with its number as timestep and as place along x
-    slab        planes per input partition
+    slab        planes per input partition; where these would be more than SLABS, small
+                ones share a partition as small snapshots do
 """
 
 from __future__ import annotations
@@ -60,6 +61,10 @@ CELLS_PER_TASK = 4_000_000
 SLAB_BYTES = 256 * 1024 * 1024
 #: Snapshots that are smaller share an input partition up to so many bytes.
 PACK_BYTES = 16 * 1024 * 1024
+#: What the opening of a file counts for there.
+OPEN_BYTES = 16 * 1024
+#: Input partitions of given slabs that are left as they are.
+SLABS = 64
 
 
 @dataclass
@@ -262,7 +267,7 @@ class RawGridReader(DataSourceReader):
     def partitions(self):
         lay = self.layout
         slow, mid, fast = lay.order
-        out, held = [], 0
+        found = []
         for time, number, files, origin, cube in lay.sources():
             if not self._passes(time, self.time_tests):
                 continue
@@ -282,13 +287,16 @@ class RawGridReader(DataSourceReader):
                 for r in range(0, len(keep[mid]), lines):
                     rows = keep[mid][r : r + lines]
                     piece = Piece(time, files, chunk[0], chunk[-1] + 1, int(rows[0]), int(rows[-1]) + 1, number, tuple(origin[a] for a in "xyz"), cube)
-                    size = line * len(rows) * len(chunk)
-                    if out and not lay.slab and held + size <= PACK_BYTES:
-                        out[-1].pieces.append(piece)
-                        held += size
-                    else:
-                        out.append(Pieces([piece]))
-                        held = size
+                    found.append((line * len(rows) * len(chunk) + OPEN_BYTES * len(files), piece))
+        apart = lay.slab and len(found) <= SLABS
+        out, held = [], 0
+        for size, piece in found:
+            if out and not apart and held + size <= PACK_BYTES:
+                out[-1].pieces.append(piece)
+                held += size
+            else:
+                out.append(Pieces([piece]))
+                held = size
         return out or [Pieces([])]
 
     def read(self, partition: Pieces):

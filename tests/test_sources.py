@@ -46,6 +46,16 @@ def test_filters_reach_the_reader(spark, raw):
     assert df.where(F.col("timestep") > 99).count() == 0
 
 
+def test_many_small_slabs_share_partitions(spark, tmp_path):
+    """Partitions grow with the cells and files of given slabs, not with the number of slabs."""
+    for t in range(600):
+        np.arange(16, dtype="<f4").tofile(tmp_path / f"u_{t}.500000")
+    df = rawgrid.read_raw_grid(spark, str(tmp_path), ["u"], (2, 2, 4), skips=(1, 2, 1), slab=2)
+    assert df.rdd.getNumPartitions() <= 10
+    rows = df.groupBy("timestep").agg(F.count("u").alias("n"), F.sum("u").alias("total"), F.count_distinct("gz").alias("planes")).toPandas()
+    assert len(rows) == 600 and set(rows.n) == {8} and set(rows.total) == {52.0} and set(rows.planes) == {4}
+
+
 @pytest.mark.parametrize("order", ["zyx", "xyz", "yzx"])
 def test_axis_orders(spark, tmp_path, order):
     base = cube(0)  # (z, y, x)
