@@ -83,9 +83,9 @@ def write_npy(df: DataFrame, path: str, name_col: str, cols: Sequence[str], orde
 def _foam_text(values: np.ndarray) -> bytes:
     kind = "scalar" if values.shape[1] == 1 else "vector"
     if kind == "scalar":
-        lines = [repr(float(v[0])) for v in values]
+        lines = [repr(v) for v in values[:, 0].tolist()]
     else:
-        lines = ["(" + " ".join(repr(float(x)) for x in v) + ")" for v in values]
+        lines = ["(" + " ".join(map(repr, v)) + ")" for v in values.tolist()]
     body = "\n".join(lines)
     return f"FoamFile\n{{\n    format ascii;\n}}\ninternalField   nonuniform List<{kind}>\n{len(values)}\n(\n{body}\n)\n;\n".encode()
 

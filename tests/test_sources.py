@@ -124,6 +124,19 @@ def test_formats_by_name(spark, raw):
     assert [r[0] for r in rows.select("timestep").distinct().collect()] == [28.24]
 
 
+def test_openfoam_times_share_tasks(spark, tmp_path):
+    """Tasks are bounded by the cores, however many times there are, and all times are read."""
+    assert openfoam.read_snapshots(spark, str(tmp_path), 10, 20_000).rdd.getNumPartitions() <= 32 * 8
+    for t in range(1, 301):
+        os.makedirs(tmp_path / str(t))
+        for name, kind, value in (("p", "scalar", f"{t}.5"), ("U", "vector", f"(1 {t} 2)"), ("vorticity", "vector", f"(0 0 {-t})")):
+            with gzip.open(tmp_path / str(t) / f"{name}.gz", "wb") as out:
+                out.write(f"internalField nonuniform List<{kind}>\n2\n(\n{value}\n{value}\n)\n;\n".encode())
+    rows = openfoam.read_snapshots(spark, str(tmp_path), 1, 300).toPandas()
+    assert len(rows) == 600 and set(rows.timestep) == set(range(1, 301)) and set(rows.point_id) == {0, 1}
+    assert (rows.p == rows.timestep + 0.5).all() and (rows.v == rows.timestep).all() and (rows.wz == -rows.timestep).all()
+
+
 def test_openfoam(spark, tmp_path):
     def write(t, name, kind, lines):
         os.makedirs(tmp_path / str(t), exist_ok=True)
