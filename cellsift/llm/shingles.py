@@ -1,6 +1,8 @@
 """Near-duplicates by the shingles of their texts: five words, Jaccard similarity 0.8 or more.
 
-Candidates share one of BANDS keys, each made of DEPTH minimum hashes: a pair at
+Sets whose SimHash fingerprints (of the same shingles) ``simhash.links`` links are
+candidates. Two bits of 64 link few pairs near 0.8, so others are looked for too:
+these share one of BANDS keys, each made of DEPTH minimum hashes: a pair at
 similarity s shares none with probability (1 - s**4)**24, three in a million at
 0.8. Each candidate is checked by its whole sets of shingles. In a key's group all
 members first meet one of them, and links make components, so a group of copies costs as
@@ -31,9 +33,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellsift.llm import simhash
 from cellsift.llm.components import components
 from cellsift.llm.decontaminate import _filter, _passes
-from cellsift.llm.simhash import shingle_hashes
+from cellsift.llm.simhash import majority, shingle_hashes
 from cellsift.llm.words import hidden, mapped, portions, texts
 from cellsift.session import written
 
@@ -77,22 +80,23 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """``_id, _text, set_id`` (a hash of the set of shingles), ``set_size, bands`` and PARITIES of each row."""
+    """``_id, _text, set_id`` (a hash of the set of shingles), ``set_size, bands, fp`` (its SimHash) and PARITIES of each row."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, sizes, bands, odd = [], [], [], []
+        ids, sizes, bands, fps, odd = [], [], [], [], []
         for v in texts(batch):  # sets of a whole batch would take more than its texts
             found = shingle_set(v)
             ids.append(xxhash.xxh64_intdigest(found.tobytes(), 42))
             sizes.append(len(found))
             bands.append(band_keys(found))
+            fps.append(majority(found))
             odd.append(parities(found))
         odd = np.array(odd, np.int64).reshape(-1, 4)
-        columns = [batch.column("_id"), batch.column("_text"), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), *(pa.array(odd[:, k].copy()) for k in range(4))]
-        return pa.RecordBatch.from_arrays(columns, ["_id", "_text", "set_id", "set_size", "bands", *PARITIES])
+        columns = [batch.column("_id"), batch.column("_text"), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(np.array(fps, np.uint64).view(np.int64)), *(pa.array(odd[:, k].copy()) for k in range(4))]
+        return pa.RecordBatch.from_arrays(columns, ["_id", "_text", "set_id", "set_size", "bands", "fp", *PARITIES])
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.select("_id", "_text", "text").mapInArrow(mapped(step), f"_id {kind}, _text long, set_id long, set_size long, bands array<long>, {', '.join(f'{p} long' for p in PARITIES)}")
+    return docs.select("_id", "_text", "text").mapInArrow(mapped(step), f"_id {kind}, _text long, set_id long, set_size long, bands array<long>, fp long, {', '.join(f'{p} long' for p in PARITIES)}")
 
 
 _SAME_KEY = lambda: F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_text") == F.col("_of_text"))
@@ -185,16 +189,36 @@ def rare_shingles(sets: DataFrame) -> DataFrame:
     return sets.select("set_id", "set_size", "root", "text").mapInArrow(step, f"token long, set_id long, set_size long, root long, at long, lead boolean, {', '.join(f'{p} long' for p in PARITIES)}")
 
 
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs ``a > b`` of ``sets`` (set_id, set_size, fp) by SimHash: each set with the least one
+    of its fingerprint, and the least ones of linked fingerprints. Sets without shingles stay out."""
+    filled = sets.filter("set_size > 0").select("set_id", "fp")
+    prints = written(filled.groupBy("fp").agg(F.min("set_id").alias("least")), "fingerprints")
+    same = filled.join(prints, "fp").filter("set_id > least").select(F.col("set_id").alias("a"), F.col("least").alias("b"))
+    linked = simhash.links(prints).withColumnsRenamed({"a": "_a", "b": "_b"})
+    for c in ("a", "b"):
+        linked = linked.join(prints.select(F.col("fp").alias(f"_{c}"), F.col("least").alias(c)), f"_{c}")
+    return same.union(linked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+
+
 def links(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links ``a, b`` that connect all of ``sets`` (set_id distinct, set_size, bands, first, PARITIES)
-    that are similar and share a key. ``rows`` has the texts."""
+    """Links ``a, b`` that connect all of ``sets`` (set_id distinct, set_size, bands, fp, first, PARITIES)
+    that are similar and share a key or have linked fingerprints. ``rows`` has the texts."""
+    fits = lambda a, b: F.least(a, b) * OF >= F.greatest(a, b) * SHARED
+    # Sizes of the members that meet differ by a fifth at most, whichever they meet.
+    own = [F.col(p) for p in PARITIES]
+    other = [F.col(f"{p}_b") for p in PARITIES]
+    sizes = sets.select(F.col("set_id").alias("b"), F.col("set_size").alias("size"), *(F.col(p).alias(f"{p}_b") for p in PARITIES))
+    near = fingerprint_pairs(sets).join(sizes, "b").join(sets.select(F.col("set_id").alias("a"), "set_size", *PARITIES), "a")
+    near = written(near.filter(fits(F.col("set_size"), F.col("size")) & may_fit(own, other, F.col("set_size"), F.col("size"))).select("a", "b"), "fingerprint-pairs")
+
     bands = sets.select("set_id", "set_size", F.explode("bands").alias("key"))
     groups = written(bands.groupBy("key").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most")).filter("least < most").drop("most"), "band-groups")
     held = written(bands.join(groups, "key"), "band-members")
-    wanted = sets.join(held.select("set_id").distinct(), "set_id", "left_semi").select("set_id", F.col("first._id").alias("_of"), F.col("first._text").alias("_of_text"))
-    near = marked(rows.select("_id", "_text", "text"), wanted).filter("_hit").join(wanted, _SAME_KEY())
-    of = written(near.groupBy("set_id").agg(F.first("text").alias("text")), "candidate-texts")
-    fits = lambda a, b: F.least(a, b) * OF >= F.greatest(a, b) * SHARED
+    members = held.select("set_id").union(near.select("a")).union(near.select("b")).distinct()
+    wanted = sets.join(members, "set_id", "left_semi").select("set_id", F.col("first._id").alias("_of"), F.col("first._text").alias("_of_text"))
+    found = marked(rows.select("_id", "_text", "text"), wanted).filter("_hit").join(wanted, _SAME_KEY())
+    of = written(found.groupBy("set_id").agg(F.first("text").alias("text")), "candidate-texts")
 
     def checked(pairs: DataFrame) -> DataFrame:
         of_a, of_b = (of.select(F.col("set_id").alias(c), F.col("text").cast("binary").alias(f"of_{c}")) for c in ("a", "b"))
@@ -216,15 +240,11 @@ def links(rows: DataFrame, sets: DataFrame) -> DataFrame:
         some = table.groupBy(key).agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select(key)
         return table.join(written(some, "mixed-groups"), key, "left_semi")
 
-    # Sizes of the members that meet differ by a fifth at most, whichever they meet.
-    own = [F.col(p) for p in PARITIES]
-    other = [F.col(f"{p}_b") for p in PARITIES]
-    sizes = sets.select(F.col("set_id").alias("b"), F.col("set_size").alias("size"), *(F.col(p).alias(f"{p}_b") for p in PARITIES))
     stars = held.filter("set_id > least").select(F.col("set_id").alias("a"), F.col("least").alias("b"), "set_size").distinct()
     stars = stars.join(sizes, "b").filter(fits(F.col("set_size"), F.col("size"))).join(sets.select(F.col("set_id").alias("a"), *PARITIES), "a")
     stars = written(stars.filter(may_fit(own, other, F.col("set_size"), F.col("size"))).select("a", "b"), "stars")
     # A set of many copies has another least one by each key: it meets the least of all, then those still apart.
-    met = checked(written(stars.groupBy("a").agg(F.min("b").alias("b")), "pairs"))
+    met = checked(written(stars.groupBy("a").agg(F.min("b").alias("b")).union(near).distinct(), "pairs"))
     met = written(met.union(checked(written(apart(stars, met), "pairs"))), "links")
     left = mixed(written(rooted(held.select("key", "set_id", "set_size"), met), "labelled"), "key").select("set_id", "set_size", "root").distinct()
     tokens = written(rare_shingles(left.join(of, "set_id")), "rare-shingles")
@@ -258,7 +278,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     rows = plain.withColumns({"_id": F.col("doc_id"), "_text": F.xxhash64("text")})
     keys = written(signed(rows), "shingle-keys")
     order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_text")
-    sets = written(keys.groupBy("set_id").agg(F.min(order).alias("first"), F.first("set_size").alias("set_size"), F.first("bands").alias("bands"), *(F.first(p).alias(p) for p in PARITIES)), "shingle-sets")
+    sets = written(keys.groupBy("set_id").agg(F.min(order).alias("first"), F.first("set_size").alias("set_size"), F.first("bands").alias("bands"), F.first("fp").alias("fp"), *(F.first(p).alias(p) for p in PARITIES)), "shingle-sets")
     roots = components(links(rows, sets)).select(F.col("node").alias("set_id"), "root")
     rooted = sets.select("set_id", "first").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._id").alias("_of"), F.col("first._text").alias("_of_text"), F.lit(True).alias("_stays"))

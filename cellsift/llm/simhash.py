@@ -50,7 +50,11 @@ def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
 
 def fingerprint(text: bytes | None, words: int = 3) -> int:
     """Majority of the bits over the text's word shingles; zero for a text without words."""
-    hashes = shingle_hashes(text, words)
+    return majority(shingle_hashes(text, words))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; zero for none."""
     if not len(hashes):
         return 0
     n, ones = len(hashes), np.zeros(64, np.int64)

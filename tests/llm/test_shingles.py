@@ -122,3 +122,17 @@ def test_parities_lose_no_similar_pair(spark):
     got = {r["i"]: r["fits"] for r in table.select("i", shingles.may_fit(x, y, F.col("m"), F.col("n")).alias("fits")).collect()}
     assert all(got[i] for i, same in enumerate(alike) if same)
     assert not got[19] and not got[23]  # 45 and 90 shingles, three quarters of them shared
+
+
+def test_fingerprints_link_candidates(spark, monkeypatch):
+    """SimHash brings sets together: of one fingerprint, and at one or two differing bits, not at three."""
+    rows = [(5, 9, 0b1111 << 40), (3, 9, 0b1111 << 40), (8, 9, 0b0011 << 40), (2, 9, 0b1110000 << 40 | 1), (7, 0, 0), (9, 9, -1), (1, 9, (1 << 62) - 1)]
+    sets = spark.createDataFrame(rows, "set_id long, set_size long, fp long")
+    assert sorted(tuple(r) for r in shingles.fingerprint_pairs(sets).collect()) == [(5, 3), (8, 3), (9, 1)]
+
+    met, pairs = [], shingles.fingerprint_pairs
+    monkeypatch.setattr(shingles, "fingerprint_pairs", lambda sets: met.append(pairs(sets)) or met[-1])
+    words = ["w%d" % i for i in range(400)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, words[0]])), (3, "another text of some words"), (4, None)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in shingles.drop_near_duplicates(docs).collect()) == [1, 3, 4]
+    assert len(met) == 1
