@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellsift.llm.words import BLANKS, portions
+from cellsift.llm.words import BLANKS, portions, released
 from cellsift.session import small_side, written
 
 
@@ -57,8 +57,8 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.kind = np.dtype("<u2" if len(self.ends) <= 1 << 16 else "<u4")
-        #: The number of each form, and by number its ids.
-        self.places: dict[str, int] = {}
+        #: The forms, without a Python object for each, and by place their ids.
+        self.known = pa.array([], pa.string())
         self.ids, self.first, self.size = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.by_words = self._by_words()
 
@@ -73,12 +73,12 @@ class WordEncoder:
         plain = [ids(w.lower()) for w in PROBE if w.isascii() and w.isalpha()]
         return not self.ends.any() or all(self.ends[w].sum() == 1 and self.ends[w[-1]] for w in plain)
 
-    def _keep(self, forms: list[str]) -> None:
+    def _keep(self, forms: pa.Array) -> None:
         """Forget all forms but these."""
-        known = [w for w in forms if w in self.places]
-        place = np.fromiter(map(self.places.__getitem__, known), np.int64, len(known))
+        place = np.flatnonzero(pc.is_in(self.known, value_set=forms).to_numpy(zero_copy_only=False))
         self.ids, _ = _gathered(self.ids, self.first, self.size, place)
-        self.size, self.places = self.size[place], dict(zip(known, range(len(known))))
+        self.size, self.known = self.size[place], self.known.take(pa.array(place))
+        self.first = np.cumsum(self.size) - self.size
 
     def _encode(self, words: list[str]) -> tuple[list[int], list[int]]:
         """The ids of some words, and how many each has."""
@@ -92,19 +92,20 @@ class WordEncoder:
         ids = np.array(self._encode([" ".join(words[i : i + line]) for i in range(0, len(words), line)])[0], self.kind)
         return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
 
-    def learn(self, forms: list[str], block: int = 50_000) -> None:
+    def learn(self, forms: pa.Array, block: int = 10_000) -> None:
         """Encode the forms that are not known yet."""
-        lacking = [w for w in forms if w not in self.places]
-        plain = [w for w in lacking if w.isascii() and w.isalpha()] if self.ends.any() else []
-        other = [w for w in lacking if not (w.isascii() and w.isalpha())] if self.ends.any() else lacking
-        ids, size = [self.ids], [self.size]
-        for words, encode in ((plain, self._encode_plain), (other, self._encode)):
+        lacking = forms.filter(pc.invert(pc.is_in(forms, value_set=self.known))).unique()
+        if not len(lacking):
+            return
+        plain = pc.and_(pc.match_substring_regex(lacking, "^[A-Za-z]+$"), bool(self.ends.any()))
+        known, ids, size = [self.known], [self.ids], [self.size]
+        for words, encode in ((lacking.filter(plain), self._encode_plain), (lacking.filter(pc.invert(plain)), self._encode)):
+            known.append(words)
             for i in range(0, len(words), block):
-                some, n = encode(words[i : i + block])
+                some, n = encode(words.slice(i, block).to_pylist())
                 ids.append(np.array(some, self.kind))
                 size.append(np.array(n, np.int64))
-        self.places.update(zip(plain + other, range(len(self.places), len(self.places) + len(lacking))))
-        self.ids, self.size = np.concatenate(ids), np.concatenate(size)
+        self.known, self.ids, self.size = pa.concat_arrays(known), np.concatenate(ids), np.concatenate(size)
         self.first = np.cumsum(self.size) - self.size
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -113,12 +114,13 @@ class WordEncoder:
         low = pc.if_else(special, words, pc.ascii_lower(words))
         marked = pc.and_not(pc.match_substring_regex(low, "[a-z][.,]$"), special)
         form = pc.if_else(marked, pc.utf8_slice_codeunits(low, 0, -1), low).dictionary_encode()
-        forms = form.dictionary.to_pylist()
-        if len(self.places) + len(forms) > FORMS:
+        forms = pa.concat_arrays([form.dictionary.cast(pa.string()), pa.array([".", ","])])
+        if len(self.known) + len(forms) > FORMS:
             self._keep(forms)
-        self.learn(list(dict.fromkeys([*forms, ".", ","])))
-        place = np.fromiter(map(self.places.__getitem__, forms), np.int64, len(forms))[form.indices.to_numpy()]
-        mark = np.where(pc.ends_with(low, ".").to_numpy(zero_copy_only=False), self.places["."], self.places[","])
+        self.learn(forms)
+        places = pc.index_in(forms, value_set=self.known).to_numpy().astype(np.int64)
+        place, (stop, comma) = places[form.indices.to_numpy()], places[-2:]
+        mark = np.where(pc.ends_with(low, ".").to_numpy(zero_copy_only=False), stop, comma)
         parts = 1 + marked.to_numpy(zero_copy_only=False).astype(np.int64)
         both, last = np.repeat(place, parts), np.cumsum(parts) - 1
         both[last[parts == 2]] = mark[parts == 2]
@@ -176,6 +178,7 @@ def encoded(docs: DataFrame, file: str, end: int, name: str) -> DataFrame:
                     before.append(used.get(source, 0))
                     used[source] = before[-1] + n[-1]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array([part] * len(n), pa.int32()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "part", "before", "n", "ids"])
+        released()
 
     source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("source")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -274,6 +277,7 @@ def pack(docs: DataFrame, file: str, length: int = 2048, end: int = 1, weights:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from _pieces(batch, mixture, length, ids)
+        released()
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string{extra}"
     return rows.mapInArrow(run, schema)

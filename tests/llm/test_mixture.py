@@ -1,8 +1,10 @@
 """Packing of many sources, and with tokenizers of other kinds."""
 
+import tracemalloc
 from collections import defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -62,3 +64,17 @@ def test_ids_are_those_of_the_library(edge_docs, name):
             ids = [i for _, part in sorted(got[d]) for i in part]
             assert ids == want * (len(ids) // len(want)) or sorted(ids) == sorted(want * (len(ids) // len(want)))
     assert packing.encoder(file).by_words == (name == "word_bpe_49k.json")
+
+
+def test_known_words_take_little_memory():
+    """100,000 different words that a worker remembers have no Python object each."""
+    coder = packing.WordEncoder(WORDS)
+    text = " ".join(f"w{i:x}" for i in range(100_000))
+    want = coder.tokenizer.encode(text, add_special_tokens=False).ids
+    tracemalloc.start()
+    for _ in range(2):
+        (got,) = coder.encode(pa.array([text]), 1)
+    left = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert memoryview(got).cast("H").tolist() == [*want, 1]
+    assert left < 5_000_000 and len(coder.known) == 100_002
