@@ -1,9 +1,11 @@
 """Language, token counts, quality rules, lines, templates."""
 
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +129,26 @@ def test_lines(edge_docs, documents, no_docs):
     assert lines.dedup_lines(no_docs).count() == 0
 
 
+def test_lines_of_large_batches(spark, monkeypatch):
+    texts = ["\n".join(f"{i} {k % 700}" for k in range(4000)) for i in range(40)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "_id": list(range(40)), "_text": list(range(40))})
+    tracemalloc.start()
+    rows = list(zip(*(sum((b.column(c).to_pylist() for b in lines._windows(iter([batch, batch.slice(0, 0)]))), []) for c in ("_id", "place"))))
+    tracemalloc.reset_peak()
+    held, _ = tracemalloc.get_traced_memory()
+    assert sum(b.num_rows for b in lines._windows(iter([batch]))) == 40 * 3998
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert rows == [(i, p) for i in range(40) for p in range(3998)]
+    # A window as Python objects takes over 150 bytes, so all of them over 24 MB.
+    assert peak - held < 12 << 20
+    docs = [(i, t) for i, t in enumerate(texts[:3] + texts[:2] + [None, "", "a\nb\nc", "x\na\nb\nc"])]
+    monkeypatch.setattr(lines, "WINDOWS", 1000)
+    monkeypatch.setattr(lines, "BYTES", 50_000)
+    got = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).select("doc_id", "text", "removed_lines")
+    assert Counter(map(tuple, got.collect())) == brute_lines(docs)
+
+
 QUESTION = "A train leaves Berlin at 9:30 and runs 120 km towards Munich at a speed of 80 km/h while another train leaves Munich one hour later. When do they meet?"
 
 
