@@ -29,7 +29,7 @@ from cellsift.session import small_side, written
 
 
 #: Texts whose words are looked up together, and bytes of them.
-TEXTS, TEXT_BYTES = 6000, 8 << 20
+TEXTS, TEXT_BYTES = 6000, 2 << 20
 #: Forms of words that a worker remembers; beyond, it keeps those of the current batch.
 FORMS = 1_000_000
 #: What a token ends in where a word ends, in vocabularies that mark it.
@@ -92,9 +92,18 @@ class WordEncoder:
         ids = np.array(self._encode([" ".join(words[i : i + line]) for i in range(0, len(words), line)])[0], self.kind)
         return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
 
+    def places(self, forms: pa.Array) -> np.ndarray:
+        """Where the forms stand among those known (else: -1). Only the forms are
+        hashed: a table of all that is known would take several times its size."""
+        form = pc.index_in(self.known, value_set=forms)
+        known = np.flatnonzero(form.is_valid().to_numpy(zero_copy_only=False))
+        found = np.full(len(forms), -1, np.int64)
+        found[form.drop_null().to_numpy()] = known
+        return found[pc.index_in(forms, value_set=forms).to_numpy()]  # of equal forms the first is found
+
     def learn(self, forms: pa.Array, block: int = 10_000) -> None:
         """Encode the forms that are not known yet."""
-        lacking = forms.filter(pc.invert(pc.is_in(forms, value_set=self.known))).unique()
+        lacking = forms.filter(pa.array(self.places(forms) < 0)).unique()
         if not len(lacking):
             return
         plain = pc.and_(pc.match_substring_regex(lacking, "^[A-Za-z]+$"), bool(self.ends.any()))
@@ -118,7 +127,7 @@ class WordEncoder:
         if len(self.known) + len(forms) > FORMS:
             self._keep(forms)
         self.learn(forms)
-        places = pc.index_in(forms, value_set=self.known).to_numpy().astype(np.int64)
+        places = self.places(forms)
         place, (stop, comma) = places[form.indices.to_numpy()], places[-2:]
         mark = np.where(pc.ends_with(low, ".").to_numpy(zero_copy_only=False), stop, comma)
         parts = 1 + marked.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -178,7 +187,8 @@ def encoded(docs: DataFrame, file: str, end: int, name: str) -> DataFrame:
                     before.append(used.get(source, 0))
                     used[source] = before[-1] + n[-1]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array([part] * len(n), pa.int32()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "part", "before", "n", "ids"])
-        released()
+                del ids
+                released()
 
     source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("source")
     kind = docs.schema["doc_id"].dataType.simpleString()

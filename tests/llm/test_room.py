@@ -2,7 +2,11 @@
 
 import random
 
-from cellsift.llm import suffixes
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+
+from cellsift.llm import packing, suffixes
 
 
 def test_only_what_repeats_is_shuffled(spark, monkeypatch):
@@ -30,3 +34,19 @@ def test_ranges_are_joined():
         got = suffixes.joined(ranges)
         assert {x for a, b in got for x in range(a, b + 1)} == {x for a, b in ranges for x in range(a, b + 1)}
         assert all(a[1] + 1 < b[0] for a, b in zip(got, got[1:]))
+
+
+def test_known_words_are_not_hashed_again():
+    """A look-up of a few words takes less than what is known, and finds all."""
+    coder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    known = [f"w{i}" for i in range(300_000)]
+    coder.known, coder.ids = pa.array(known), np.zeros(len(known), coder.kind)
+    coder.first, coder.size = np.arange(len(known)), np.ones(len(known), np.int64)
+    plain, pool = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())
+    pa.set_memory_pool(pool)
+    try:
+        coder.learn(pa.array(["w7", "w299999", "w7"]))
+    finally:
+        pa.set_memory_pool(plain)
+    assert len(coder.known) == len(known) and pool.max_memory() < coder.known.nbytes
+    assert coder.places(pa.array(["w9", "none", "w9", "w0"])).tolist() == [9, -1, 9, 0]
